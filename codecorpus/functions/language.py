@@ -29,21 +29,27 @@ def _head(content: Column, lines: int) -> Column:
 
 
 def content_scores(content: Column, lines: int = 50) -> Column:
-    """Array of (hits, -order, language): pattern hits over the first lines, one entry per candidate language."""
-    sample = _head(content, lines)
-    entries = []
-    for order, (language, patterns) in enumerate(dims.CONTENT_PATTERNS.items()):
-        hits = F.lit(0)
-        for p in patterns:
-            hits = hits + count_re(sample, p, "(?idmu)")
-        entries.append(F.struct(hits.alias("hits"), F.lit(-order).alias("rank"), F.lit(language).alias("language")))
-    return F.array(*entries)
+    """Array of (hits, -order, language): pattern hits over the first lines, one entry per candidate language.
+
+    The lambda keeps the few dozen patterns out of generated code, whose methods have a size limit.
+    """
+
+    def score(sample: Column) -> Column:
+        entries = []
+        for order, (language, patterns) in enumerate(dims.CONTENT_PATTERNS.items()):
+            hits = F.lit(0)
+            for p in patterns:
+                hits = hits + count_re(sample, p, "(?idmu)")
+            entries.append(F.struct(hits.alias("hits"), F.lit(-order).alias("rank"), F.lit(language).alias("language")))
+        return F.array_max(F.array(*entries))
+
+    return F.transform(F.array(_head(content, lines)), score)
 
 
 def content_language(content: Column) -> Column:
     """Language with most hits, earlier declaration wins ties, NULL without any hit."""
-    best = F.array_max(content_scores(content))
-    return F.when(best["hits"] > 0, best["language"])
+    best = F.filter(content_scores(content), lambda b: b["hits"] > 0)
+    return F.get(F.transform(best, lambda b: b["language"]), F.lit(0))
 
 
 def language_by_content(df: DataFrame, content: str = "content", out: str = "language") -> DataFrame:
@@ -52,14 +58,17 @@ def language_by_content(df: DataFrame, content: str = "content", out: str = "lan
 
 def _strong_match(content: Column, language: Column) -> Column:
     """At least two different patterns of ``language`` occur in the first 30 lines."""
-    sample = _head(content, 30)
-    chain = None
-    for name, patterns in dims.CONTENT_PATTERNS.items():
-        hit = F.lit(0)
-        for p in patterns:
-            hit = hit + search(sample, p, "(?idmu)").cast("int")
-        chain = F.when(language == name, hit >= 2) if chain is None else chain.when(language == name, hit >= 2)
-    return F.coalesce(chain.otherwise(F.lit(False)), F.lit(False))
+
+    def strong(sample: Column) -> Column:
+        cases = []
+        for name, patterns in dims.CONTENT_PATTERNS.items():
+            hit = F.lit(0)
+            for p in patterns:
+                hit = hit + search(sample, p, "(?idmu)").cast("int")
+            cases.append((language == name, hit >= 2))
+        return first_match(cases, F.lit(False))
+
+    return F.exists(F.array(_head(content, 30)), strong)
 
 
 def detect_language(df: DataFrame, path: str = "path", content: str = "content", out: str = "language") -> DataFrame:

@@ -31,7 +31,7 @@ def indent_findings(text: Column) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         kept = F.filter(acc["stack"], lambda s: s["indent"] < x["indent"])
-        stack = F.concat(kept, F.array(F.struct(x["line"], x["indent"])))
+        stack = F.concat(kept, F.array(F.struct(x["line"].alias("line"), x["indent"].alias("indent"))))
         finding = F.struct(stack[0]["line"].alias("line_start"), x["line"].alias("line_end"), F.size(stack).alias("depth"),
                            F.lit("medium").alias("severity"))
         out = F.when(F.size(kept) >= 2, F.concat(acc["out"], F.array(finding))).otherwise(acc["out"])
@@ -70,7 +70,7 @@ def brace_findings(text: Column) -> Column:
         gap = (F.size(acc["stack"]) >= 3) & (x["line"] - acc["last"] > 1)
         out = F.when(gap, F.concat(acc["out"], F.array(stretch(acc["stack"], acc["last"] + 1, x["line"] - 1)))).otherwise(acc["out"])
         depth = acc["depth"] + x["delta"]
-        stack = F.when(x["head"], F.concat(acc["stack"], F.array(F.struct(x["line"], depth)))).otherwise(acc["stack"])
+        stack = F.when(x["head"], F.concat(acc["stack"], F.array(F.struct(x["line"].alias("line"), depth.alias("depth"))))).otherwise(acc["stack"])
         out = F.when(F.size(stack) >= 3, F.concat(out, F.array(stretch(stack, x["line"], x["line"])))).otherwise(out)
         kept = F.when(x["close"], F.filter(stack, lambda s: s["depth"] <= depth)).otherwise(stack)
         return F.struct(depth.alias("depth"), kept.alias("stack"), out.alias("out"), x["line"].alias("last"))
@@ -173,7 +173,7 @@ def dedent_ends(numbered: Column, total: Column) -> Column:
         closed = F.transform(F.filter(acc["open"], lambda s: s["indent"] >= x["indent"]), lambda s: F.struct(s["i"].alias("i"), x["i"].alias("stop")))
         kept = F.when(closing, F.filter(acc["open"], lambda s: s["indent"] < x["indent"])).otherwise(acc["open"])
         return F.struct(
-            F.when(x["head"], F.concat(kept, F.array(F.struct(x["i"], x["indent"])))).otherwise(kept).alias("open"),
+            F.when(x["head"], F.concat(kept, F.array(F.struct(x["i"].alias("i"), x["indent"].alias("indent"))))).otherwise(kept).alias("open"),
             F.when(closing, F.concat(acc["out"], closed)).otherwise(acc["out"]).alias("out"),
         )
 
@@ -205,7 +205,7 @@ def enclosing_function(
         split_lines(text),
         lambda s, i: F.struct(i.alias("i"), indent_of(s).alias("indent"), is_blank(s).alias("blank"), python_head(s).alias("head")),
     )
-    py = files.filter(lang == "python").select(key, F.inline(dedent_ends(numbered, line_total(text)))).select(
+    py = files.filter(lang == "python").select(key, dedent_ends(numbered, line_total(text)).alias("__e")).select(key, F.inline("__e")).select(
         key, (F.col("i") + 1).alias("line"), F.col("stop").alias("function_end")
     )
 

@@ -102,7 +102,7 @@ _DEF = r"def\s+(\w+)\(([^)]+)\):"
 def _type_hints(text: Column) -> Column:
     hinted = sub(text, _DEF, r"def $1($2) -> Any:")
     needs = hinted.contains(" -> Any:") & ~hinted.contains("from typing import")
-    return F.when(needs, F.regexp_replace(hinted, r"\A((?:(?:import |from )[^\n]*\n)*)", "$1from typing import Any\n")).otherwise(hinted)
+    return F.when(needs, F.regexp_replace(hinted, r"\A((?:(?:import |from )[^\n]*\n)*+)", "$1from typing import Any\n")).otherwise(hinted)
 
 
 # --- const member functions ----------------------------------------------------------------------------------------
@@ -110,8 +110,9 @@ def _type_hints(text: Column) -> Column:
 
 _MARK = ("\ue000", "\ue001", "\ue002")  # private-use characters
 _MEMBER = r"(\w+\s+\w+\s*\([^)]*\))(\s*)\{([^}]+)\}"
+# Conditions are single look-aheads over character classes: a repeated group would recurse once per character.
 _CONST = (
-    f"{_MARK[0]}((?:(?!const)[^{_MARK[1]}])*){_MARK[1]}[^{_MARK[2]}]*{_MARK[2]}" + r"\{((?:(?!this->)[^}=])+)\}"
+    f"{_MARK[0]}(?![^{_MARK[1]}]*const)([^{_MARK[1]}]*){_MARK[1]}[^{_MARK[2]}]*{_MARK[2]}" + r"\{(?![^}]*this->)([^}=]+)\}"
 )
 
 
@@ -250,29 +251,37 @@ def apply_rules(
 ) -> DataFrame:
     """Add ``new_content`` and ``hits`` (rule -> matches before it ran, fired rules only).
 
-    One projection per rule keeps the expression tree linear in the number of rules. ``cpp`` rules also serve ``c`` and ``c++``.
+    The chain is one expression: each rule maps a (text, hits) pair, so the tree stays linear in the number of rules wherever
+    the optimizer moves it. ``cpp`` rules also serve ``c`` and ``c++``.
     """
     lang = F.lower(F.col(language))
     lang = F.when(lang.isin("c", "c++", "c/c++"), "cpp").when(lang == "jsx", "javascript").otherwise(lang)
-    df = df.withColumns({"__lang": lang, "__t": F.col(content)})
-    counters = []
+    state = F.array(F.struct(F.col(content).alias("t"), F.expr("cast(array() as array<struct<k:string,v:int>>)").alias("h")))
     for name in rules or DEFAULT_RULES:
-        rule = BY_NAME[name]
-        applies = F.lit(True) if not rule.language else F.col("__lang") == rule.language
-        text = F.col("__t")
-        df = df.withColumns(
-            {f"__h_{name}": F.when(applies, rule.hits(text)).otherwise(0), "__t": F.when(applies, rule.apply(text)).otherwise(text)}
+        state = F.transform(state, _step(BY_NAME[name], lang))
+    df = df.withColumn("__r", F.get(state, F.lit(0)))
+    return df.withColumns({"new_content": F.col("__r.t"), "hits": F.map_from_entries(F.col("__r.h"))}).drop("__r")
+
+
+def _step(rule: Rule, lang: Column) -> Callable[[Column], Column]:
+    def step(s: Column) -> Column:
+        hits = rule.hits(s["t"]).cast("int")
+        applies = hits > 0 if not rule.language else (lang == rule.language) & (hits > 0)
+        # A layout rule may change a text without a counted hit.
+        changed = applies if rule.name != "tidy" else F.lit(True)
+        entry = F.array(F.struct(F.lit(rule.name).alias("k"), hits.alias("v")))
+        return F.struct(
+            F.when(changed, rule.apply(s["t"])).otherwise(s["t"]).alias("t"), F.when(applies, F.concat(s["h"], entry)).otherwise(s["h"]).alias("h")
         )
-        counters.append(F.struct(F.lit(name).alias("k"), F.col(f"__h_{name}").cast("int").alias("v")))
-    hits = F.map_from_entries(F.filter(F.array(*counters), lambda e: e["v"] > 0))
-    return df.withColumns({"new_content": F.col("__t"), "hits": hits}).drop(
-        "__lang", "__t", *[f"__h_{n}" for n in (rules or DEFAULT_RULES)]
-    )
+
+    return step
 
 
 def rule_totals(applied: DataFrame) -> DataFrame:
     """Corpus tally: files and hits per rule."""
-    return applied.select(F.explode("hits").alias("rule", "n")).groupBy("rule").agg(F.count("*").alias("files"), F.sum("n").alias("hits"))
+    # The outer form keeps the planner from testing the map, i.e. running the rules, once more in a filter below.
+    fired = applied.select(F.explode_outer("hits").alias("rule", "n")).filter(F.col("rule").isNotNull())
+    return fired.groupBy("rule").agg(F.count("*").alias("files"), F.sum("n").alias("hits"))
 
 
 # --- rules driven by a suggestion table ----------------------------------------------------------------------------
@@ -293,25 +302,31 @@ def _quoted(name: Column) -> Column:
 
 def _insert(text: Column, pattern: Column, what) -> Column:
     """Insert text in front of the first match of ``pattern``; ``what`` gets the indent (group 1 of the match)."""
-    hit = F.regexp_extract(text, pattern, 0)
-    at = F.instr(text, hit)
-    tail = F.substr(text, at)
-    pad = F.regexp_extract(text, pattern, 1)
-    return F.when(F.regexp_count(text, pattern) > 0, F.concat(F.substr(text, F.lit(1), at - 1), what(pad), tail)).otherwise(text)
+    hit = F.call_function("regexp_extract", text, pattern, F.lit(0))
+    pad = F.call_function("regexp_extract", text, pattern, F.lit(1))
+    at = F.when(F.length(hit) > 0, F.instr(text, hit)).otherwise(0)
+    return F.when(at > 0, F.concat(F.substr(text, F.lit(1), at - 1), what(pad), F.substr(text, at))).otherwise(text)
 
 
 def _doc_patterns(language: Column, name: Column) -> list[Column]:
-    """Header patterns of a named function in trial order; group 1 is the indent ('' for JavaScript)."""
+    """Header patterns of a named function in trial order; group 1 is the indent ('' for JavaScript).
+
+    A header reaches back over the words (C++) or modifiers (Java) and white space before the name. The look-behind admits
+    only the start of such a run, and runs are character classes, so long prose costs neither time nor stack.
+    """
     q = _quoted(name)
     s, w = rx(r"\s"), rx(r"\w")
+    run = f"[{w}{s}]"
+    modifiers = f"(?:(?:public|private|protected|static|final|abstract){s}*)*"
     javascript = F.concat(
         F.lit(rf"()(?:function{s}+"), q, F.lit(rf"{s}*\([^)]*\){s}*\{{|(?:const|let|var){s}+"), q, F.lit(rf"{s}*={s}*\([^)]*\){s}*=>{s}*\{{)")
     )
-    java = F.concat(F.lit(rf"(?m)({s}*)(?:public|private|protected|static|final|abstract|{s})*{s}*{w}+{s}+"), q, F.lit(rf"{s}*\("))
-    constructor = F.concat(F.lit(rf"(?m)({s}*)"), q, F.lit(rf"{s}*\("))
-    cpp = F.concat(F.lit(rf"(?m)({s}*)(?:{w}+{s}+)*"), q, F.lit(rf"{s}*\("))
+    java = F.concat(F.lit(rf"(?<!{s})({s}*+){modifiers}{w}+{s}+"), q, F.lit(rf"{s}*\("))
+    constructor = F.concat(F.lit(rf"(?<!{s})({s}*+)"), q, F.lit(rf"{s}*\("))
+    cpp = F.concat(F.lit(rf"(?<!{run})({s}*+)(?:{run}*(?<={s}))?"), q, F.lit(rf"{s}*\("))
+    inner = F.concat(F.lit("()"), q, F.lit(rf"{s}*\("))
     first = F.when(language == "javascript", javascript).when(language == "java", java).otherwise(cpp)
-    second = F.when(language == "java", constructor).otherwise(first)
+    second = F.when(language == "java", constructor).when(language == "javascript", javascript).otherwise(inner)
     return [first, second]
 
 

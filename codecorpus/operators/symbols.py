@@ -149,7 +149,7 @@ def extract_functions(df: DataFrame, content: str = "content", language: str = "
         lambda s, i: F.struct(i.alias("i"), indent_of(s).alias("indent"), is_blank(s).alias("blank"), search(s, _PY).alias("head")),
     )
     ends = F.map_from_entries(F.when(lang == "python", dedent_ends(numbered, line_total(text))).otherwise(F.expr("cast(array() as array<struct<i:int,stop:int>>)")))
-    rows = df.select(*keep, ends.alias("__e"), F.posexplode(split_lines(text)).alias("__pos", "__line"))
+    rows = df.withColumn("__e", ends).select(*keep, "__e", F.posexplode(split_lines(text)).alias("__pos", "__line"))
     rows = rows.filter(F.col("__line").contains("(")).withColumn("__h", _header(F.col("__line"), lang)).filter(F.col("__h").isNotNull())
     return rows.select(
         *keep, "__h.*", (F.col("__pos") + 1).alias("start_line"),

@@ -101,34 +101,22 @@ SELECT event_id, ts, concat('/results/', user_id % 20) AS path, CASE WHEN event_
 
 # --- derived source code -------------------------------------------------------------------------------------------
 
-_DEPTH = "(3 + {id} % 6)"
 
+def _fill(template: str, slots: dict[str, str]) -> str:
+    """SQL for a template literal with its @slots@ replaced by SQL expressions; @q@ is a single quote."""
+    out = f"'{template}'"
+    for slot, sql in (slots | {"q": "chr(39)"}).items():
+        if f"@{slot}@" in template:
+            out = f"replace({out}, '@{slot}@', {sql})"
+    return out
 
-def _name(id_col: str) -> str:
-    whens = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(PAIR_NAMES))
-    return f"(CASE {id_col} % 16 {whens} END)"
 
-
-def _concat(template: str, id_col: str, extra: dict[str, str]) -> str:
-    """Template text -> SQL concat(...): @v@ a name, @id@ the id, @n@ a number, @x@ entries of ``extra``, quotes and newlines."""
-    tokens = {"@v@": _name(id_col), "@id@": id_col, "@n@": f"(7 + {id_col} % 90)", "\n": "chr(10)", "'": "chr(39)"}
-    tokens |= {f"@{k}@": v for k, v in extra.items()}
-    parts = [p for p in re.split("(" + "|".join(map(re.escape, tokens)) + ")", template) if p]
-    return "concat(" + ", ".join(tokens.get(p, f"'{p}'") for p in parts) + ")"
-
-
-def _nest(indent: int, base: int, head: str, tail: str, body: str, close: str, id_col: str) -> str:
-    """Nested conditionals of depth 3..8 decided by the id; ``close`` is '' for indentation languages."""
-    depth = _DEPTH.format(id=id_col)
-    opening = [
-        f"CASE WHEN {depth} > {i} THEN concat('{' ' * (base + indent * i)}{head}', {_name(id_col)}, ' > {i * 10}{tail}', chr(10)) ELSE '' END"
-        for i in range(8)
-    ]
-    middle = f"concat(repeat(' ', CAST({base} + {indent} * {depth} AS INT)), '{body}', chr(10))"
-    closing = [
-        f"CASE WHEN {depth} > {i} THEN concat('{' ' * (base + indent * i)}{close}', chr(10)) ELSE '' END" for i in range(7, -1, -1)
-    ] if close else []
-    return "concat(" + ", ".join(opening + [middle] + closing) + ")"
+def _nested(template: str, depth: int, indent: int, base: int, head: str, tail: str, body: str, close: str) -> str:
+    """Template with its nested conditionals written out; ``close`` is '' for indentation languages."""
+    pad = [" " * (base + indent * i) for i in range(depth + 1)]
+    lines = [f"{pad[i]}{head}@v@ > {i * 10}{tail}" for i in range(depth)] + [pad[depth] + body]
+    lines += [pad[i] + close for i in reversed(range(depth))] if close else []
+    return template.replace("@nest@", "\n".join(lines) + "\n")
 
 
 _PY = """import os
@@ -138,10 +126,10 @@ from typing import List
 class Handler@id@:
     def process_@v@(self, @v@, limit=@n@):
         # check @v@
-@nest@        return 'success'
+@nest@        return @q@success@q@
 
     def Describe(self):
-        'Describe it.'
+        @q@Describe it.@q@
         return self
 
 
@@ -162,7 +150,6 @@ def load_@v@(path, mode):
     return items
 
 @broken@
-@body@
 """
 _JS = """var total@id@ = @n@;
 const add@v@ = (a, b) => {
@@ -180,7 +167,6 @@ function process@v@(@v@) {
 
 class View@id@ {
 }
-@body@
 """
 _JAVA = """import java.util.List;
 
@@ -195,7 +181,6 @@ public class Service@id@ {
         return a;
     }
 }
-@body@
 """
 _CPP = """#include <vector>
 #define LIMIT_@id@ 100
@@ -210,29 +195,32 @@ int run_@v@(char* p) {
   for (int i = 0; i < items.size(); ++i) { use(i); }
   return 0;
 }
-@body@
 """
 
 
-def code_files(table: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> str:
-    """(file_id, session_id, language, original_path, content): one source file per document, language by id."""
-    def body(mark: str) -> dict[str, str]:
-        return {"body": f"concat('{mark} ', replace({text_col}, chr(10), concat(chr(10), '{mark} ')))"}
+# language by id modulo 4: template and shape of its nested conditionals
+_SKELETONS = [
+    (_PY, dict(indent=4, base=8, head="if ", tail=":", body="return 1", close="")),
+    (_JS, dict(indent=2, base=2, head="if (", tail=") {", body="ok();", close="}")),
+    (_JAVA, dict(indent=4, base=8, head="if (", tail=") {", body="ok();", close="}")),
+    (_CPP, dict(indent=2, base=2, head="if (", tail=") {", body="ok();", close="}")),
+]
 
-    py = _concat(_PY, id_col, {
-        "nest": _nest(4, 8, "if ", ":", "return 1", "", id_col),
-        "broken": f"(CASE WHEN {id_col} % 28 = 0 THEN concat('def broken(:', chr(10)) ELSE '' END)",
-    } | body("#"))
-    js = _concat(_JS, id_col, {"nest": _nest(2, 2, "if (", ") {", "ok();", "}", id_col)} | body("//"))
-    java = _concat(_JAVA, id_col, {"nest": _nest(4, 8, "if (", ") {", "ok();", "}", id_col)} | body("//"))
-    cpp = _concat(_CPP, id_col, {"nest": _nest(2, 2, "if (", ") {", "ok();", "}", id_col)} | body("//"))
+
+def code_files() -> str:
+    """(file_id, session_id, language, original_path, content): one source file per document, language by id, depth 3..8."""
+    cases = " ".join(
+        f"WHEN {k * 10 + depth} THEN '{_nested(template, depth, **shape)}'" for k, (template, shape) in enumerate(_SKELETONS) for depth in range(3, 9)
+    )
+    names = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(PAIR_NAMES))
     return f"""
-SELECT {id_col} AS file_id, source AS session_id,
-  CASE {id_col} % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'java' ELSE 'cpp' END AS language,
-  concat('src/', lang, '/c', {id_col}, CASE {id_col} % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.java' ELSE '.cpp' END)
-    AS original_path,
-  CASE {id_col} % 4 WHEN 0 THEN {py} WHEN 1 THEN {js} WHEN 2 THEN {java} ELSE {cpp} END AS content
-FROM {table}
+SELECT file_id, session_id, language, original_path, concat(replace(replace(replace(replace(replace(skeleton, '@v@', name), '@id@', CAST(file_id AS STRING)),
+    '@n@', CAST(7 + file_id % 90 AS STRING)), '@broken@', broken), '@q@', chr(39)), mark, replace(body, chr(10), concat(chr(10), mark)), chr(10)) AS content
+FROM (SELECT doc_id AS file_id, source AS session_id, text AS body, CASE doc_id % 16 {names} END AS name,
+  CASE doc_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'java' ELSE 'cpp' END AS language,
+  CASE doc_id % 4 WHEN 0 THEN '# ' ELSE '// ' END AS mark, CASE WHEN doc_id % 28 = 0 THEN concat('def broken(:', chr(10)) ELSE '' END AS broken,
+  concat('src/', lang, '/c', doc_id, CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.java' ELSE '.cpp' END) AS original_path,
+  CASE (doc_id % 4) * 10 + 3 + doc_id % 6 {cases} END AS skeleton FROM documents) c
 """
 
 
@@ -260,15 +248,15 @@ _V_JAVA = """class Part {
 
 def file_versions() -> str:
     """(hash, path, language, content): the version of a file at a commit; the signature alternates with the line number."""
-    arg = "(CASE WHEN l_linenumber % 2 = 0 THEN ', mode' ELSE '' END)"
-    py = _concat(_V_PY, "l_partkey", {"arg": arg})
-    js = _concat(_V_JS, "l_partkey", {"arg": arg, "cap": "concat('Item', l_partkey % 5)"})
-    java = _concat(_V_JAVA, "l_partkey", {"arg": "(CASE WHEN l_linenumber % 2 = 0 THEN ', int mode' ELSE '' END)"})
+    slots = {"v": f"CASE l_partkey % 16 {' '.join(f'WHEN {i} THEN {chr(39)}{n}{chr(39)}' for i, n in enumerate(PAIR_NAMES))} END",
+             "cap": "concat('Item', l_partkey % 5)"}
+    more = slots | {"arg": "CASE WHEN l_linenumber % 2 = 0 THEN ', mode' ELSE '' END"}
+    typed = slots | {"arg": "CASE WHEN l_linenumber % 2 = 0 THEN ', int mode' ELSE '' END"}
     return f"""
 SELECT md5(CAST(l_orderkey AS STRING)) AS hash, l_linenumber AS change_no,
   concat('src/p', l_partkey, CASE l_partkey % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.java' ELSE '.md' END) AS path,
   CASE l_partkey % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' ELSE 'java' END AS language,
-  CASE l_partkey % 4 WHEN 0 THEN {py} WHEN 1 THEN {js} ELSE {java} END AS content
+  CASE l_partkey % 4 WHEN 0 THEN {_fill(_V_PY, more)} WHEN 1 THEN {_fill(_V_JS, more)} ELSE {_fill(_V_JAVA, typed)} END AS content
 FROM lineitem WHERE l_partkey % 4 <> 3
 """
 
@@ -301,4 +289,7 @@ def with_tables(*names: str, rest: str) -> str:
     for name in names:
         add(name)
     ctes = ",\n".join(f"{n} AS ({BINDINGS[n][0]})" for n in order)
-    return f"WITH {ctes}\n{rest}" if order else rest
+    if not order:
+        return rest
+    own = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", rest)
+    return f"WITH {own[1] or ''}{ctes},\n{rest[own.end():]}" if own else f"WITH {ctes}\n{rest}"

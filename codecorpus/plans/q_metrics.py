@@ -230,17 +230,30 @@ def _m17(t):
     return m.missing_semicolon(_texts(t))
 
 
-@query("m18_long_functions")
+_PY_LINES = f"""SELECT file_id, unnest({lines('content')}) AS s, CAST(generate_subscripts({lines('content')}, 1) AS INT) AS i FROM code_files WHERE language = 'python'"""
+
+
+@query("m18_long_functions", "code_files", oracle=rf"""
+WITH l AS (SELECT *, length(s) - length(ltrim(s)) AS ind, starts_with(trim(s), 'def ') AS head FROM ({_PY_LINES})),
+h AS (SELECT *, lead(i) OVER (PARTITION BY file_id ORDER BY i) AS nxt FROM l WHERE head),
+e AS (SELECT h.file_id, h.i, any_value(h.s) AS s, min(l.i) AS stop FROM h JOIN l ON l.file_id = h.file_id AND l.i > h.i AND l.i < coalesce(h.nxt, 1000000) AND l.ind <= h.ind AND regexp_matches(l.s, '\S') GROUP BY 1, 2)
+SELECT file_id, regexp_extract(s, 'def\s+([\p{{L}}\p{{N}}_]+)', 1) AS name, i AS line_no, CAST(stop - i AS INT) AS following_lines FROM e WHERE stop - i > 8""")
 def _m18(t):
     return m.long_functions(t.code_files.filter("language = 'python'"), limit=8)
 
 
-@query("m19_magic_numbers")
+_MAGIC = rf"""SELECT file_id, i AS line_no, unnest(regexp_extract_all(w, '\b(?:[2-9]|[1-9][0-9]+)(?:[.][0-9]+)?\b')) AS literal FROM (
+  SELECT file_id, s, i, {ascii_words('s')} AS w FROM (SELECT file_id, unnest({lines('content')}) AS s, CAST(generate_subscripts({lines('content')}, 1) AS INT) AS i FROM code_files))
+WHERE NOT starts_with(trim(s), '#') AND NOT contains(s, repeat(chr(34), 3)) AND NOT contains(s, chr(39) || chr(39) || chr(39)) AND NOT contains(s, 'import ') AND regexp_matches(s, '[-=+*/%<>]')"""
+_MAGIC = f"SELECT *, 'CONSTANT_' || replace(literal, '.', '_') AS constant FROM ({_MAGIC}) WHERE literal NOT IN ('2', '3', '4', '5', '10', '100') AND floor(CAST(literal AS DOUBLE)) > 5"
+
+
+@query("m19_magic_numbers", "code_files", oracle=_MAGIC)
 def _m19(t):
     return m.magic_numbers(t.code_files)
 
 
-@query("m19_magic_number_totals")
+@query("m19_magic_number_totals", "code_files", oracle=f"SELECT literal, count(*) AS occurrences, count(DISTINCT file_id) AS files FROM ({_MAGIC}) GROUP BY literal")
 def _m19b(t):
     return m.magic_number_totals(m.magic_numbers(t.code_files))
 

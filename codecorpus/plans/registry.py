@@ -38,7 +38,8 @@ class Tables:
 
     def _load(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return spread(df, "doc_id") if name == "documents" else df
         sql, needs = BINDINGS[name]
         return self.sql(sql, *needs)
 
@@ -56,6 +57,16 @@ class Tables:
         return new_folder(self.spark)
 
 
+SMALL_INPUT = 64 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash a table of a few row groups over the cores, since text work is bound by CPU. Larger inputs already have a split
+    per row group and stay as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size <= SMALL_INPUT else df
+
+
 def query(name: str, *needs: str, oracle: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``; ``oracle`` is SQL over the bindings named in ``needs``."""
 

@@ -257,10 +257,12 @@ def nested_if_delta(
 ) -> DataFrame:
     """Counts, maximum depth, complexity, readability and lines of both versions of a row."""
     lang = F.lower(F.col(language))
-    for side, name in ((before, "before"), (after, "after")):
-        text = F.col(side)
-        df = df.withColumn(f"__p_{name}", facts_column(F.when(lang == "python", text)))
-        facts = F.col(f"__p_{name}")
+    sides = {"before": F.col(before), "after": F.col(after)}
+    keep = df.columns
+    df = df.withColumns({f"__p_{k}": facts_column(F.when(lang == "python", text)) for k, text in sides.items()})
+    measured = {}
+    for k, text in sides.items():
+        facts = F.col(f"__p_{k}")
         scores = (
             F.when(lang == "python", python_scores(text, facts))
             .when(lang == "javascript", javascript_scores(text))
@@ -268,17 +270,17 @@ def nested_if_delta(
             .when(lang.isin("cpp", "c"), cpp_scores(text))
             .otherwise(generic_scores(text))
         )
-        df = df.withColumns({f"__n_{name}": findings_column(text, F.col(language), facts), f"__s_{name}": scores})
-        df = df.withColumns(
-            {
-                f"nested_ifs_{name}": F.size(f"__n_{name}"),
-                f"max_depth_{name}": F.coalesce(F.array_max(F.transform(f"__n_{name}", lambda n: n["depth"])), F.lit(0)),
-                f"complexity_{name}": F.col(f"__s_{name}.complexity"),
-                f"readability_{name}": F.col(f"__s_{name}.readability"),
-                f"lines_{name}": line_total(text),
-            }
-        ).drop(f"__p_{name}", f"__n_{name}", f"__s_{name}")
-    return df
+        measured |= {f"__n_{k}": findings_column(text, F.col(language), facts), f"__s_{k}": scores}
+    df = df.withColumns(measured)
+    out = []
+    for k, text in sides.items():
+        depths = F.array_max(F.transform(f"__n_{k}", lambda n: n["depth"]))
+        out += [
+            F.size(f"__n_{k}").alias(f"nested_ifs_{k}"), F.coalesce(depths, F.lit(0)).alias(f"max_depth_{k}"),
+            F.col(f"__s_{k}.complexity").alias(f"complexity_{k}"), F.col(f"__s_{k}.readability").alias(f"readability_{k}"),
+            line_total(text).alias(f"lines_{k}"),
+        ]
+    return df.select(*keep, *out)
 
 
 def nested_if_summary(delta: DataFrame, *by: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,42 +67,43 @@ FORMULAS = {
 }
 
 
-def _fill(template: str, values: dict[str, Column]) -> Column:
-    """Template text with {x} slots as one concat; other braces are literal."""
-    parts = [p for p in re.split(r"(\{[A-Za-z]\})", template) if p]
-    return F.concat(*[values[p[1]] if re.fullmatch(r"\{[A-Za-z]\}", p) and p[1] in values else F.lit(p) for p in parts], F.lit(""))
-
-
-def _text(layout, family: str, unit: str, name: Column, depth: Column) -> Column:
-    """Text of one layout (or of several in a row) for a variable and a depth, without the final newline."""
-    if isinstance(layout, list):
-        return F.regexp_replace(F.concat(*[F.concat(_text(part, family, unit, name, depth), F.lit("\n")) for part in layout]), r"\n\z", "")
-    head, level, middle, back, foot = layout
-    base = {"v": name, "V": F.initcap(name), "t": F.lit(unit), "D": F.repeat(F.lit(unit), depth + 1)}
-
-    def block(template: str, order: Column) -> Column:
-        def one(i: Column) -> Column:
-            number = {
-                "i": i, "a": i * 10, "b": 100 - i * 5, "c": i * 15, "e": 90 - i * 3, "m": i + 2,
-            }
-            values = base | {k: n.cast("string") for k, n in number.items()}
-            choices = [_fill(c, values) for c in CONDITIONS[family]]
-            values |= {
-                "q": first_match([(i % 5 == k, c) for k, c in enumerate(choices[:-1])], choices[-1]),
-                "n": F.repeat(F.lit(unit), i + 1), "N": F.repeat(F.lit(unit), i + 2),
-            }
-            return _fill(template, values)
-
-        return F.array_join(F.transform(order, one), "")
-
-    parts = [_fill(head, base)]
-    if level:
-        parts.append(block(level, F.sequence(F.lit(0), depth - 1)))
-    parts.append(_fill(middle, base))
-    if back:
-        parts.append(block(back, F.sequence(depth - 1, F.lit(0))))
-    parts.append(_fill(foot, base))
-    return F.regexp_replace(F.concat(*parts), r"\n\z", "")
+_NO_PART = ("", "", "", "", "")
+
+
+def _parts(layout) -> list[tuple]:
+    """First and second part of a layout; most have a single part."""
+    return layout if isinstance(layout, list) else [_NO_PART, layout]
+
+
+def _layout(cases: list[tuple[Column, tuple]]) -> Column:
+    """Struct of the five texts of the layout chosen by the first true condition (the last case is the default)."""
+    made = [(c, F.struct(*[F.lit(x).alias(f) for f, x in zip(("head", "level", "middle", "back", "foot"), texts)])) for c, texts in cases]
+    return first_match(made[:-1], made[-1][1])
+
+
+# --- fixed values: number slots of a level -------------------------------------------------------------------------
+_SLOTS = {"i": "i", "a": "i * 10", "b": "100 - i * 5", "c": "i * 15", "e": "90 - i * 3", "m": "i + 2"}
+
+
+def _block(template: str, order: str) -> str:
+    """SQL: the template once per level, with condition, numbers and indents filled in."""
+    text = f"replace({template}, '{{q}}', conditions[i % 5])"
+    for slot, value in _SLOTS.items():
+        text = f"replace({text}, '{{{slot}}}', string({value}))"
+    text = f"replace(replace({text}, '{{n}}', repeat(unit, i + 1)), '{{N}}', repeat(unit, i + 2))"
+    return f"array_join(transform({order}, i -> {text}), '')"
+
+
+def _text(layout: str) -> str:
+    """SQL: one layout struct as text."""
+    up, down = "sequence(0, depth - 1)", "sequence(depth - 1, 0)"
+    return f"concat({layout}.head, {_block(layout + '.level', up)}, {layout}.middle, {_block(layout + '.back', down)}, {layout}.foot)"
+
+
+def _named(text: str) -> Column:
+    """Fill the slots of the whole text and drop the final newline."""
+    filled = f"replace(replace(replace(replace({text}, '{{v}}', name), '{{V}}', initcap(name)), '{{t}}', unit), '{{D}}', repeat(unit, depth + 1))"
+    return F.regexp_replace(F.expr(filled), r"\n\z", "")
 
 
 def pair_parameters(ids: DataFrame, id_col: str = "id", seed: int = 0) -> DataFrame:
@@ -146,30 +145,32 @@ def with_metrics(params: DataFrame) -> DataFrame:
 
 
 def synth_pairs(ids: DataFrame, id_col: str = "id", seed: int = 0) -> DataFrame:
-    """One before/after pair per input id; each row is built on its own, so the work splits like the input."""
+    """One before/after pair per input id; each row is built on its own, so the work splits like the input.
+
+    Language and pattern choose a layout (a few texts with slots); one expression then fills any layout.
+    """
     rows = with_metrics(pair_parameters(ids, id_col, seed))
-    name, depth, lang, pattern = F.col("name"), F.col("depth"), F.col("language"), F.col("pattern")
-    wide, narrow = "    ", "  "
-    family = {"python": "python", "java": "java", "javascript": "javascript", "csharp": "java"}
-    unit = {"python": wide, "java": wide, "javascript": narrow, "csharp": wide}
-    original = first_match([(lang == k, _text(NESTED[k], family[k], unit[k], name, depth)) for k in NESTED], "")
-
-    def flat(key: str, k: str) -> Column:
-        return _text(FLAT[key], family[k], unit[k], name, depth)
-
-    refactored = first_match(
-        [
-            ((lang == "python") & (pattern == "early_return"), flat("python_early", "python")),
-            ((lang == "python") & (pattern == "method_extraction"), flat("python_extract", "python")),
-            (lang == "python", flat("python_guard", "python")),
-            ((lang == "java") & (pattern == "guard_clauses"), flat("java_guard", "java")),
-            ((lang == "java") & (pattern == "strategy_pattern"), flat("java_strategy", "java")),
-            (lang == "java", flat("java_early", "java")),
-            (lang == "javascript", flat("javascript", "javascript")),
-        ],
-        flat("csharp", "csharp"),
+    lang, pattern = F.col("language"), F.col("pattern")
+    flat = [
+        ((lang == "python") & (pattern == "early_return"), "python_early"), ((lang == "python") & (pattern == "method_extraction"), "python_extract"),
+        (lang == "python", "python_guard"), ((lang == "java") & (pattern == "guard_clauses"), "java_guard"),
+        ((lang == "java") & (pattern == "strategy_pattern"), "java_strategy"), (lang == "java", "java_early"), (lang == "javascript", "javascript"),
+        (F.lit(True), "csharp"),
+    ]
+    family = F.when(lang == "csharp", "java").otherwise(lang)
+    keep = rows.columns
+    rows = rows.withColumns(
+        {
+            "unit": F.when(lang == "javascript", "  ").otherwise("    "),
+            "conditions": first_match([(family == k, F.array(*map(F.lit, v))) for k, v in CONDITIONS.items()], F.array(*map(F.lit, CONDITIONS["java"]))),
+            "nested": _layout([(lang == k, v) for k, v in NESTED.items()]),
+            "first": _layout([(c, _parts(FLAT[k])[0]) for c, k in flat]),
+            "second": _layout([(c, _parts(FLAT[k])[1]) for c, k in flat]),
+        }
+    )
+    return rows.select(
+        *keep, _named(_text("nested")).alias("original_code"), _named(f"concat({_text('first')}, {_text('second')})").alias("refactored_code")
     )
-    return rows.withColumns({"original_code": original, "refactored_code": refactored})
 
 
 # --- prompts and splits --------------------------------------------------------------------------------------------

@@ -1 +1,132 @@
+"""Streaming queries: the given events table is read as a file stream, processed to the end, and the result table returned."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from codecorpus.plans.bindings import BINDINGS
+from codecorpus.plans.q_responses import PATTERN
+from codecorpus.plans.registry import instants, query
+from codecorpus.streaming import monitor as s
+
+
+def stream(t, name: str):
+    """A binding over ``events`` as a stream of the given parquet file."""
+    stored = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").schema
+    source = t.spark.readStream.schema(stored).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    return bound(t, instants(source), name)
+
+
+def bound(t, source, name: str):
+    view = f"cc_stream_{name}"
+    source.createOrReplaceTempView(view)
+    return t.spark.sql(BINDINGS[name][0].replace("FROM events", f"FROM {view}"))
+
+
+@query("q1_stream_error_counts", "error_events", oracle=f"SELECT error_type, {PATTERN} AS pattern, count(*) AS errors FROM error_events GROUP BY 1, 2")
+def _q1(t):
+    out, _ = s.run_available(s.error_counts(stream(t, "error_events")), t.folder, "update", ["error_type", "pattern"])
+    return out
+
+
+_HEALTH = f"""
+WITH w AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) - k * INTERVAL 1 MINUTE AS ws, {PATTERN} AS pattern FROM error_events, range(0, 5) r(k)),
+c AS (SELECT ws, pattern, count(*) AS n FROM w GROUP BY 1, 2)
+SELECT epoch_us(ws) AS window_us, CAST(sum(n) AS BIGINT) AS recent_errors, first(pattern ORDER BY n DESC, pattern) AS most_common_pattern,
+  CASE WHEN sum(n) > 3 THEN 'degraded' ELSE 'healthy' END AS status FROM c GROUP BY ws
+"""
+
+
+@query("q2_health", "error_events", oracle=_HEALTH)
+def _q2(t):
+    return s.health(t.error_events, 3).select(F.unix_micros(F.col("window_start").cast("timestamp")).alias("window_us"), "recent_errors", "most_common_pattern", "status")
+
+
+@query("q2_stream_health")
+def _q2b(t):
+    out, _ = s.run_available(s.health(stream(t, "error_events"), 3), t.folder)
+    return out
+
+
+@query("q3_stream_session_errors")
+def _q3(t):
+    out, _ = s.run_available(s.session_errors(stream(t, "error_events")), t.folder, "update", ["session_id", "window_start"])
+    return out
+
+
+@query("q3_live_session_errors", "error_events", oracle="SELECT event_id, session_id FROM error_events WHERE ts > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 24 HOUR")
+def _q3b(t):
+    return s.live_session_errors(t.error_events, F.lit("2024-01-20 00:00:00").cast("timestamp")).select("event_id", "session_id")
+
+
+_SLOW = "SELECT event_id, 'Slow request: ' || path || ' took ' || CAST(CAST(round(CAST(CAST(processing_time AS VARCHAR) AS DECIMAL(38, 20)), 2) AS DECIMAL(18, 2)) AS VARCHAR) || 's' AS message FROM requests WHERE processing_time > 10"
+
+
+@query("q4_slow_requests", "requests", oracle=_SLOW)
+def _q4(t):
+    return s.slow_requests(t.requests).select("event_id", "message")
+
+
+@query("q4_stream_slow_requests", "requests", oracle=_SLOW)
+def _q4b(t):
+    out, _ = s.run_available(s.slow_requests(stream(t, "requests")), t.folder)
+    return out.select("event_id", "message")
+
+
+@query("q4_request_counts", "requests", oracle="SELECT path, status_code, count(*) AS requests FROM requests GROUP BY 1, 2")
+def _q4c(t):
+    return s.request_counts(t.requests)
+
+
+def _sides(log):
+    starts = log.filter("phase = 'start' AND operation_id % 7 <> 0").select("operation_id", "ts", "operation_type")
+    return starts, log.filter("phase = 'end'").select("operation_id", "ts")
+
+
+@query("q5_pair_operations", "log_events", oracle="""
+WITH s AS (SELECT operation_id, ts, operation_type FROM log_events WHERE phase = 'start' AND operation_id % 7 <> 0), e AS (SELECT operation_id, ts FROM log_events WHERE phase = 'end')
+SELECT s.operation_id, operation_type, epoch_us(s.ts) AS start_us, (epoch_us(e.ts) - epoch_us(s.ts)) / 1e6 AS duration, CASE WHEN e.ts IS NULL THEN 'open' ELSE 'completed' END AS state
+FROM s LEFT JOIN e ON s.operation_id = e.operation_id AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 1 DAY""")
+def _q5(t):
+    return s.pair_operations(*_sides(t.log_events)).select("operation_id", "operation_type", F.unix_micros(F.col("start_ts").cast("timestamp")).alias("start_us"), "duration", "state")
+
+
+@query("q5_unknown_ends", "log_events", oracle="""
+SELECT operation_id, 'Attempted to end unknown operation: ' || operation_id AS message FROM log_events WHERE phase = 'end'
+  AND operation_id NOT IN (SELECT operation_id FROM log_events WHERE phase = 'start' AND operation_id % 7 <> 0)""")
+def _q5b(t):
+    return s.unknown_ends(*_sides(t.log_events)).select("operation_id", "message")
+
+
+@query("q5_stream_pair_operations")
+def _q5c(t):
+    out, _ = s.run_available(s.pair_operations(*_sides(stream(t, "log_events"))), t.folder)
+    return out
+
+
+@query("q6_stream_progress", "files", oracle="""
+SELECT session_id, count(*) AS seen_files, count(*) FILTER (status IN ('completed', 'failed')) AS finished_files, count(*) FILTER (status = 'failed') AS failed_files FROM files GROUP BY 1""")
+def _q6(t):
+    files = t.files.select("file_id", "session_id", "status")
+    files.write.parquet(f"{t.folder}/in")
+    source = t.spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 2).parquet(f"{t.folder}/in")
+    out, _ = s.run_available(s.progress(source), f"{t.folder}/run", "update", ["session_id"])
+    return out
+
+
+@query("q7_stream_corpus")
+def _q7(t):
+    t.code_files.select("language", F.col("content").alias("value")).write.partitionBy("language").text(f"{t.folder}/in")
+    out, _ = s.run_available(s.stream_corpus(t.spark, f"{t.folder}/in", 4), f"{t.folder}/run")
+    return out.select(F.regexp_extract("relative_path", "^([^/]*)", 1).alias("folder"), "language", "complexity", "overall")
+
+
+@query("q8_late_events")
+def _q8(t):
+    """Events before the cut arrive after the rest: what lies behind the watermark is dropped and counted."""
+    cut = F.col("event_id") % 50 == 0
+    t.events.filter(~cut).coalesce(1).write.parquet(f"{t.folder}/in/part=0")
+    t.events.filter(cut).coalesce(1).write.parquet(f"{t.folder}/in/part=1")
+    source = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{t.folder}/in")
+    out, run = s.run_available(s.health(bound(t, source, "error_events"), 3), f"{t.folder}/run")
+    return out.agg(F.count("*").alias("windows"), F.sum("recent_errors").alias("counted_errors")).withColumn("dropped_late", F.lit(s.dropped_late(run)))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codecorpus.plans.bindings import BINDINGS, with_tables
 from codecorpus.sources.workdir import new_folder
@@ -38,7 +39,7 @@ class Tables:
 
     def _load(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
-            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            df = instants(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
             return spread(df, "doc_id") if name == "documents" else df
         sql, needs = BINDINGS[name]
         return self.sql(sql, *needs)
@@ -57,6 +58,11 @@ class Tables:
         return new_folder(self.spark)
 
 
+def instants(df: DataFrame) -> DataFrame:
+    """Zone-less timestamps as UTC instants (the session zone is UTC), which watermarks and epoch functions need."""
+    return df.withColumns({f.name: F.col(f.name).cast("timestamp") for f in df.schema if f.dataType.typeName() == "timestamp_ntz"})
+
+
 SMALL_INPUT = 64 << 20
 
 

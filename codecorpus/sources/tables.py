@@ -6,11 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SESSION_SCHEMA = T.StructType.fromDDL(
+_TYPES = {
+    "string": T.StringType(), "timestamp": T.TimestampType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "bigint": T.LongType(),
+}
+
+
+def _schema(text: str) -> T.StructType:
+    """Schema from ``name type`` pairs; unlike the DDL parser it needs no session at import time."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (part.split() for part in text.split(","))])
+
+
+SESSION_SCHEMA = _schema(
     "session_id string, original_filename string, created_at timestamp, status string, processing_mode string, refactor_type string, "
     "preserve_comments boolean, add_documentation boolean, follow_conventions boolean, total_files int, processed_files int, error_message string"
 )
-FILE_SCHEMA = T.StructType.fromDDL(
+FILE_SCHEMA = _schema(
     "file_id bigint, session_id string, original_path string, language string, original_content string, refactored_content string, "
     "status string, error_message string, created_at timestamp, complexity_score int, readability_score int, maintainability_score int, "
     "overall_quality_score int"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from codecorpus.functions.language import detect_language
@@ -143,7 +144,7 @@ def run_available(stream: DataFrame, folder: str, mode: str = "append", keys: li
 
     query = writer.foreachBatch(save).start()
     query.awaitTermination()
-    schema = stream.schema.add("batch_id", "long")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
     rows = spark.read.schema(schema).parquet(out)
     newest = F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "batch_id").alias("__n")
     return rows.groupBy(*keys).agg(newest).select(*keys, "__n.*"), query

@@ -161,7 +161,7 @@ CONTENT_PATTERNS = {
     "Go": [r"package\s+\w+", r"import\s+[\"']\w+[\"']", r"func\s+\w+\s*\(", r"fmt\.Print"],
     "Rust": [r"fn\s+\w+\s*\(", r"let\s+\w+\s*=", r"use\s+\w+", r"println!\s*\("],
     "HTML": [r"<!DOCTYPE\s+html>", r"<html\b", r"<head\b", r"<body\b", r"<div\b"],
-    "CSS": [r"\w+\s*\{[^}]*\}", r"@media\s+", r"@import\s+", r"#\w+\s*\{", r"\.\w+\s*\{"],
+    "CSS": [r"(?<!\w)\w+\s*\{[^}]*\}", r"@media\s+", r"@import\s+", r"#\w+\s*\{", r"\.\w+\s*\{"],
 }
 
 # --- fixed values: directories and extensions ----------------------------------------------------------------------

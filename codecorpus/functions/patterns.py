@@ -45,6 +45,31 @@ def search(col: Column, pattern: str, flags: str = "") -> Column:
     return col.rlike(flags + rx(pattern))
 
 
+def literal_of(pattern: str) -> str:
+    """Longest lower-case literal every match of an alternation-free pattern must contain, '' when there is none."""
+    runs, run, i = [], "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+            c = pattern[i] if not pattern[i].isalpha() else ""
+        elif c == "[":
+            i = pattern.index("]", i + 1)
+            c = ""
+        elif c in "^$.(){}|":
+            c = ""
+        elif c in "*?":
+            run, c = run[:-1], ""
+        elif c == "+":
+            c = ""
+        run += c
+        if not c:
+            runs.append(run)
+            run = ""
+        i += 1
+    return max([*runs, run], key=len).lower()
+
+
 def group(col: Column, pattern: str, idx: int, flags: str = "") -> Column:
     """Group ``idx`` of the first match, '' when there is none."""
     return F.regexp_extract(col, flags + rx(pattern), idx)
@@ -56,8 +81,12 @@ def sub(col: Column, pattern: str, replacement: str, flags: str = "") -> Column:
 
 
 def word_count(col: Column, word: str) -> Column:
-    """Occurrences of ``word`` as a whole word."""
-    return F.regexp_count(col, F.lit(f"(?<!{WORD}){word}(?!{WORD})"))
+    """Occurrences of ``word`` as a whole word. The literal leads and the look-behind follows it, so the engine can skip ahead."""
+    return F.regexp_count(col, F.lit(whole_word(word)))
+
+
+def whole_word(word: str) -> str:
+    return f"{word}(?<!{WORD}{word})(?!{WORD})"
 
 
 def count_of(col: Column, needle: str) -> Column:

@@ -61,7 +61,7 @@ def javascript_scores(text: Column) -> Column:
     return _scores(
         clamp(100 - 3 * count_any(text, dims.BRANCH_WORDS), 65, 100),
         clamp(100 - 3 * long_lines(text, 120) - F.when(_sparse_comments(text, "//|/\\*", 0.1), 20).otherwise(0), 0, 100),
-        clamp(100 - F.when(functions == 0, 20).otherwise(0) - 5 * count_re(text, r"(?<!\w)var\s+"), 0, 100),
+        clamp(100 - F.when(functions == 0, 20).otherwise(0) - 5 * count_re(text, r"var(?<!\wvar)\s+"), 0, 100),
     )
 
 
@@ -76,7 +76,8 @@ def java_scores(text: Column) -> Column:
     )
 
 
-_C_FUNCTION = r"\w+\s+\w+\s*\([^)]*\)\s*\{"
+# Anchored at word starts and possessive: neighbouring classes are disjoint, so nothing is gained by backtracking.
+_C_FUNCTION = r"(?<!\w)\w++\s++\w++\s*+\([^)]*+\)\s*+\{"
 
 
 def cpp_scores(text: Column) -> Column:
@@ -163,13 +164,14 @@ def score_python(df: DataFrame, content: str = "content") -> DataFrame:
     return _with_scores(df, python_scores(F.col(content), F.col("__facts"))).drop("__facts")
 
 
-def score(df: DataFrame, content: str = "content", language: str = "language") -> DataFrame:
-    """Dispatch by lower-cased language name; display names such as ``C++`` or ``JSX`` take the generic scores.
+def score(df: DataFrame, content: str = "content", language: str = "language", facts: str | None = None) -> DataFrame:
+    """Dispatch by lower-cased language name; display names such as ``C++`` or ``JSX`` take the generic scores. ``facts`` names
+    a column of node facts when the input already has one.
 
     Only the branch of the file's own language is evaluated, and only Python text crosses to the Python worker.
     """
     text, lang = F.col(content), F.lower(F.col(language))
-    df = df.withColumn("__facts", facts_column(F.when(lang == "python", text)))
+    df = df.withColumn("__facts", F.col(facts) if facts else facts_column(F.when(lang == "python", text)))
     chosen = (
         F.when(lang == "python", python_scores(text, F.col("__facts")))
         .when(lang == "javascript", javascript_scores(text))
@@ -215,8 +217,8 @@ def counts_java(df: DataFrame, content: str = "content") -> DataFrame:
         {
             "cyclomatic_complexity": 1 + _whole_words(text, dims.COUNT_WORDS + ["catch"]),
             "lines_of_code": nonblank_lines(text) - lines_starting(text, "//"),
-            "method_count": count_re(text, r"\b(public|private|protected)?\s*(static)?\s*\w+\s+\w+\s*\("),
-            "class_count": count_re(text, r"(?<!\w)class\s+\w+"),
+            "method_count": count_re(text, r"(?<!\w)(?=\w)(public|private|protected)?\s*(static)?\s*\w+\s+\w+\s*\("),
+            "class_count": count_re(text, r"class(?<!\wclass)\s+\w+"),
         }
     )
 
@@ -228,7 +230,7 @@ def counts_cpp(df: DataFrame, content: str = "content") -> DataFrame:
             "cyclomatic_complexity": 1 + _whole_words(text, dims.COUNT_WORDS),
             "lines_of_code": nonblank_lines(text) - lines_starting(text, "//|/\\*"),
             "function_count": count_re(text, _C_FUNCTION),
-            "class_count": count_re(text, r"(?<!\w)(class|struct)\s+\w+"),
+            "class_count": count_re(text, r"(class(?<!\wclass)|struct(?<!\wstruct))\s+\w+"),
         }
     )
 

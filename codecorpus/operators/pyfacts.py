@@ -8,8 +8,10 @@ from __future__ import annotations
 import ast
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codecorpus.functions.patterns import is_blank
 
@@ -97,6 +99,29 @@ def facts_column(code: Column) -> Column:
     return F.arrow_udf(_facts_batch, FACT_TYPE)(code)
 
 
+def with_facts(df: DataFrame, content: str, language: str = "language", out: str = "facts") -> DataFrame:
+    """Append the facts of Python rows (NULL for others) in a batch operator.
+
+    Unlike :func:`facts_column` this is a barrier for the optimizer: use it on a text that itself depends on facts, so that the
+    long expression behind it is evaluated once and never copied into the arguments of a second Python call.
+    """
+    names = df.columns
+    at, lang = names.index(content), names.index(language)
+
+    def run(batches):
+        for batch in batches:
+            languages = pc.utf8_lower(batch.column(lang))
+            codes = pc.if_else(pc.equal(languages, "python"), batch.column(at), pa.scalar(None, batch.column(at).type))
+            yield pa.RecordBatch.from_arrays([*batch.columns, _facts_batch(codes)], names=[*names, out])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, _fact_type())]))
+
+
+def _fact_type() -> T.ArrayType:
+    kinds = {"int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType(), "array<string>": T.ArrayType(T.StringType())}
+    return T.ArrayType(T.StructType([T.StructField(n, kinds[t]) for n, t in FACT_FIELDS]))
+
+
 def python_facts(files: DataFrame, content: str = "content", language: str = "language", key: str = "file_id") -> DataFrame:
     """One row per kept node of every Python file, or one ``error`` row."""
     picked = files.filter(F.lower(F.col(language)) == "python")

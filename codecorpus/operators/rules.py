@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codecorpus.functions.patterns import (
-    BLANK_RUN, WORD, count_re, indent_of, line_total, rx, split_lines, strip, sub,
+    BLANK_RUN, WORD, count_of, count_re, indent_of, line_total, rx, split_lines, strip, sub,
 )
 from codecorpus.operators.metrics import overall_score, score
-from codecorpus.operators.pyfacts import facts_column
+from codecorpus.operators.pyfacts import facts_column, with_facts
 
 # --- fixed values: patterns and replacements of the regex rules ----------------------------------------------------
 # name: (language, flags, [(pattern, replacement), ...]); replacements use $n references.
@@ -26,24 +26,24 @@ REGEX_RULES = {
     "bool_ne_true": ("python", "", [(r"if\s+([\w\.]+)\s*!=\s*True\b", "if not $1")]),
     "bool_ne_false": ("python", "", [(r"if\s+([\w\.]+)\s*!=\s*False\b", "if $1")]),
     "list_comprehension": ("python", "(?dm)", [
-        (r"(\s*)(\w+)\s*=\s*\[\]\s*\n\s*for\s+(\w+)\s+in\s+(\w+):\s*\n\s*\2\.append\(([^)]+)\)", "$1$2 = [$5 for $3 in $4]"),
+        (r"(?:(?<!\s)(?=\s)|(?<![\s\w])(?=\w))(\s*)(\w+)\s*=\s*\[\]\s*\n\s*for\s+(\w+)\s+in\s+(\w+):\s*\n\s*\2\.append\(([^)]+)\)", "$1$2 = [$5 for $3 in $4]"),
     ]),
     "except_exception": ("python", "(?dm)", [(r"except:\s*$", "except Exception:"), (r"except\s+\w+:\s*$", "$0\n    pass")]),
     "js_var_const": ("javascript", "(?dm)", [(r"^(@*)var (?=@*\w+@*=)", "$1const ")]),
-    "js_var_const_any": ("javascript", "", [(r"\bvar\s+(\w+)\s*=", "const $1 =")]),
+    "js_var_const_any": ("javascript", "", [(r"var(?<!\wvar)\s+(\w+)\s*=", "const $1 =")]),
     "js_var_let": ("javascript", "(?dm)", [(r"^(@*)var@+", "$1let ")]),
     "js_arrow": ("javascript", "", [(r"function\s*\(([^)]*)\)\s*\{\s*return\s+([^;]+);?\s*\}", "($1) => $2")]),
     "js_template_literal": ("javascript", "", [(r'"([^"]*?)"\s*\+\s*(\w+)\s*\+\s*"([^"]*?)"', "`$1\\${$2}$3`")]),
     "java_private_field": ("java", "(?dm)", [(r"^(\s*)(\w+\s+\w+\s*;)", "$1private $2")]),
-    "java_diamond": ("java", "", [(r"(\w+)<([^>]+)>\s+(\w+)\s*=\s*new\s+\w+<[^>]+>\(", "$1<$2> $3 = new $1<>(")]),
+    "java_diamond": ("java", "", [(r"(?<!\w)(\w+)<([^>]+)>\s+(\w+)\s*=\s*new\s+\w+<[^>]+>\(", "$1<$2> $3 = new $1<>(")]),
     "java_for_each": ("java", "", [
         (r"for\s*\(\s*(\w+)\s+(\w+)\s*:\s*(\w+)\s*\)\s*\{(?=[^}]*System\.out\.println)[^}]+\}", "$3.forEach(System.out::println);"),
     ]),
-    "cpp_nullptr": ("cpp", "", [(r"\bNULL\b", "nullptr")]),
+    "cpp_nullptr": ("cpp", "", [(r"NULL(?<!\wNULL)(?!\w)", "nullptr")]),
     "cpp_using": ("cpp", "(?d)", [(r"typedef\s+(.+)\s+(\w+);", "using $2 = $1;")]),
     "cpp_static_cast": ("cpp", "", [(r"\((\w+)\*?\)\s*(\w+)", "static_cast<$1>($2)")]),
     "cpp_unique_ptr": ("cpp", "", [
-        (r"(\w+)\*\s+(\w+)\s*=\s*new\s+\w+\s*\([^)]*\)", "std::unique_ptr<$1> $2 = std::make_unique<$1>()"),
+        (r"(?<!\w)(\w+)\*\s+(\w+)\s*=\s*new\s+\w+\s*\([^)]*\)", "std::unique_ptr<$1> $2 = std::make_unique<$1>()"),
     ]),
     "cpp_range_for": ("cpp", "", [
         (r"for\s*\(\s*\w+\s+\w+\s*=\s*0\s*;\s*\w+\s*<\s*(\w+)\.size\(\)\s*;\s*\+\+\w+\s*\)", "for(const auto& item : $1)"),
@@ -53,7 +53,7 @@ REGEX_RULES = {
 
 @dataclass(frozen=True)
 class Rule:
-    """``language`` '' means any; ``message`` describes one hit."""
+    """``language`` '' means any; ``message`` describes one hit; ``delta`` counts hits from the old and the new text instead."""
 
     name: str
     language: str
@@ -61,6 +61,7 @@ class Rule:
     hits: Callable[[Column], Column]
     message: str = ""
     opt_in: bool = False
+    delta: Callable[[Column, Column], Column] | None = None
 
 
 def _regex_rule(name: str, message: str = "", opt_in: bool = False) -> Rule:
@@ -109,7 +110,7 @@ def _type_hints(text: Column) -> Column:
 # Every signature-with-body is first marked, so that one which must stay unchanged still uses up its text.
 
 _MARK = ("\ue000", "\ue001", "\ue002")  # private-use characters
-_MEMBER = r"(\w+\s+\w+\s*\([^)]*\))(\s*)\{([^}]+)\}"
+_MEMBER = r"(?<!\w)(\w+\s+\w+\s*\([^)]*\))(\s*)\{([^}]+)\}"
 # Conditions are single look-aheads over character classes: a repeated group would recurse once per character.
 _CONST = (
     f"{_MARK[0]}(?![^{_MARK[1]}]*const)([^{_MARK[1]}]*){_MARK[1]}[^{_MARK[2]}]*{_MARK[2]}" + r"\{(?![^}]*this->)([^}=]+)\}"
@@ -128,10 +129,11 @@ def _const_members(text: Column) -> Column:
 
 
 def _tidy(text: Column) -> Column:
-    """Strip trailing white space and keep one blank line of each run."""
-    stripped = F.regexp_replace(text, rf"(?<!{BLANK_RUN}){BLANK_RUN}+(?=\n|\z)", "")
-    middle = F.regexp_replace(stripped, r"(?:(?<=\n\n)|(?<=\A\n))\n+", "")
-    return F.regexp_replace(middle, r"(?<=\n)\n\z|\A\n\z", "")
+    """Strip trailing white space and keep one blank line of each run. Look-behinds follow the first character of a match, so
+    they are not tried at every position."""
+    stripped = F.regexp_replace(text, rf"{BLANK_RUN}(?<!{BLANK_RUN}{BLANK_RUN}){BLANK_RUN}*+(?=\n|\z)", "")
+    middle = F.regexp_replace(stripped, r"\n(?:(?<=\n\n\n)|(?<=\A\n\n))\n*", "")
+    return F.regexp_replace(middle, r"\n\z(?:(?<=\n\n)|(?<=\A\n))", "")
 
 
 def _breakable(line: Column) -> Column:
@@ -233,14 +235,16 @@ CATALOGUE: list[Rule] = [
     _regex_rule("cpp_static_cast"),
     _regex_rule("cpp_unique_ptr"),
     _regex_rule("cpp_range_for"),
-    Rule("cpp_const_member", "cpp", _const_members, lambda t: F.regexp_count(_marked(t), F.lit(_CONST))),
+    Rule("cpp_const_member", "cpp", _const_members, lambda t: F.regexp_count(_marked(t), F.lit(_CONST)),
+         delta=lambda old, new: count_of(new, " const {") - count_of(old, " const {")),
     Rule("break_assignment", "python", lambda t: _lines_rule(t, _break_assignment), lambda t: _lines_hits(t, lambda s, _: _breakable(s)),
          "Broke long assignment line"),
     Rule("js_doc", "javascript", lambda t: _lines_rule(t, _block_comment(_js_head, "function")), lambda t: _lines_hits(t, _js_head),
          "Added JSDoc comment placeholder"),
     Rule("java_doc", "java", lambda t: _lines_rule(t, _block_comment(_java_head, "method")), lambda t: _lines_hits(t, _java_head),
          "Added Javadoc comment placeholder"),
-    Rule("tidy", "", _tidy, lambda t: line_total(t) - line_total(_tidy(t)), "Cleaned up excessive blank lines"),
+    Rule("tidy", "", _tidy, lambda t: line_total(t) - line_total(_tidy(t)), "Cleaned up excessive blank lines",
+         delta=lambda old, new: line_total(old) - line_total(new)),
 ]
 BY_NAME = {r.name: r for r in CATALOGUE}
 DEFAULT_RULES = [r.name for r in CATALOGUE if not r.opt_in]
@@ -264,17 +268,24 @@ def apply_rules(
 
 
 def _step(rule: Rule, lang: Column) -> Callable[[Column], Column]:
-    def step(s: Column) -> Column:
-        hits = rule.hits(s["t"]).cast("int")
-        applies = hits > 0 if not rule.language else (lang == rule.language) & (hits > 0)
-        # A layout rule may change a text without a counted hit.
-        changed = applies if rule.name != "tidy" else F.lit(True)
+    mine = F.lit(True) if not rule.language else lang == rule.language
+
+    def state(s: Column, text: Column, hits: Column) -> Column:
         entry = F.array(F.struct(F.lit(rule.name).alias("k"), hits.alias("v")))
-        return F.struct(
-            F.when(changed, rule.apply(s["t"])).otherwise(s["t"]).alias("t"), F.when(applies, F.concat(s["h"], entry)).otherwise(s["h"]).alias("h")
-        )
+        return F.struct(text.alias("t"), F.when(hits > 0, F.concat(s["h"], entry)).otherwise(s["h"]).alias("h"))
+
+    def counted(s: Column) -> Column:
+        """Count first; most rules do not fire, and then the text is not rewritten."""
+        hits = F.array(rule.hits(s["t"]).cast("int"))
+        fired = F.transform(hits, lambda n: F.when(n > 0, state(s, rule.apply(s["t"]), n)).otherwise(s))
+        return F.when(mine, F.get(fired, F.lit(0))).otherwise(s)
+
+    def compared(s: Column) -> Column:
+        """Rewrite first, count from both texts."""
+        changed = F.transform(F.array(rule.apply(s["t"])), lambda new: state(s, new, rule.delta(s["t"], new).cast("int")))
+        return F.when(mine, F.get(changed, F.lit(0))).otherwise(s)
 
-    return step
+    return compared if rule.delta else counted
 
 
 def rule_totals(applied: DataFrame) -> DataFrame:
@@ -429,7 +440,7 @@ def reprocess(files: DataFrame) -> DataFrame:
     df = files.withColumn("__base", F.when(done, F.col("refactored_content")).otherwise(F.col("original_content")))
     df = enhance(df, "__base")
     df = df.withColumn("updated", (F.size("improvements") > 0) & (F.col("new_content") != F.col("__base")))
-    df = score(df, "new_content")
+    df = score(with_facts(df, "new_content", out="__new_facts"), "new_content", facts="__new_facts")
     info = F.concat(F.lit("Enhanced: "), F.array_join(F.slice("improvements", 1, 3), ", "))
     up = F.col("updated")
     overall = overall_score(F.col("complexity"), F.col("readability"), F.col("maintainability"))

@@ -6,6 +6,8 @@ ASCII-only, so :func:`rx` expands these classes to explicit ones before the patt
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,7 @@ def search(col: Column, pattern: str, flags: str = "") -> Column:
 
 def literal_of(pattern: str) -> str:
     """Longest lower-case literal every match of an alternation-free pattern must contain, '' when there is none."""
+    pattern = re.sub(r"\(\?<?[!=][^)]*\)", "", pattern)  # look-arounds consume nothing
     runs, run, i = [], "", 0
     while i < len(pattern):
         c = pattern[i]

@@ -43,6 +43,14 @@ def _pct(part: str, whole: str) -> Column:
     return ratio(F.col(part), F.col(whole), 100)
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Columns of several one-row tables in one row: a union and an aggregate, so no cross join is needed."""
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part, allowMissingColumns=True)
+    return union.agg(*[F.first(c, ignorenulls=True).alias(c) for c in union.columns])
+
+
 def overall_accuracy(sessions: DataFrame, files: DataFrame) -> DataFrame:
     """One row: session and file counts by status, success rates, share of files completed with a positive score."""
     s = sessions.agg(
@@ -54,9 +62,7 @@ def overall_accuracy(sessions: DataFrame, files: DataFrame) -> DataFrame:
         *[_count(_status(v)).alias(f"{v}_files") for v in ("completed", "failed", "processing")],
         _count(_scored()).alias("files_with_quality_metrics"),
     )
-    # Both sides are global aggregates, i.e. exactly one row each.
-    one = s.withColumn("__k", F.lit(1)).join(f.withColumn("__k", F.lit(1)), "__k").drop("__k")
-    return one.withColumns(
+    return one_row(s, f).withColumns(
         {
             "session_success_rate": _pct("completed_sessions", "total_sessions"),
             "file_success_rate": _pct("completed_files", "total_files"),

@@ -189,14 +189,13 @@ def _def_name(line: Column) -> Column:
     return strip(F.substring_index(F.get(F.split(line, "def ", -1), F.lit(1)), "(", 1))
 
 
-def python_docstrings(df: DataFrame, content: str = "content", out: str = "new_content", applies: Column | None = None) -> DataFrame:
+def python_docstrings(df: DataFrame, content: str = "content", out: str = "new_content", facts: str | None = None) -> DataFrame:
     """Add a placeholder docstring after the header of public functions without one; ``documented`` lists their names.
 
-    The names come from the node facts of the same text, so unparsable files stay unchanged.
+    The names come from the node facts of the text (column ``facts`` when already known), so unparsable files stay unchanged.
     """
     text = F.col(content)
-    applies = F.lit(True) if applies is None else applies
-    df = df.withColumn("__f", facts_column(F.when(applies, text)))
+    df = df.withColumn("__f", F.col(facts) if facts else facts_column(text))
     bare = F.filter("__f", lambda n: (n["kind"] == "FunctionDef") & ~n["has_doc"] & ~n["name"].startswith("_"))
     df = df.withColumn("__n", F.transform(bare, lambda n: n["name"]))
     head = lambda s: strip(s).startswith("def ") & s.contains(":") & F.array_contains("__n", _def_name(s))
@@ -414,10 +413,18 @@ ENHANCE_RULES = ["bool_eq_true", "bool_eq_false", "break_assignment", "js_var_co
 
 
 def enhance(df: DataFrame, content: str, language: str = "language") -> DataFrame:
-    """Add ``new_content`` and ``improvements`` (one message per hit) of the enhancement rules."""
-    first = apply_rules(df, [r for r in ENHANCE_RULES if r != "tidy"], content, language).withColumnsRenamed({"hits": "__hits", "new_content": "__c"})
-    doc = python_docstrings(first, "__c", "__d", F.lower(F.col(language)) == "python")
-    last = apply_rules(doc, ["tidy"], "__d", language)
+    """Add ``new_content`` and ``improvements`` (one message per hit) of the enhancement rules.
+
+    Python that does not parse gets the layout rule only. The base text is parsed once: the other rules do not change which
+    functions lack a docstring.
+    """
+    lang = F.lower(F.col(language))
+    base = df.withColumn("__facts", facts_column(F.when(lang == "python", F.col(content))))
+    broken = (lang == "python") & F.exists("__facts", lambda n: n["kind"] == "error")
+    base = base.withColumn("__lang_of", F.when(broken, "").otherwise(lang))
+    first = apply_rules(base, [r for r in ENHANCE_RULES if r != "tidy"], content, "__lang_of").withColumnsRenamed({"hits": "__hits", "new_content": "__c"})
+    doc = python_docstrings(first, "__c", "__d", "__facts")
+    last = apply_rules(doc, ["tidy"], "__d", "__lang_of")
     n = lambda name: F.coalesce(F.try_element_at("__hits", F.lit(name)), F.lit(0))
     repeated = [F.array_repeat(F.lit(BY_NAME[r].message), n(r)) for r in ("bool_eq_true", "bool_eq_false", "break_assignment")]
     var = F.when(n("js_var_const_any") > 0, F.array(F.concat(F.lit("Replaced "), n("js_var_const_any").cast("string"), F.lit(" var declarations with const"))))
@@ -430,7 +437,7 @@ def enhance(df: DataFrame, content: str, language: str = "language") -> DataFram
         F.array_repeat(F.lit(BY_NAME["java_doc"].message), n("java_doc")),
         F.when(F.try_element_at("hits", F.lit("tidy")) > 0, F.array(F.lit(BY_NAME["tidy"].message))).otherwise(none),
     )
-    return last.withColumn("improvements", messages).drop("__hits", "__c", "__d", "documented", "hits")
+    return last.withColumn("improvements", messages).drop("__hits", "__c", "__d", "documented", "hits", "__facts", "__lang_of")
 
 
 def reprocess(files: DataFrame) -> DataFrame:

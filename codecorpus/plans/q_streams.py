@@ -123,10 +123,10 @@ def _q7(t):
 
 @query("q8_late_events")
 def _q8(t):
-    """Events before the cut arrive after the rest: what lies behind the watermark is dropped and counted."""
-    cut = F.col("event_id") % 50 == 0
-    t.events.filter(~cut).coalesce(1).write.parquet(f"{t.folder}/in/part=0")
-    t.events.filter(cut).coalesce(1).write.parquet(f"{t.folder}/in/part=1")
+    """Every 50th event arrives in a third batch: what lies behind the watermark of the first is dropped and counted."""
+    late = F.col("event_id") % 50 == 0
+    for part, cond in enumerate((~late & (F.col("event_id") % 2 == 1), ~late & (F.col("event_id") % 2 == 0), late)):
+        t.events.filter(cond).coalesce(1).write.parquet(f"{t.folder}/in/part={part}")
     source = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{t.folder}/in")
     out, run = s.run_available(s.health(bound(t, source, "error_events"), 3), f"{t.folder}/run")
     return out.agg(F.count("*").alias("windows"), F.sum("recent_errors").alias("counted_errors")).withColumn("dropped_late", F.lit(s.dropped_late(run)))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecorpus.plans.bindings import BINDINGS, with_tables
+from codecorpus.session import SETTINGS
 from codecorpus.sources.workdir import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +29,8 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir
         self._cache: dict[str, DataFrame] = {}
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        for key in ("spark.sql.session.timeZone", "spark.sql.execution.arrow.maxRecordsPerBatch"):
+            spark.conf.set(key, SETTINGS[key])
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or (name not in BASE_TABLES and name not in BINDINGS):

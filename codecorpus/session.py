@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Whole source texts travel in Arrow batches, so a batch holds few rows.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
 }
 
 

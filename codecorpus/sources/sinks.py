@@ -11,17 +11,16 @@ from codecorpus.operators import accuracy
 def report(sessions: DataFrame, files: DataFrame, start, end) -> DataFrame:
     """One nested row: period, overall accuracy, language metrics, quality, errors, validation.
 
-    The parts are tiny aggregates (one row, or one per language or class); each is packed into a struct or map and they are
-    joined on a constant key.
+    The parts are tiny aggregates (one row, or one per language or class); each is packed into a struct or map in one row.
     """
 
     def packed(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.lit(1).alias("__k"), F.struct(*df.columns).alias(name))
+        return df.select(F.struct(*df.columns).alias(name))
 
     def keyed(df: DataFrame, key: str, name: str) -> DataFrame:
         values = [c for c in df.columns if c != key]
         entry = F.struct(F.col(key).alias("key"), F.struct(*values).alias("value"))
-        return df.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(name)).withColumn("__k", F.lit(1))
+        return df.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(name))
 
     parts = [
         packed(accuracy.overall_accuracy(sessions, files), "overall_accuracy"),
@@ -31,11 +30,8 @@ def report(sessions: DataFrame, files: DataFrame, start, end) -> DataFrame:
         keyed(accuracy.error_rate(files), "language", "error_by_language"),
         packed(accuracy.validation_accuracy(files), "validation_metrics"),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, "__k")
     period = F.struct(F.lit(start).cast("timestamp").alias("start_date"), F.lit(end).cast("timestamp").alias("end_date"))
-    return out.withColumn("analysis_period", period).drop("__k")
+    return accuracy.one_row(*parts).withColumn("analysis_period", period)
 
 
 def write_report(df: DataFrame, path: str) -> None:

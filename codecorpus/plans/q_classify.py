@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codecorpus.functions import dims, language as lang
-from codecorpus.plans.duck import ext, q, values
+from codecorpus.plans.duck import ascii_words, ext, q, values
 from codecorpus.plans.registry import query
 
 # A path per document that covers the special names and many extensions, derived from the id.
@@ -31,7 +31,15 @@ def _c1(t):
     return lang.language_by_ext(_paths(t)).select("doc_id", "language")
 
 
-@query("c2_language_by_content")
+def _content_sql(language: str, order: int) -> str:
+    hits = " + ".join(
+        f"len(regexp_extract_all(w, {q('(?im)' + p.replace('(?<!' + chr(92) + 'w)', ''))}))" for p in dims.CONTENT_PATTERNS[language])
+    return f"SELECT file_id, {q(language)} AS language, {hits} AS hits, {order} AS k FROM s"
+
+
+@query("c2_language_by_content", "code_files", oracle=f"""
+WITH s AS (SELECT file_id, {ascii_words("array_to_string(list_slice(string_split(content, chr(10)), 1, 50), chr(10))")} AS w FROM code_files)
+SELECT file_id, arg_max(language, hits * 100 - k) FILTER (hits > 0) AS detected FROM ({' UNION ALL '.join(_content_sql(x, i) for i, x in enumerate(dims.CONTENT_PATTERNS))}) GROUP BY file_id""")
 def _c2(t):
     return lang.language_by_content(t.code_files.drop("language"), out="detected").select("file_id", "detected")
 
@@ -80,10 +88,17 @@ def _c7(t):
     return t.files.select("file_id", lang.prompt_language(F.col("language")).alias("prompt_language"))
 
 
-@query("c8_is_binary")
+# UTF-16 text (every 8th) holds NUL bytes; otherwise the share of printable bytes decides, of the text without its ASCII
+# letters in every 5th document.
+_BYTES = "CASE WHEN doc_id % 5 = 0 THEN regexp_replace(text, '[a-zA-Z0-9 ]', '') ELSE text END"
+
+
+@query("c8_is_binary", oracle=f"""
+SELECT doc_id, doc_id % 9 = 0 OR doc_id % 8 = 0 AND len(text) > 0 OR (len(h) > 0 AND CAST(len(list_filter(h, lambda b: b IN ('09', '0A', '0D') OR b >= '20' AND b <= '7E')) AS DOUBLE) / len(h) < 7e-1) AS is_binary
+FROM (SELECT doc_id, text, regexp_extract_all(substr(hex(encode({_BYTES.replace("'')", "'', 'g')")})), 1, 2048), '..') AS h FROM documents)""")
 def _c8(t):
     raw = t.documents.select("doc_id", F.concat(F.lit("f"), "doc_id", F.expr("CASE WHEN doc_id % 9 = 0 THEN '.png' ELSE '.txt' END")).alias("path"),
-                             F.when(F.col("doc_id") % 8 == 0, F.concat(F.encode("text", "UTF-16BE"))).otherwise(F.encode("text", "UTF-8")).alias("content"))
+                             F.when(F.col("doc_id") % 8 == 0, F.encode("text", "UTF-16BE")).otherwise(F.encode(F.expr(_BYTES), "UTF-8")).alias("content"))
     return lang.is_binary(raw).select("doc_id", "is_binary")
 
 

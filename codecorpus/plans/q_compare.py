@@ -106,7 +106,18 @@ def suggestions(t):
     return t.sql(_SUGGESTIONS, "documents")
 
 
-@query("j8_apply_renames")
+def _rename_sql() -> str:
+    """Accepted renames applied one after the other; the derived names are plain ASCII words."""
+    sql, n = "content", "0"
+    for k, old in enumerate(("items", "path", "names")):
+        ok = f"((file_id + {k}) % 3 <> 0 AND CAST((file_id + {k * 3}) % 11 AS DOUBLE) / 10 >= 7e-1)"
+        new = f"CASE (file_id + {k}) % 4 WHEN 0 THEN 'new_items' WHEN 1 THEN 'filePath' WHEN 2 THEN 'allNames' ELSE 'bad name' END"
+        sql = f"CASE WHEN {ok} THEN regexp_replace({sql}, '\\b{old}\\b', {new}, 'g') ELSE {sql} END"
+        n += f" + CAST({ok} AS INT)"
+    return f"SELECT file_id, CAST({n} AS INT) AS n_renames, md5({sql}) AS content_hash FROM code_files"
+
+
+@query("j8_apply_renames", "code_files", oracle=_rename_sql())
 def _j8(t):
     out = c.apply_renames(t.code_files, suggestions(t))
     return out.select("file_id", F.coalesce(F.size("renames"), F.lit(0)).alias("n_renames"), F.md5("renamed_content").alias("content_hash"))

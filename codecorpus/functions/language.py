@@ -34,18 +34,20 @@ def content_scores(content: Column, lines: int = 50) -> Column:
     The lambda keeps the few dozen patterns out of generated code, whose methods have a size limit.
     """
 
-    def score(sample: Column) -> Column:
+    def score(head: Column) -> Column:
+        sample, low = head["sample"], head["low"]
         entries = []
         for order, (language, patterns) in enumerate(dims.CONTENT_PATTERNS.items()):
             hits = F.lit(0)
             for p in patterns:
                 # A plain substring test rules out most patterns before the regex engine sees the text.
-                present = F.contains(F.lower(sample), F.lit(literal_of(p)))
+                present = F.contains(low, F.lit(literal_of(p)))
                 hits = hits + F.when(present, count_re(sample, p, "(?idmu)")).otherwise(0)
             entries.append(F.struct(hits.alias("hits"), F.lit(-order).alias("rank"), F.lit(language).alias("language")))
         return F.array_max(F.array(*entries))
 
-    return F.transform(F.array(_head(content, lines)), score)
+    sample = _head(content, lines)
+    return F.transform(F.array(F.struct(sample.alias("sample"), F.lower(sample).alias("low"))), score)
 
 
 def content_language(content: Column) -> Column:

@@ -376,11 +376,7 @@ def missing_semicolon(df: DataFrame, content: str = "content", key: str = "file_
             ok = ok | s.endswith(suffix)
         return ~ok
 
-    return (
-        df.select(key, F.get(F.filter(numbered, bad), F.lit(0)).alias("__m"))
-        .filter(F.col("__m").isNotNull())
-        .select(key, "__m.*")
-    )
+    return df.select(key, F.inline(F.slice(F.filter(numbered, bad), 1, 1)))
 
 
 def long_functions(df: DataFrame, content: str = "content", key: str = "file_id", limit: int = 20) -> DataFrame:

@@ -150,8 +150,10 @@ def extract_functions(df: DataFrame, content: str = "content", language: str = "
     )
     ends = F.map_from_entries(F.when(lang == "python", dedent_ends(numbered, line_total(text))).otherwise(F.expr("cast(array() as array<struct<i:int,stop:int>>)")))
     rows = df.withColumn("__e", ends).select(*keep, "__e", F.posexplode(split_lines(text)).alias("__pos", "__line"))
-    rows = rows.filter(F.col("__line").contains("(")).withColumn("__h", _header(F.col("__line"), lang)).filter(F.col("__h").isNotNull())
+    # A generator over the header itself, not a filter on it, so the patterns run once per line.
+    header = F.array_compact(F.array(_header(F.col("__line"), lang)))
+    rows = rows.filter(F.col("__line").contains("(")).select(*keep, "__e", "__pos", F.inline(header))
     return rows.select(
-        *keep, "__h.*", (F.col("__pos") + 1).alias("start_line"),
+        *keep, "name", "kind", "params", "signature", (F.col("__pos") + 1).alias("start_line"),
         F.coalesce(F.try_element_at("__e", F.col("__pos")), F.col("__pos") + 1).alias("end_line"),
     )

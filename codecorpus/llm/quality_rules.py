@@ -2,7 +2,7 @@
 and the posterior probability of good quality decides.
 
 Everything is a column expression. Facts are computed inside the row; the only aggregate counts documents by vote pattern
-(at most 3^7 patterns, whatever the input), and expectation-maximisation runs on those counts.
+(at most 3^8 patterns, whatever the input), and expectation-maximisation runs on those counts.
 
 Defined results: a null text counts as empty; an empty text has only zeros, fails the base rule and is not kept; rows with a
 null or repeated id are judged like others; an empty table gives no rows. Extra columns stay untouched in :func:`votes`.
@@ -22,10 +22,12 @@ STOP_WORDS = [
     "the", "of", "and", "to", "in", "is", "that", "it", "for", "was", "with", "de", "la", "que", "el", "en", "y", "los", "le", "et",
     "les", "des", "un", "une", "der", "die", "und", "das", "ist", "von", "zu", "mit",
 ]
-RULES = ["length", "word_length", "symbols", "dup_lines", "repeats", "stop_words", "digits"]
+RULES = ["length", "word_length", "symbols", "heavy_symbols", "dup_lines", "repeats", "stop_words", "digits"]
 MIN_WORDS = 50
-#: Start of the estimates, and the range in which an accuracy may lie: a rule is better than chance, never certain.
-START_ACCURACY, START_GOOD, LOWEST, HIGHEST, ROUNDS = 0.8, 0.8, 0.55, 0.99, 50
+#: Starting point: share of good documents, and how often a rule votes bad, abstains or votes good on good and on bad documents.
+START_GOOD, START_ON_GOOD, START_ON_BAD = 0.8, (0.05, 0.25, 0.7), (0.4, 0.25, 0.35)
+#: Votes that every estimate starts with, rounds, and the most that one vote may say (log odds).
+PRIOR_VOTES, ROUNDS, STRONGEST = 2.0, 50, 4.0
 
 
 def repeat_words(ws: Column, size: int = 3) -> Column:
@@ -87,7 +89,8 @@ def votes(docs: DataFrame) -> DataFrame:
     ballots = {
         "length": vote(f["n_words"] >= 80, f["n_words"] < MIN_WORDS),
         "word_length": vote(mean.between(3, 10), (mean < 2.5) | (mean > 14)),
-        "symbols": vote(symbols < 0.05, symbols > 0.2),
+        "symbols": vote(symbols < 0.02, symbols > 0.1),
+        "heavy_symbols": vote(F.lit(False), symbols > 0.5),
         "dup_lines": vote(dup < 0.1, dup > 0.3),
         "repeats": vote(repeats < 0.2, repeats > 0.5),
         "stop_words": vote(f["n_stop"] >= 2, (f["n_stop"] == 0) & (f["n_words"] >= MIN_WORDS)),
@@ -96,35 +99,50 @@ def votes(docs: DataFrame) -> DataFrame:
     return docs.withColumn("votes", F.array(*[ballots[r] for r in RULES]))
 
 
-def estimate(patterns: list[tuple[list[int], int]]) -> tuple[float, list[float]]:
-    """Share of good documents and accuracy of each rule from counted vote patterns (two-class naive Bayes, accuracy the
-    same for both classes, abstentions carry nothing)."""
-    good, accuracy = START_GOOD, [START_ACCURACY] * len(RULES)
+Model = tuple[float, list[dict[int, float]]]
+
+
+def estimate(patterns: list[tuple[list[int], int]]) -> Model:
+    """Log odds of a good document and of each vote of each rule, from counted vote patterns.
+
+    Two-class latent model: how accurate a rule is, is the chance of each of its votes given the class, estimated by
+    expectation-maximisation. What keeps the classes from changing places: a good vote never speaks against a document, a
+    bad one never for it, and an abstention says nothing."""
     total = sum(n for _, n in patterns)
+    good = START_GOOD
+    chances = [(list(START_ON_GOOD), list(START_ON_BAD)) for _ in RULES]
     for _ in range(ROUNDS if total else 0):
-        seen, right, kept = [0.0] * len(RULES), [0.0] * len(RULES), 0.0
+        model = weights(good, chances)
+        kept = 0.0
+        counts = [([PRIOR_VOTES * c for c in START_ON_GOOD], [PRIOR_VOTES * c for c in START_ON_BAD]) for _ in RULES]
         for ballot, n in patterns:
-            p = 1 / (1 + math.exp(-log_odds(ballot, good, accuracy)))
+            p = 1 / (1 + math.exp(-log_odds(ballot, model)))
             kept += n * p
             for k, v in enumerate(ballot):
-                if v:
-                    seen[k] += n
-                    right[k] += n * (p if v > 0 else 1 - p)
+                counts[k][0][v + 1] += n * p
+                counts[k][1][v + 1] += n * (1 - p)
         good = min(max((kept + 1) / (total + 2), 0.05), 0.95)
-        accuracy = [min(max((r + START_ACCURACY) / (s + 1), LOWEST), HIGHEST) for r, s in zip(right, seen)]
-    return good, accuracy
+        chances = [tuple([x / sum(side) for x in side] for side in c) for c in counts]
+    return weights(good, chances)
+
+
+def weights(good: float, chances: list) -> Model:
+    out = []
+    for on_good, on_bad in chances:
+        says = [math.log(a / b) for a, b in zip(on_good, on_bad)]
+        out.append({-1: max(min(says[0], 0.0), -STRONGEST), 0: 0.0, 1: min(max(says[2], 0.0), STRONGEST)})
+    return math.log(good / (1 - good)), out
 
 
-def log_odds(ballot: list[int], good: float, accuracy: list[float]) -> float:
-    return math.log(good / (1 - good)) + sum(v * math.log(a / (1 - a)) for v, a in zip(ballot, accuracy))
+def log_odds(ballot: list[int], model: Model) -> float:
+    return model[0] + sum(w[v] for v, w in zip(ballot, model[1]))
 
 
-def judge(voted: DataFrame, model: tuple[float, list[float]]) -> DataFrame:
+def judge(voted: DataFrame, model: Model) -> DataFrame:
     """``voted`` with ``p_good``, the posterior probability of good quality."""
-    good, accuracy = model
-    score = F.lit(math.log(good / (1 - good)))
-    for k, a in enumerate(accuracy):
-        score = score + F.col("votes")[k] * F.lit(math.log(a / (1 - a)))
+    score = F.lit(model[0])
+    for k, w in enumerate(model[1]):
+        score = score + F.when(F.col("votes")[k] < 0, w[-1]).when(F.col("votes")[k] > 0, w[1]).otherwise(0.0)
     return voted.withColumn("p_good", 1 / (1 + F.exp(-score)))
 
 

@@ -233,7 +233,7 @@ def decode_ids(docs: DataFrame, path: str, ids: str = "ids", text: str = "decode
 def digests(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
     """Columns ``keep`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``: encoded and decoded in one pass, so neither
     ids nor decoded texts leave the worker."""
-    schema = docs.select(*keep).schema.add("n_tokens", "bigint").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)

@@ -1,9 +1,10 @@
 """The registered queries of this package and their oracles."""
 
-from codecorpus.llm import bpe, quality_rules, url_filters
+from codecorpus.llm import bpe, quality_rules, simhash, url_filters
 
 QUERIES = {
     "op4_url_filters": url_filters.query,
+    "op5_simhash": simhash.query,
     "op8_bpe": bpe.query,
     "op10_quality_rules": quality_rules.query,
 }

@@ -1,8 +1,9 @@
 """The registered queries of this package and their oracles."""
 
-from codecorpus.llm import bpe, quality_rules, simhash, url_filters
+from codecorpus.llm import bpe, quality_rules, simhash, substring_dedup, url_filters
 
 QUERIES = {
+    "op3_substring_dedup": substring_dedup.query,
     "op4_url_filters": url_filters.query,
     "op5_simhash": simhash.query,
     "op8_bpe": bpe.query,

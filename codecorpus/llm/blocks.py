@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 #: Bytes of text after which a block is closed.
 BLOCK_BYTES = 4 << 20
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SCHEMA = "block string, ids array<bigint>, lens binary, codes binary, vocab binary, n_words bigint, n_distinct bigint"
 
 
-def encode_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, lower: bool = False) -> DataFrame:
     """One row per block: ids of its documents, words per document, codes of the words, and the distinct words joined by ``\\n``.
     Write the result before using it twice: a block's name is its place in the run that made it."""
 
@@ -39,7 +40,7 @@ def encode_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", b
         for batch in batches:
             for key, value in zip(batch.column(0), batch.column(1)):
                 raw = (value.as_py() or "").encode("utf-8")
-                ws = raw.split()
+                ws = (raw.translate(LOWER) if lower else raw).split()
                 for w in ws:
                     if w not in vocab:
                         vocab[w] = len(vocab)

@@ -1,12 +1,13 @@
 """The registered queries of this package and their oracles."""
 
-from codecorpus.llm import bpe, lm_scoring, quality_rules, simhash, substring_dedup, url_filters
+from codecorpus.llm import bpe, lm_scoring, quality_rules, secret_scan, simhash, substring_dedup, url_filters
 
 QUERIES = {
     "op2_lm_scoring": lm_scoring.query,
     "op3_substring_dedup": substring_dedup.query,
     "op4_url_filters": url_filters.query,
     "op5_simhash": simhash.query,
+    "op7_secret_scan": secret_scan.query,
     "op8_bpe": bpe.query,
     "op10_quality_rules": quality_rules.query,
 }

@@ -1,8 +1,9 @@
 """The registered queries of this package and their oracles."""
 
-from codecorpus.llm import bpe, lm_scoring, quality_rules, secret_scan, simhash, substring_dedup, url_filters
+from codecorpus.llm import bpe, decontaminate, lm_scoring, quality_rules, secret_scan, simhash, substring_dedup, url_filters
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.query,
     "op2_lm_scoring": lm_scoring.query,
     "op3_substring_dedup": substring_dedup.query,
     "op4_url_filters": url_filters.query,

@@ -1,6 +1,6 @@
 """The registered queries of this package and their oracles."""
 
-from codecorpus.llm import bpe, decontaminate, lm_scoring, quality_rules, secret_scan, simhash, substring_dedup, token_counts, url_filters
+from codecorpus.llm import bpe, decontaminate, license_scan, lm_scoring, quality_rules, secret_scan, simhash, substring_dedup, token_counts, url_filters
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_token_counts": token_counts.query,
     "op7_secret_scan": secret_scan.query,
     "op8_bpe": bpe.query,
+    "op9_license_scan": license_scan.query,
     "op10_quality_rules": quality_rules.query,
 }
 ORACLES = {

@@ -144,6 +144,25 @@ def links_at(keys: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[np.ndar
     return np.concatenate(left), np.concatenate(right)
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of each node but the roots: the groups that the links (a, b) join, with one link for each further member."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        for side in (x, y):
+            np.minimum.at(new, side, low)
+            np.minimum.at(new, root[side], low)
+        new = new[new]
+        if np.array_equal(new, root):
+            break
+        root = new
+    member = root != np.arange(len(nodes))
+    return nodes[member], nodes[root[member]]
+
+
 def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column ``fp``) that span the groups within ``threshold`` bits."""
     reach = threshold // len(BLOCKS)
@@ -177,9 +196,8 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         key = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint64)
         fps = np.frombuffer(b"".join(group.column("fps").to_pylist()), np.uint64)
         order = np.argsort(key, kind="stable")
-        a, b = links_at(key[order], fps[order], threshold)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0].copy().view(np.int64)), "b": pa.array(pairs[:, 1].copy().view(np.int64))})
+        a, b = forest(*links_at(key[order], fps[order], threshold))
+        return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
     spread_out = distinct.select("fp").mapInArrow(spread, "grp bigint, keys binary, fps binary")
     return spread_out.groupBy("grp").applyInArrow(compare, "a bigint, b bigint").distinct()

@@ -13,6 +13,7 @@ from codecorpus.functions.patterns import (
 from codecorpus.operators.metrics import cpp_scores, generic_scores, java_scores, javascript_scores, python_scores
 from codecorpus.operators.pyfacts import facts_column
 
+STRETCHES = "array<struct<line:int,upto:int,first:int,depth:int>>"
 FINDINGS = "array<struct<line_start:int,line_end:int,depth:int,severity:string>>"
 
 
@@ -20,6 +21,24 @@ def _empty(kind: str) -> Column:
     return F.expr(f"cast(array() as {kind})")
 
 
+#: Items that a fold gathers before it files them away.
+BUFFER = 256
+
+
+def _gathered(acc: Column, items: Column) -> dict[str, Column]:
+    """The fields ``out`` and ``buf`` of a fold after adding ``items``. A fold copies an array to extend it, so items go to a short
+    buffer, and only full buffers are added to ``out``: the cost stays in proportion to the items."""
+    full = F.size(acc["buf"]) >= BUFFER
+    return {
+        "out": F.when(full, F.concat(acc["out"], F.array(acc["buf"]))).otherwise(acc["out"]),
+        "buf": F.when(full, items).otherwise(F.concat(acc["buf"], items)),
+    }
+
+
+def _all_gathered(acc: Column, *more: Column) -> Column:
+    return F.flatten(F.concat(acc["out"], F.array(acc["buf"]), *[F.array(m) for m in more]))
+
+
 def indent_findings(text: Column) -> Column:
     """Generic detector: a stack of ``if`` lines ordered by indentation; a finding wherever it holds three or more.
 
@@ -27,17 +46,17 @@ def indent_findings(text: Column) -> Column:
     """
     numbered = F.transform(split_lines(text), lambda s, i: F.struct((i + 1).alias("line"), indent_of(s).alias("indent"), s.alias("text")))
     heads = F.filter(numbered, lambda x: x["text"].rlike(f"(?<!{WORD})if(?!{WORD})"))
-    zero = F.struct(_empty("array<struct<line:int,indent:int>>").alias("stack"), _empty(FINDINGS).alias("out"))
+    zero = F.struct(_empty("array<struct<line:int,indent:int>>").alias("stack"), _empty(f"array<{FINDINGS}>").alias("out"), _empty(FINDINGS).alias("buf"))
 
     def step(acc: Column, x: Column) -> Column:
         kept = F.filter(acc["stack"], lambda s: s["indent"] < x["indent"])
         stack = F.concat(kept, F.array(F.struct(x["line"].alias("line"), x["indent"].alias("indent"))))
         finding = F.struct(stack[0]["line"].alias("line_start"), x["line"].alias("line_end"), F.size(stack).alias("depth"),
                            F.lit("medium").alias("severity"))
-        out = F.when(F.size(kept) >= 2, F.concat(acc["out"], F.array(finding))).otherwise(acc["out"])
-        return F.struct(stack.alias("stack"), out.alias("out"))
+        new = _gathered(acc, F.array(finding))
+        return F.struct(stack.alias("stack"), *[F.when(F.size(kept) >= 2, c).otherwise(acc[k]).alias(k) for k, c in new.items()])
 
-    return F.aggregate(heads, zero, step, lambda acc: acc["out"])
+    return F.aggregate(heads, zero, step, lambda acc: _all_gathered(acc))
 
 
 def brace_findings(text: Column) -> Column:
@@ -58,7 +77,8 @@ def brace_findings(text: Column) -> Column:
     zero = F.struct(
         F.lit(0).alias("depth"),
         _empty("array<struct<line:int,depth:int>>").alias("stack"),
-        _empty("array<struct<line:int,upto:int,first:int,depth:int>>").alias("out"),
+        _empty(f"array<{STRETCHES}>").alias("out"),
+        _empty(STRETCHES).alias("buf"),
         F.lit(0).alias("last"),
     )
 
@@ -68,16 +88,18 @@ def brace_findings(text: Column) -> Column:
     def step(acc: Column, x: Column) -> Column:
         # Lines between the previous marked line and this one keep the previous stack.
         gap = (F.size(acc["stack"]) >= 3) & (x["line"] - acc["last"] > 1)
-        out = F.when(gap, F.concat(acc["out"], F.array(stretch(acc["stack"], acc["last"] + 1, x["line"] - 1)))).otherwise(acc["out"])
+        before = F.when(gap, F.array(stretch(acc["stack"], acc["last"] + 1, x["line"] - 1))).otherwise(_empty(STRETCHES))
         depth = acc["depth"] + x["delta"]
         stack = F.when(x["head"], F.concat(acc["stack"], F.array(F.struct(x["line"].alias("line"), depth.alias("depth"))))).otherwise(acc["stack"])
-        out = F.when(F.size(stack) >= 3, F.concat(out, F.array(stretch(stack, x["line"], x["line"])))).otherwise(out)
+        own = F.when(F.size(stack) >= 3, F.array(stretch(stack, x["line"], x["line"]))).otherwise(_empty(STRETCHES))
+        new = _gathered(acc, F.concat(before, own))
         kept = F.when(x["close"], F.filter(stack, lambda s: s["depth"] <= depth)).otherwise(stack)
-        return F.struct(depth.alias("depth"), kept.alias("stack"), out.alias("out"), x["line"].alias("last"))
+        return F.struct(depth.alias("depth"), kept.alias("stack"), *[c.alias(k) for k, c in new.items()], x["line"].alias("last"))
 
     def finish(acc: Column) -> Column:
         tail = (F.size(acc["stack"]) >= 3) & (line_total(text) > acc["last"])
-        return F.when(tail, F.concat(acc["out"], F.array(stretch(acc["stack"], acc["last"] + 1, line_total(text))))).otherwise(acc["out"])
+        rest = F.when(tail, F.array(stretch(acc["stack"], acc["last"] + 1, line_total(text)))).otherwise(_empty(STRETCHES))
+        return _all_gathered(acc, rest)
 
     stretches = F.aggregate(marked, zero, step, finish)
     return F.flatten(
@@ -166,7 +188,8 @@ def refactor_candidates(findings: DataFrame, language: str = "language", min_dep
 def dedent_ends(numbered: Column, total: Column) -> Column:
     """For header lines of an array of (i, indent, blank, head): (i, end) with ``end`` the number of lines before the first
     later non-blank line at the same or a smaller indent. A stack of open headers makes this one linear fold."""
-    zero = F.struct(_empty("array<struct<i:int,indent:int>>").alias("open"), _empty("array<struct<i:int,stop:int>>").alias("out"))
+    ends = "array<struct<i:int,stop:int>>"
+    zero = F.struct(_empty("array<struct<i:int,indent:int>>").alias("open"), _empty(f"array<{ends}>").alias("out"), _empty(ends).alias("buf"))
 
     def step(acc: Column, x: Column) -> Column:
         closing = F.exists(acc["open"], lambda s: s["indent"] >= x["indent"])
@@ -174,12 +197,12 @@ def dedent_ends(numbered: Column, total: Column) -> Column:
         kept = F.when(closing, F.filter(acc["open"], lambda s: s["indent"] < x["indent"])).otherwise(acc["open"])
         return F.struct(
             F.when(x["head"], F.concat(kept, F.array(F.struct(x["i"].alias("i"), x["indent"].alias("indent"))))).otherwise(kept).alias("open"),
-            F.when(closing, F.concat(acc["out"], closed)).otherwise(acc["out"]).alias("out"),
+            *[F.when(closing, c).otherwise(acc[k]).alias(k) for k, c in _gathered(acc, closed).items()],
         )
 
     return F.aggregate(
         F.filter(numbered, lambda x: ~x["blank"]), zero, step,
-        lambda acc: F.concat(acc["out"], F.transform(acc["open"], lambda s: F.struct(s["i"].alias("i"), total.alias("stop")))),
+        lambda acc: _all_gathered(acc, F.transform(acc["open"], lambda s: F.struct(s["i"].alias("i"), total.alias("stop")))),
     )
 
 

@@ -82,17 +82,23 @@ def _regex_rule(name: str, message: str = "", opt_in: bool = False) -> Rule:
     return Rule(name, language, run, hits, message, opt_in)
 
 
+def _with_previous(text: Column) -> Column:
+    """(line, previous) of every line, '' before the first. The text is split once per row, not once per line."""
+
+    def pairs(lines: Column) -> Column:
+        before = F.concat(F.array(F.lit("")), F.slice(lines, F.lit(1), F.size(lines) - 1))
+        return F.arrays_zip(lines.alias("line"), before.alias("previous"))
+
+    return F.get(F.transform(F.array(split_lines(text)), pairs), F.lit(0))
+
+
 def _lines_rule(text: Column, expand) -> Column:
     """Replace every line by an array of lines; ``expand(line, previous line)``."""
-    lines = split_lines(text)
-    previous = lambda i: F.when(i > 0, F.get(lines, i - 1)).otherwise("")
-    return F.array_join(F.flatten(F.transform(lines, lambda s, i: expand(s, previous(i)))), "\n")
+    return F.array_join(F.flatten(F.transform(_with_previous(text), lambda p: expand(p["line"], p["previous"]))), "\n")
 
 
 def _lines_hits(text: Column, test) -> Column:
-    lines = split_lines(text)
-    previous = lambda i: F.when(i > 0, F.get(lines, i - 1)).otherwise("")
-    return F.aggregate(F.transform(lines, lambda s, i: test(s, previous(i)).cast("int")), F.lit(0), lambda a, x: a + x)
+    return F.size(F.filter(_with_previous(text), lambda p: test(p["line"], p["previous"])))
 
 
 # --- type hints ----------------------------------------------------------------------------------------------------

@@ -157,11 +157,16 @@ def improvement_accuracy(sessions: DataFrame, files: DataFrame) -> DataFrame:
         "language", F.when(F.coalesce("language", F.lit("")) == "", "unknown").otherwise(F.col("language"))
     )
     sums = {n: F.coalesce(F.sum(F.when(scored, F.col(SCORES[n]))), F.lit(0)) for n in ("complexity", "readability", "maintainability")}
+    counts = {
+        "total_files": F.count("*"), "successful_files": _count(_status("completed")), "failed_files": _count(_status("failed")),
+        "files_with_improvements": _count(improved),
+    }
+    # Rows are counted per language first; only these few rows are rolled up.
+    per = picked.groupBy("language").agg(*[c.alias(k) for k, c in counts.items()], _count(scored).alias("__scored"), *[v.alias(n) for n, v in sums.items()])
     total = F.grouping("language") == 1
-    return picked.rollup("language").agg(
-        F.count("*").alias("total_files"), _count(_status("completed")).alias("successful_files"),
-        _count(_status("failed")).alias("failed_files"), _count(improved).alias("files_with_improvements"),
-        *[ratio(v, F.when(total, _count(scored)).otherwise(_count(_status("completed")))).alias(f"avg_{n}") for n, v in sums.items()],
+    return per.rollup("language").agg(
+        *[F.sum(k).alias(k) for k in counts],
+        *[ratio(F.sum(n), F.when(total, F.sum("__scored")).otherwise(F.sum("successful_files"))).alias(f"avg_{n}") for n in sums],
     ).withColumns({"success_rate": _pct("successful_files", "total_files"), "true_accuracy": _pct("files_with_improvements", "total_files")})
 
 
@@ -395,9 +400,12 @@ def run_stats(results: DataFrame) -> DataFrame:
 
 def log_summary(log: DataFrame) -> DataFrame:
     """(dimension, value, entries, avg / max / min duration): per operation type, per level and overall."""
-    out = log.groupingSets([["operation_type"], ["level"], []], "operation_type", "level").agg(
-        F.count("*").alias("entries"), F.coalesce(F.avg("duration"), F.lit(0.0)).alias("avg_duration"),
-        F.coalesce(F.max("duration"), F.lit(0.0)).alias("max_duration"), F.coalesce(F.min("duration"), F.lit(0.0)).alias("min_duration"),
+    per = log.groupBy("operation_type", "level").agg(
+        F.count("*").alias("n"), F.sum("duration").alias("s"), F.count("duration").alias("k"), F.max("duration").alias("hi"), F.min("duration").alias("lo")
+    )
+    out = per.groupingSets([["operation_type"], ["level"], []], "operation_type", "level").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("entries"), ratio(F.sum("s"), F.sum("k")).alias("avg_duration"),
+        F.coalesce(F.max("hi"), F.lit(0.0)).alias("max_duration"), F.coalesce(F.min("lo"), F.lit(0.0)).alias("min_duration"),
         F.grouping_id().alias("__g"),
     )
     kind = first_match([(F.col("__g") == 1, "operation_type"), (F.col("__g") == 2, "level")], "all")
@@ -415,16 +423,20 @@ def request_stats(requests: DataFrame) -> DataFrame:
 def trial_summary(results: DataFrame) -> DataFrame:
     """Shares of success and of valid text before and after, per language and overall (language NULL)."""
     flags = {"success": "successful", "original_valid": "valid_before", "refactored_valid": "valid_after"}
-    out = results.rollup("language").agg(F.count("*").alias("trials"), *[_count(F.col(c)).alias(a) for c, a in flags.items()])
+    per = results.groupBy("language").agg(F.count("*").alias("trials"), *[_count(F.col(c)).alias(a) for c, a in flags.items()])
+    out = per.rollup("language").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("trials", *flags.values())])
     return out.withColumns({f"{a}_pct": _pct(a, "trials") for a in flags.values()})
 
 
 def dataset_stats(pairs: DataFrame) -> DataFrame:
     """Examples and mean reductions per language, per pattern and overall."""
-    out = pairs.groupingSets([["language"], ["pattern"], []], "language", "pattern").agg(
-        F.count("*").alias("examples"), F.avg("complexity_reduction").alias("avg_complexity_reduction"), F.avg("depth_reduction").alias("avg_depth_reduction")
+    means = ("complexity_reduction", "depth_reduction")
+    per = pairs.groupBy("language", "pattern").agg(
+        F.count("*").alias("n"), *[F.sum(c).alias(f"s_{c}") for c in means], *[F.count(c).alias(f"n_{c}") for c in means]
+    )
+    return per.groupingSets([["language"], ["pattern"], []], "language", "pattern").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("examples"), *[F.try_divide(F.sum(f"s_{c}"), F.sum(f"n_{c}")).alias(f"avg_{c}") for c in means]
     )
-    return out
 
 
 def error_stats(errors: DataFrame) -> DataFrame:
@@ -432,9 +444,9 @@ def error_stats(errors: DataFrame) -> DataFrame:
     from codecorpus.functions.responses import error_pattern
 
     out = (
-        errors.withColumn("pattern", error_pattern(F.col("message")))
+        errors.groupBy("error_type", error_pattern(F.col("message")).alias("pattern")).agg(F.count("*").alias("n"))
         .groupingSets([["error_type"], ["pattern"], []], "error_type", "pattern")
-        .agg(F.count("*").alias("errors"), F.grouping_id().alias("__g"))
+        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("errors"), F.grouping_id().alias("__g"))
     )
     kind = first_match([(F.col("__g") == 1, "error_type"), (F.col("__g") == 2, "pattern")], "total")
     out = out.select(kind.alias("kind"), F.coalesce("error_type", "pattern", F.lit("all")).alias("value"), "errors")

@@ -223,23 +223,31 @@ def related_files(files: DataFrame, n: int = 20, path: str = "original_path", ke
     return rows.join(lists, "extension").select(key, path, F.transform(others, lambda x: x["path"]).alias("related"))
 
 
+RELATED = "array<struct<path:string,content_preview:string,size:int>>"
+
+
 def folder_context(
     scan: DataFrame, n: int = 5, preview: int = 2048, max_size: int = 512 * 1024, path: str = "relative_path", key: str = "file_id"
 ) -> DataFrame:
-    """Per file: supported files below its folder, and the ``n`` smallest of its language there with a text preview.
+    """Per file, of any kind and size: supported files below its folder, number, bytes and lines of those in its language, and the
+    ``n`` smallest of these with a text preview.
 
-    Every file is listed once per ancestor folder without its text; each (folder, language) keeps n+1 candidates before the
-    shuffle, and previews are fetched for these winners only.
+    The size limit and the language test choose candidates only. Every candidate is listed once per ancestor folder without its
+    text; each (folder, language) keeps n+1 of them before the shuffle, and previews are fetched for these winners only.
     """
     usable = scan.filter(F.col("language").isin(dims.REFACTORABLE) & ~F.col("is_binary") & F.col("size_bytes").between(1, max_size))
     parts = F.split(F.col(path), "/")
     folder = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
-    meta = usable.select(key, F.col(path).alias("path"), "language", "size_bytes", folder.alias("folder"), F.size(parts).alias("n_parts"))
-    ancestors = meta.select(
-        key, "path", "language", "size_bytes",
+    meta = scan.select(key, F.col(path).alias("path"), "language", folder.alias("folder"))
+    listed = usable.select(key, F.col(path).alias("path"), "language", "size_bytes", "line_count", F.size(parts).alias("n_parts"))
+    ancestors = listed.select(
+        key, "path", "language", "size_bytes", "line_count",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("n_parts") - 1), lambda i: F.array_join(F.slice(F.split("path", "/"), 1, i), "/"))).alias("folder"),
     )
-    totals = ancestors.groupBy("folder").agg(F.count("*").alias("total_files"))
+    stats = ancestors.groupBy("folder", "language").agg(
+        F.count("*").alias("language_files"), F.sum("size_bytes").alias("language_bytes"), F.sum("line_count").alias("language_lines")
+    )
+    totals = stats.groupBy("folder").agg(F.sum("language_files").alias("total_files"))
     order = W.partitionBy("folder", "language").orderBy("size_bytes", "path", key)
     top = ancestors.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= n + 1)
     texts = usable.select(key, F.substring("content", 1, preview).alias("content_preview"))
@@ -249,9 +257,10 @@ def folder_context(
     lists = top.join(texts, key).groupBy("folder", "language").agg(F.array_sort(F.collect_list(entry)).alias("__top"))
     others = F.slice(F.filter("__top", lambda x: x[key] != F.col(key)), 1, n)
     related = F.transform(others, lambda x: F.struct(x["path"].alias("path"), x["content_preview"].alias("content_preview"), x["size_bytes"].alias("size")))
+    none = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("total_files", "language_files", "language_bytes", "language_lines")}
     return (
-        meta.join(lists, ["folder", "language"], "left").join(totals, "folder", "left")
-        .select(key, "path", "folder", "language", "total_files", related.alias("related_files"))
+        meta.join(lists, ["folder", "language"], "left").join(stats, ["folder", "language"], "left").join(totals, "folder", "left")
+        .select(key, "path", "folder", "language", *none.values(), F.coalesce(related, F.filter(related, lambda x: F.lit(False)), F.array().cast(RELATED)).alias("related_files"))
     )
 
 

@@ -140,18 +140,22 @@ def _j10(t):
 
 
 @query("j10_folder_context", "scan", oracle=f"""
-WITH u AS (SELECT file_id, relative_path AS path, language, size_bytes, regexp_replace(relative_path, '/[^/]*$', '') AS folder, content FROM scan
+WITH u AS (SELECT file_id, relative_path AS path, language, size_bytes, line_count, regexp_replace(relative_path, '/[^/]*$', '') AS folder, content FROM scan
   WHERE language IN ({', '.join(q(x) for x in dims.REFACTORABLE)}) AND NOT is_binary AND size_bytes BETWEEN 1 AND 524288),
-f AS (SELECT DISTINCT folder FROM u),
+s AS (SELECT file_id, language, regexp_replace(relative_path, '/[^/]*$', '') AS folder FROM scan),
+f AS (SELECT DISTINCT folder FROM s),
 m AS (SELECT f.folder, u.* EXCLUDE (folder) FROM f JOIN u ON starts_with(u.path, f.folder || '/')),
 n AS (SELECT folder, count(*) AS total_files FROM m GROUP BY folder),
+k AS (SELECT folder, language, count(*) AS language_files, CAST(sum(size_bytes) AS BIGINT) AS language_bytes, CAST(sum(line_count) AS BIGINT) AS language_lines FROM m GROUP BY 1, 2),
 r AS (SELECT a.file_id, m.path, m.size_bytes, md5(substr(m.content, 1, 2048)) AS h, row_number() OVER (PARTITION BY a.file_id ORDER BY m.size_bytes, m.path) AS rn
-  FROM u a JOIN m ON m.folder = a.folder AND m.language = a.language AND m.file_id <> a.file_id)
-SELECT u.file_id, u.folder, total_files, coalesce((SELECT string_agg(r.path || ':' || h, ',' ORDER BY rn) FROM r WHERE r.file_id = u.file_id AND rn <= 5), '') AS related FROM u JOIN n USING (folder)""")
+  FROM s a JOIN m ON m.folder = a.folder AND m.language = a.language AND m.file_id <> a.file_id)
+SELECT s.file_id, s.folder, coalesce(total_files, 0) AS total_files, coalesce(language_files, 0) AS language_files, coalesce(language_bytes, 0) AS language_bytes, coalesce(language_lines, 0) AS language_lines,
+  coalesce((SELECT string_agg(r.path || ':' || h, ',' ORDER BY rn) FROM r WHERE r.file_id = s.file_id AND rn <= 5), '') AS related
+FROM s LEFT JOIN n USING (folder) LEFT JOIN k ON k.folder = s.folder AND k.language = s.language""")
 def _j10b(t):
     out = c.folder_context(t.scan)
     entries = F.transform("related_files", lambda x: F.concat(x["path"], F.lit(":"), F.md5(x["content_preview"])))
-    return out.select("file_id", "folder", "total_files", F.array_join(entries, ",").alias("related"))
+    return out.select("file_id", "folder", "total_files", "language_files", "language_bytes", "language_lines", F.array_join(entries, ",").alias("related"))
 
 
 _PATHS = "SELECT original_path AS path FROM files WHERE file_id % 2 = 0"

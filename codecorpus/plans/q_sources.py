@@ -10,18 +10,22 @@ from codecorpus.plans.registry import query
 from codecorpus.sources import corpus, sinks, tables
 
 
-@query("s1_scan_corpus")
+def text_tree(t) -> str:
+    """Every document as a text file of its own, one folder per language (the writer ends a file with a line feed)."""
+    t.documents.select("lang", F.col("text").alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("lang").text(t.folder)
+    return t.folder
+
+
+@query("s1_scan_corpus", oracle="""
+SELECT 'lang=' || lang AS folder, '.txt' AS extension, strlen(text) + 1 AS size_bytes, md5(text || chr(10)) AS content_md5 FROM documents""")
 def _s1(t):
-    """Text files written by Spark, one folder per language, read back as a tree of binary files."""
-    t.documents.select("lang", F.col("text").alias("value")).write.partitionBy("lang").text(t.folder)
-    out = corpus.scan_corpus(t.spark, t.folder, pattern="*.txt")
-    return out.select(F.regexp_extract("relative_path", "^([^/]*)", 1).alias("folder"), "extension", "size_bytes")
+    out = corpus.scan_corpus(t.spark, text_tree(t), pattern="*.txt")
+    return out.select(F.regexp_extract("relative_path", "^([^/]*)", 1).alias("folder"), "extension", "size_bytes", F.md5("raw").alias("content_md5"))
 
 
 @query("s1_scanned_languages")
 def _s1b(t):
-    t.documents.select("lang", F.col("text").alias("value")).write.partitionBy("lang").text(t.folder)
-    out = corpus.scanned(corpus.scan_corpus(t.spark, t.folder, pattern="*.txt"))
+    out = corpus.scanned(corpus.scan_corpus(t.spark, text_tree(t), pattern="*.txt"))
     return out.groupBy("language", "is_binary").agg(F.count("*").alias("files"), F.sum("line_count").alias("lines"))
 
 
@@ -58,7 +62,7 @@ def _s5(t):
     chunk = (F.col("event_id") / 500).cast("int")
     docs = t.log_events.groupBy("session_id", chunk.alias("chunk")).agg(F.collect_list(entry).alias("log_entries"))
     docs.select(F.struct("session_id", F.size("log_entries").alias("total_log_entries")).alias("session_summary"), "log_entries").write.json(t.folder)
-    lines = t.spark.read.schema(tables.LOG_EXPORT).json(t.folder).select(F.col("session_summary.session_id").alias("session_id"), F.inline("log_entries"))
+    lines = tables.read_log_exports(t.spark, t.folder)
     return lines.groupBy("session_id", "operation_type", "level").agg(F.count("*").alias("entries"))
 
 

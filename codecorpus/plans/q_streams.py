@@ -2,25 +2,54 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from codecorpus.plans.bindings import BINDINGS
 from codecorpus.plans.q_responses import PATTERN
-from codecorpus.plans.registry import instants, query
+from codecorpus.plans.registry import query
 from codecorpus.streaming import monitor as s
 
 
 def stream(t, name: str):
-    """A binding over ``events`` as a stream of the given parquet file."""
-    stored = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").schema
-    source = t.spark.readStream.schema(stored).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
-    return bound(t, instants(source), name)
+    """A binding over ``events`` as a stream of files in time order, one to a batch, so that watermarks move and state is carried."""
+    folder = f"{t.folder}/events"
+    in_order(t.events, folder)
+    source = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return bound(t, source, name)
+
+
+FILES = 8
+
+
+def in_order(events, folder: str) -> None:
+    """Writes events as a folder of files, range of time after range of time: a stream reads files in the order they were written.
+    Each range is written by as many tasks as hold rows of it. A folder that is there already stays as it is."""
+    if has_files(events.sparkSession, folder):
+        return
+    timed = events.withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp")))
+    cuts = timed.approxQuantile("__us", [k / FILES for k in range(1, FILES)], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = timed if low is None else timed.filter(F.col("__us") >= low)
+        part = part if high is None else part.filter(F.col("__us") < high)
+        part.drop("__us").write.mode("append").parquet(folder)
+
+
+def has_files(spark, folder: str) -> bool:
+    try:
+        return bool(spark.read.parquet(folder).columns)
+    except AnalysisException:
+        return False
 
 
 def bound(t, source, name: str):
-    view = f"cc_stream_{name}"
+    view = f"cc_stream_{name}_{uuid.uuid4().hex[:8]}"
     source.createOrReplaceTempView(view)
-    return t.spark.sql(BINDINGS[name][0].replace("FROM events", f"FROM {view}"))
+    out = t.spark.sql(BINDINGS[name][0].replace("FROM events", f"FROM {view}"))
+    t.spark.catalog.dropTempView(view)
+    return out
 
 
 @query("q1_stream_error_counts", "error_events", oracle=f"SELECT error_type, {PATTERN} AS pattern, count(*) AS errors FROM error_events GROUP BY 1, 2")
@@ -116,8 +145,8 @@ def _q6(t):
 
 @query("q7_stream_corpus")
 def _q7(t):
-    t.code_files.select("language", F.col("content").alias("value")).write.partitionBy("language").text(f"{t.folder}/in")
-    out, _ = s.run_available(s.stream_corpus(t.spark, f"{t.folder}/in", 4), f"{t.folder}/run")
+    t.code_files.select("language", F.col("content").alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("language").text(f"{t.folder}/in")
+    out, _ = s.run_available(s.stream_corpus(t.spark, f"{t.folder}/in", 5000), f"{t.folder}/run")
     return out.select(F.regexp_extract("relative_path", "^([^/]*)", 1).alias("folder"), "language", "complexity", "overall")
 
 
@@ -126,7 +155,7 @@ def _q8(t):
     """Every 50th event arrives in a third batch: what lies behind the watermark of the first is dropped and counted."""
     late = F.col("event_id") % 50 == 0
     for part, cond in enumerate((~late & (F.col("event_id") % 2 == 1), ~late & (F.col("event_id") % 2 == 0), late)):
-        t.events.filter(cond).coalesce(1).write.parquet(f"{t.folder}/in/part={part}")
-    source = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{t.folder}/in")
-    out, run = s.run_available(s.health(bound(t, source, "error_events"), 3), f"{t.folder}/run")
-    return out.agg(F.count("*").alias("windows"), F.sum("recent_errors").alias("counted_errors")).withColumn("dropped_late", F.lit(s.dropped_late(run)))
+        in_order(t.events.filter(cond), f"{t.folder}/in/part={part}")
+    source = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", FILES).option("recursiveFileLookup", "true").parquet(f"{t.folder}/in")
+    out, late = s.run_counting_late(s.health(bound(t, source, "error_events"), 3), f"{t.folder}/run")
+    return out.agg(F.count("*").alias("windows"), F.sum("recent_errors").alias("counted_errors")).withColumn("dropped_late", F.lit(late))

@@ -41,18 +41,22 @@ class Tables:
 
     def _load(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
-            df = instants(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
-            return spread(df, "doc_id") if name == "documents" else df
+            return instants(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
         sql, needs = BINDINGS[name]
         return self.sql(sql, *needs)
 
     def sql(self, text: str, *needs: str) -> DataFrame:
         """Run SQL over bound tables; each table name is replaced by a private view."""
+        views = []
         for need in needs:
             view = f"cc_{need}_{uuid.uuid4().hex[:8]}"
             getattr(self, need).createOrReplaceTempView(view)
             text = re.sub(rf"\b(FROM|JOIN) {need}\b", rf"\1 {view}", text)
-        return self.spark.sql(text)
+            views.append(view)
+        out = self.spark.sql(text)
+        for view in views:
+            self.spark.catalog.dropTempView(view)  # the analysed plan holds what it needs
+        return out
 
     @cached_property
     def folder(self) -> str:
@@ -65,16 +69,6 @@ def instants(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.col(f.name).cast("timestamp") for f in df.schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-SMALL_INPUT = 64 << 20
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash a table of a few row groups over the cores, since text work is bound by CPU. Larger inputs already have a split
-    per row group and stay as they are."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size <= SMALL_INPUT else df
-
-
 def query(name: str, *needs: str, oracle: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``; ``oracle`` is SQL over the bindings named in ``needs``."""
 

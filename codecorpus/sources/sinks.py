@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codecorpus.operators import accuracy
+from codecorpus.operators.routing import in_window
 
 
 def report(sessions: DataFrame, files: DataFrame, start, end) -> DataFrame:
-    """One nested row: period, overall accuracy, language metrics, quality, errors, validation.
+    """One nested row over the sessions created in [start, end] and their files: period, overall accuracy, language metrics,
+    quality, errors, validation.
 
     The parts are tiny aggregates (one row, or one per language or class); each is packed into a struct or map in one row.
     """
@@ -22,6 +24,7 @@ def report(sessions: DataFrame, files: DataFrame, start, end) -> DataFrame:
         entry = F.struct(F.col(key).alias("key"), F.struct(*values).alias("value"))
         return df.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(name))
 
+    sessions, files = in_window(sessions, files, F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
     parts = [
         packed(accuracy.overall_accuracy(sessions, files), "overall_accuracy"),
         keyed(accuracy.language_accuracy(files), "language", "language_metrics"),

@@ -84,10 +84,12 @@ METRIC_EXPORT = (
 )
 
 
-def read_log_exports(spark: SparkSession, path: str, kind: str = "logs") -> DataFrame:
-    """Exploded entries of exported JSON documents; ``kind``: logs, diffs or metrics. The schema is given, not inferred."""
+def read_log_exports(spark: SparkSession, path: str, kind: str = "logs", multi_line: bool = False) -> DataFrame:
+    """Exploded entries of exported JSON documents; ``kind``: logs, diffs or metrics. The schema is given, not inferred.
+
+    One document per line, so that files are split between tasks; ``multi_line`` is for pretty-printed single documents."""
     schema = {"logs": LOG_EXPORT, "diffs": DIFF_EXPORT, "metrics": METRIC_EXPORT}[kind]
-    docs = spark.read.schema(schema).option("multiLine", "true").json(path)
+    docs = spark.read.schema(schema).option("multiLine", str(multi_line).lower()).json(path)
     if kind == "logs":
         return docs.select(F.col("session_summary.session_id").alias("session_id"), F.inline("log_entries"))
     return docs.select("session_id", F.inline("diffs" if kind == "diffs" else "metrics"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from codecorpus.functions.language import detect_language
 from codecorpus.functions.responses import error_pattern
@@ -150,11 +152,36 @@ def run_available(stream: DataFrame, folder: str, mode: str = "append", keys: li
     return rows.groupBy(*keys).agg(newest).select(*keys, "__n.*"), query
 
 
-def dropped_late(query: StreamingQuery) -> int:
-    """Rows dropped behind the watermark over all batches of a query."""
-    total = 0
-    for p in query.recentProgress:
-        for op in p["stateOperators"] if isinstance(p, dict) else p.stateOperators:
-            total += op["numRowsDroppedByWatermark"] if isinstance(op, dict) else op.numRowsDroppedByWatermark
-    return total
+class LateRows(StreamingQueryListener):
+    """Counts the rows that queries started while it is registered dropped behind their watermark, over all of their batches.
+
+    Every progress update is added up as it arrives; the recent updates a query keeps would be the last hundred only."""
+
+    def __init__(self) -> None:
+        self.rows, self.ended = 0, threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.rows += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.set()
+
 
+def run_counting_late(stream: DataFrame, folder: str) -> tuple[DataFrame, int]:
+    """:func:`run_available` in append mode, and the rows dropped as late. Updates of a query arrive before its end does."""
+    late = LateRows()
+    streams = stream.sparkSession.streams
+    streams.addListener(late)
+    try:
+        out, _ = run_available(stream, folder)
+        if not late.ended.wait(60):
+            raise TimeoutError("the end of the query was not reported")
+    finally:
+        streams.removeListener(late)
+    return out, late.rows

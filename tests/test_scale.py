@@ -67,14 +67,15 @@ def test_hot_extension_and_folder(spark, no_broadcast):
 
     langs = {".py": "python", ".js": "javascript", ".java": "java", ".c": "c"}
     scan = spark.createDataFrame(
-        [(i, p, langs[p[p.rindex("."):]], 10 + (i * 37) % 90, False, f"text {i}") for i, p in rows],
-        "file_id bigint, relative_path string, language string, size_bytes int, is_binary boolean, content string")
+        [(i, p, langs[p[p.rindex("."):]], 10 + (i * 37) % 90, 2, False, f"text {i}") for i, p in rows],
+        "file_id bigint, relative_path string, language string, size_bytes int, line_count int, is_binary boolean, content string")
     ctx = {r.file_id: r for r in compare.folder_context(scan, 3).collect()}
     for i, path in rows[:60]:
         folder = path.rsplit("/", 1)[0]
         below = [(10 + (j * 37) % 90, p, j) for j, p in rows if p.startswith(folder + "/")]
         same = sorted(b for b in below if b[1].endswith(path[path.rindex("."):]) and b[2] != i)[:3]
-        assert ctx[i].total_files == len(below)
+        mine = [b for b in below if b[1].endswith(path[path.rindex("."):])]
+        assert (ctx[i].total_files, ctx[i].language_files, ctx[i].language_bytes, ctx[i].language_lines) == (len(below), len(mine), sum(b[0] for b in mine), 2 * len(mine))
         assert [x.path for x in ctx[i].related_files] == [b[1] for b in same]
 
 
@@ -91,3 +92,30 @@ def test_routes_and_bands_partition_the_input(t):
     assert q.excellent_count + q.good_count + q.fair_count + q.poor_count == q.files_analyzed
     kept = routing.glob_filter(t.scan, ["*.py"]).count() + routing.glob_filter(t.scan, None, ["*.py"]).count()
     assert kept == t.scan.count()
+
+
+def test_files_that_are_no_candidates_get_a_context(spark):
+    rows = [(0, "d/a.py", "python", 10, 1, False, "a"), (1, "d/big.py", "python", 10**6, 9, False, "b"), (2, "d/x.bin", "unknown", 5, 0, True, None), (3, "d/e.py", "python", 0, 0, False, "")]
+    scan = spark.createDataFrame(rows, "file_id bigint, relative_path string, language string, size_bytes int, line_count int, is_binary boolean, content string")
+    got = {r.file_id: r for r in compare.folder_context(scan).collect()}
+    assert set(got) == {0, 1, 2, 3} and all(r.total_files == 1 for r in got.values())
+    assert [x.path for x in got[1].related_files] == ["d/a.py"] and got[0].related_files == [] and got[2].related_files == []
+
+
+def test_long_files_cost_in_proportion(spark):
+    """Twice the lines take about twice the time: line rules and folds do not copy or split what they have read."""
+    import time
+
+    from codecorpus.operators import nesting, rules
+
+    def seconds(lines: int) -> float:
+        js = "\n".join(f"function f{i}() {{ if (a) {{ if (b) {{ if (c) {{ x(); }} }} }} }}" for i in range(lines))
+        one = spark.createDataFrame([(1, "javascript", js)], "file_id bigint, language string, content string")
+        start = time.perf_counter()
+        rules.apply_rules(one, ["js_doc"]).select("hits").collect()
+        nesting.nested_ifs_brace(one).agg(F.count("*")).collect()
+        return time.perf_counter() - start
+
+    seconds(500)
+    small, large = min(seconds(4000) for _ in range(2)), seconds(16000)
+    assert large < 10 * small

@@ -68,7 +68,7 @@ def test_corpus_from_files(spark, tmp_path):
 def test_log_documents(spark, tmp_path):
     doc = '{"session_summary": {"session_id": "s1"},\n "log_entries": [{"level": "info", "message": "a", "metadata": {"k": 1}}, {"level": "error"}]}'
     (tmp_path / "l.json").write_text(doc)
-    rows = tables.read_log_exports(spark, str(tmp_path, multi_line=True)).collect()
+    rows = tables.read_log_exports(spark, str(tmp_path), multi_line=True).collect()
     assert [(r.session_id, r.level) for r in rows] == [("s1", "info"), ("s1", "error")] and rows[0].metadata == {"k": "1"}
 
 

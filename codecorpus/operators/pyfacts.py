@@ -44,8 +44,14 @@ def _describe(node: ast.AST) -> dict:
         row["args"] = [f"{node.module or ''}.{a.name}" for a in node.names]
     elif isinstance(node, ast.If):
         test = node.test
-        if isinstance(test, ast.Compare) and isinstance(test.left, ast.Name) and test.left.id == "__name__":
-            row["name"] = "__name__"
+        if isinstance(test, ast.Compare):
+            equal_to = test.comparators[0].value if len(test.ops) == 1 and isinstance(test.ops[0], ast.Eq) and isinstance(test.comparators[0], ast.Constant) else None
+            if isinstance(test.left, ast.Name) and test.left.id == "__name__":
+                row["name"] = "__name__"
+            elif equal_to is True or equal_to is False:
+                row["name"] = f"== {equal_to}"
+    elif isinstance(node, ast.For) and isinstance(node.iter, ast.Call) and isinstance(node.iter.func, ast.Name) and node.iter.func.id == "range":
+        row["name"] = "range"
     elif isinstance(node, (*_FUNCTIONS, ast.ClassDef)):
         row |= {"name": node.name, "doc": ast.get_docstring(node)}
         first = node.body[0]

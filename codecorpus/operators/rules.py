@@ -418,8 +418,27 @@ def add_async(
 ENHANCE_RULES = ["bool_eq_true", "bool_eq_false", "break_assignment", "js_var_const_any", "js_doc", "java_doc", "tidy"]
 
 
+#: Lines of a function from which it is reported.
+LONG_FUNCTION = 50
+
+
+def analysis_messages(n: Column) -> Column:
+    """What the analysis says about one node of a Python file, in the order of the nodes."""
+    lines = n["end_line"] - n["line"]
+    function, branch = n["kind"] == "FunctionDef", n["kind"] == "If"
+    return F.array_compact(
+        F.array(
+            F.when(branch & (n["name"] == "== True"), F.lit(BY_NAME["bool_eq_true"].message)),
+            F.when(branch & (n["name"] == "== False"), F.lit(BY_NAME["bool_eq_false"].message)),
+            F.when((n["kind"] == "For") & (n["name"] == "range"), F.lit("Verified efficient range loop")),
+            F.when(function & (lines > LONG_FUNCTION), F.concat(F.lit("Long function detected: "), n["name"], F.lit(" ("), lines.cast("string"), F.lit(" lines)"))),
+            F.when(function & n["returns"].isNull() & (n["n_args"] > 0), F.concat(F.lit("Function "), n["name"], F.lit(" could benefit from type hints"))),
+        )
+    )
+
+
 def enhance(df: DataFrame, content: str, language: str = "language") -> DataFrame:
-    """Add ``new_content`` and ``improvements`` (one message per hit) of the enhancement rules.
+    """Add ``new_content`` and ``improvements`` of the enhancement rules: one message per hit, then what the analysis of Python says.
 
     Python that does not parse gets the layout rule only. The base text is parsed once: the other rules do not change which
     functions lack a docstring.
@@ -432,12 +451,12 @@ def enhance(df: DataFrame, content: str, language: str = "language") -> DataFram
     doc = python_docstrings(first, "__c", "__d", "__facts")
     last = apply_rules(doc, ["tidy"], "__d", "__lang_of")
     n = lambda name: F.coalesce(F.try_element_at("__hits", F.lit(name)), F.lit(0))
-    repeated = [F.array_repeat(F.lit(BY_NAME[r].message), n(r)) for r in ("bool_eq_true", "bool_eq_false", "break_assignment")]
-    var = F.when(n("js_var_const_any") > 0, F.array(F.concat(F.lit("Replaced "), n("js_var_const_any").cast("string"), F.lit(" var declarations with const"))))
     none = F.expr("cast(array() as array<string>)")
+    var = F.when(n("js_var_const_any") > 0, F.array(F.concat(F.lit("Replaced "), n("js_var_const_any").cast("string"), F.lit(" var declarations with const"))))
     messages = F.concat(
-        *repeated,
+        F.array_repeat(F.lit(BY_NAME["break_assignment"].message), n("break_assignment")),
         F.transform("documented", lambda d: F.concat(F.lit("Added docstring placeholder for "), d)),
+        F.coalesce(F.flatten(F.transform("__facts", analysis_messages)), none),
         F.coalesce(var, none),
         F.array_repeat(F.lit(BY_NAME["js_doc"].message), n("js_doc")),
         F.array_repeat(F.lit(BY_NAME["java_doc"].message), n("java_doc")),

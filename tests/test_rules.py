@@ -80,7 +80,7 @@ def test_reprocess(spark):
     rows = [(1, "python", "def f(x):\n    if x == True:\n        return 1\n", "", "failed", "LLM error", 0, 0, 0, 0),
             (2, "python", "def broken(:\n", "", "failed", "e", 0, 0, 0, 0), (3, "Go", "a\n\n\n\nb", "x\n", "completed", "", 7, 7, 7, 7)]
     got = {x.file_id: x for x in r.reprocess(spark.createDataFrame(rows, schema)).collect()}
-    assert (got[1].status, got[1].error_message) == ("completed", "LLM error | Enhanced: Simplified boolean comparison (== True), Added docstring placeholder for f")
+    assert (got[1].status, got[1].error_message) == ("completed", "LLM error | Enhanced: Added docstring placeholder for f, Function f could benefit from type hints, Simplified boolean comparison (== True)")
     assert got[1].overall_quality_score > 0 and "if x:" in got[1].refactored_content
     assert not got[2].updated and got[2].status == "failed"
     assert not got[3].updated and got[3].refactored_content == "x\n" and got[3].overall_quality_score == 7
@@ -157,3 +157,14 @@ def test_diff_is_symmetric_and_counts_multisets(spark):
     for (a, b), row in zip(pairs, out):
         ca, cb = Counter(a.split("\n")), Counter(b.split("\n"))
         assert row.x == row.y == sum(abs(ca[k] - cb[k]) for k in {*ca, *cb})
+
+
+def test_analysis_messages(texts):
+    long = "def long(a):\n" + "    x = 1\n" * 52
+    code = f"def f(a) -> int:\n    \"\"\"d\"\"\"\n    for i in range(3):\n        if a == True:\n            pass\n    return a\n\n{long}"
+    got = r.enhance(texts(code, "def broken(:\n"), "content").orderBy("file_id").collect()
+    assert got[0].improvements == [
+        "Added docstring placeholder for long", "Verified efficient range loop", "Simplified boolean comparison (== True)",
+        "Long function detected: long (52 lines)", "Function long could benefit from type hints",
+    ]
+    assert got[1].improvements == []

@@ -11,13 +11,16 @@ from codecorpus.operators.ranking import file_history, hot_files
 from codecorpus.operators.symbols import extract_functions
 
 
-def version_functions(commits: DataFrame, changes: DataFrame, versions: DataFrame, last: int = 10) -> DataFrame:
-    """Function headers of the last ``last`` commits of every path.
+def version_functions(
+    commits: DataFrame, changes: DataFrame, versions: DataFrame, last: int = 10, history: DataFrame | None = None
+) -> DataFrame:
+    """Function headers of the last ``last`` commits of every path (``history``: these commits, where they are known already).
 
-    The ranking decides on keys only; text joins the surviving versions and is reduced to headers in the same stage.
+    Versions are reduced to headers where they are read, so that no text is ever shuffled or broadcast; the ranking of commits is
+    on keys and meets the narrow headers only.
     """
-    recent = file_history(commits, changes, last).select("path", "hash", "committed_at")
-    return extract_functions(versions.join(recent, ["path", "hash"]))
+    history = file_history(commits, changes, last) if history is None else history
+    return extract_functions(versions).join(history.select("path", "hash", "committed_at"), ["path", "hash"])
 
 
 def function_evolution(functions: DataFrame) -> DataFrame:
@@ -70,7 +73,7 @@ def file_context(commits: DataFrame, changes: DataFrame, versions: DataFrame) ->
             lambda h: F.struct(h["hash"].alias("hash"), h["author"].alias("author"), h["committed_at"].alias("committed_at"), h["message"].alias("message")),
         ).alias("history")
     )
-    functions = version_functions(commits, changes, versions)
+    functions = version_functions(commits, changes, versions, history=history)
     evolved = function_evolution(functions).groupBy("path").agg(F.array_sort(F.collect_list("name")).alias("evolved_functions"))
     recent = functions.filter(F.col("committed_at").isNotNull())
     naming = naming_convention(recent).select("language", F.col("suggestion").alias("naming"), F.col("confidence").alias("naming_confidence"))

@@ -1,5 +1,7 @@
 """Plan shapes and skew: the properties that must hold when the data grows."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +43,12 @@ def test_filters_reach_the_scan(spark, sf_dir):
     assert "PushedFilters: [In(event_type" in plan(routing.by_language(events, ["error", "click"])) or "PushedFilters: [IsNotNull" in plan(routing.by_language(events, ["error"]))
 
 
+def test_history_never_moves_text(t):
+    text = plan(history.version_functions(t.commits, t.changes, t.file_versions))
+    moved = [line for line in text.split("\n") if "Exchange" in line or "Arguments: hashpartitioning" in line]
+    assert moved and not any("content" in line for line in moved)
+
+
 def test_no_cross_join_or_unbounded_broadcast(t):
     for df in (accuracy.session_summary(t.sessions, t.files), compare.folder_context(t.scan), history.file_context(t.commits, t.changes, t.file_versions),
                sinks.report(t.sessions, t.files, "2024-01-01", "2024-02-01")):

@@ -30,7 +30,7 @@ QUERY_RULES = [
     ("net", "/fr/", "block"),
 ]
 RULE_SCHEMA = "host string, path string, verdict string"
-#: Sorts after every character that a key may continue with, since keys are compared as UTF-8 bytes.
+#: Sweeps that the urls are dealt to; each gets all rules.
 SWEEPS = 64
 
 
@@ -94,7 +94,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(QUERY_RULES, RULE_SCHEMA)
+    values = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in QUERY_RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {values} AS r(host, path, verdict)")
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text after which a block is closed.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SCHEMA = "block string, ids array<bigint>, lens binary, codes binary, vocab binary, n_words bigint, n_distinct bigint"
 
 
 def encode_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, lower: bool = False) -> DataFrame:
-    """One row per block: ids of its documents, words per document, codes of the words, and the distinct words joined by ``\\n``.
+    """One row per block: ids of its documents, words per document, codes of the words (:func:`planes`), and the distinct words joined by ``\\n``.
     Write the result before using it twice: a block's name is its place in the run that made it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,7 +32,7 @@ def encode_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", b
         ids, lens, codes, vocab, size = [], [], [], {}, 0
 
         def close() -> pa.RecordBatch:
-            row = [f"{part}-{n}", ids, np.array(lens, np.int32).tobytes(), b"".join(codes), b"\n".join(vocab), sum(lens), len(vocab)]
+            row = [f"{part}-{n}", ids, np.array(lens, np.int32).tobytes(), planes(np.frombuffer(b"".join(codes), np.int32)), b"\n".join(vocab), sum(lens), len(vocab)]
             kinds = [pa.string(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
             names = ["block", "ids", "lens", "codes", "vocab", "n_words", "n_distinct"]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
@@ -65,7 +65,7 @@ class Block:
         self.name = row["block"]
         self.ids = row["ids"]
         self.lens = np.frombuffer(row["lens"], np.int32).astype(np.int64)
-        self.codes = np.frombuffer(row["codes"], np.int32)
+        self.codes = from_planes(row["codes"], np.int32)
         #: Distinct words in the order of their codes; none if the block has no word.
         self.vocab = row["vocab"].split(b"\n") if row.get("vocab") else []
         self.ends = np.cumsum(self.lens)

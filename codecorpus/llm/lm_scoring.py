@@ -33,7 +33,7 @@ ORDER, SMOOTHING, FOLDS = 2, 0.1, 10
 #: Entries of the filter: bits for each on average, and places probed for each.
 BITS, PROBES = 10, 5
 #: Distinct words or n-grams in a group on average.
-GROUP_WORDS, GROUP_NGRAMS = 500_000, 1_500_000
+GROUP_WORDS, GROUP_NGRAMS = 300_000, 700_000
 #: Most bytes of the filter that are broadcast at once.
 BROADCAST_BYTES = 256 << 20
 #: Level l stands for counts from STEPS[l - 1] to below STEPS[l]: every count up to four, then two steps for each doubling.
@@ -41,6 +41,8 @@ STEPS = np.unique(np.ceil(2.0 ** (np.arange(0, 96) / 2)))
 VALUES = np.r_[0.0, np.where(STEPS[:-1] < 4, STEPS[:-1], np.sqrt(STEPS[:-1] * (STEPS[1:] - 1))), STEPS[-1]]
 #: Histogram of leave-one-out ratios: bins of a factor sqrt(2), and contexts by doublings of their count.
 BIN_LOW, BINS, CONTEXTS = -24, 96, 40
+#: Bits of an n-gram's hash that are used: 48 keep it apart from all others far better than the filter does, and travel in half the bytes.
+KEPT_BITS, CUT = np.uint64(0xFFFFFFFFFFFF0000), np.uint64(16)
 STARTS_WITH = np.uint64(0x5DEECE66D)
 
 
@@ -69,7 +71,7 @@ class Tokens:
             before = np.r_[STARTS_WITH, before[:-1]]
             before[self.starts] = STARTS_WITH
             total += before * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
-        return mix(total + np.uint64(order))
+        return mix(total + np.uint64(order)) & KEPT_BITS
 
 
 def token_hashes(block: Block) -> np.ndarray:
@@ -109,7 +111,7 @@ def send_ngrams(order: int, groups: int):
         h, n = np.unique(t.ngrams(token_hashes(block), order)[t.train], return_counts=True)
         names, spans = runs(group_of(h, groups))
         for name, (a, b) in zip(names.tolist(), spans):
-            yield name, h[a:b].tobytes(), planes(n[a:b].astype(np.uint32))
+            yield name, planes(np.diff(h[a:b] >> CUT, prepend=np.uint64(0))), planes(n[a:b].astype(np.uint32))
 
     return send
 
@@ -129,7 +131,7 @@ def segments(asked: DataFrame) -> DataFrame:
     """(grp, segment): the filter's segment of every group of n-grams, from their counts in all blocks."""
 
     def build(group: pa.Table) -> pa.Table:
-        h = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint64)
+        h = np.concatenate([np.cumsum(from_planes(x, np.uint64), dtype=np.uint64) for x in group.column("keys").to_pylist()]) << CUT
         n = np.concatenate([from_planes(x, np.uint32) for x in group.column("more").to_pylist()]).astype(np.int64)
         order = np.argsort(h)
         h, n = h[order], n[order]
@@ -239,10 +241,11 @@ def model(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
         for name, (a, b) in zip(names.tolist(), spans):
             counts[by[a:b]] = from_planes(got["words"][name][16:], np.int64)
         none = [bytes(len(block.codes) + len(block.lens))] * (order - 1)
-        values = [block.name, block.ids, block.lens.astype(np.int32).tobytes(), block.codes.tobytes(), b"\n".join(block.vocab), planes(counts), none]
+        values = [block.name, block.ids, block.lens.astype(np.int32).tobytes(), planes(block.codes), b"\n".join(block.vocab), planes(counts), none]
         return pa.Table.from_pylist([dict(zip(COUNTED_ARROW.names, values))], schema=COUNTED_ARROW)
 
-    counted = with_answers(blocks, answers, start, COUNTED)
+    # Written before the filter is read, so that no task runs two kinds of Python workers at once.
+    counted = stored(with_answers(blocks, answers, start, COUNTED))
     sets = []
     for k in range(2, order + 1):
         built = stored(segments(question(blocks, send_ngrams(k, groups))))

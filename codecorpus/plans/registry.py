@@ -29,7 +29,7 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir
         self._cache: dict[str, DataFrame] = {}
-        for key in ("spark.sql.session.timeZone", "spark.sql.execution.arrow.maxRecordsPerBatch"):
+        for key in ("spark.sql.session.timeZone", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
             spark.conf.set(key, SETTINGS[key])
 
     def __getattr__(self, name: str) -> DataFrame:

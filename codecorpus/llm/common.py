@@ -41,3 +41,12 @@ def words(text: Column) -> Column:
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, everything else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Most ids that are broadcast; beyond that rows and ids meet in a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose key is in ``ids`` (a written table). Texts stay where they are unless the ids are many."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_anti")

@@ -47,6 +47,6 @@ def lower_ascii(text: Column) -> Column:
 BROADCAST_IDS = 2_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+def without(docs: DataFrame, ids: DataFrame, key: str | list[str] = "doc_id") -> DataFrame:
     """``docs`` without the rows whose key is in ``ids`` (a written table). Texts stay where they are unless the ids are many."""
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_anti")

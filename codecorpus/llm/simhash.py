@@ -38,21 +38,27 @@ DENSE = 256
 UPPER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """64-bit SimHash over the shingles of ``size`` lower-cased words, repeats included."""
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> list[int]:
+    """Hashes of the shingles of ``size`` lower-cased words, repeats included; of fewer words, of all of them; none without words."""
     import xxhash
 
     ws = (text or "").encode("utf-8").translate(UPPER).split()
     if not ws:
-        return 0
+        return []
     if len(ws) <= size:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(ws), SEED)]
-    else:
-        line = b" ".join(ws)
-        ends = list(itertools.accumulate(map(len, ws), lambda at, n: at + n + 1))
-        starts = [0, *[e + 1 for e in ends]]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])]
+        return [xxhash.xxh64_intdigest(b" ".join(ws), SEED)]
+    line = b" ".join(ws)
+    ends = list(itertools.accumulate(map(len, ws), lambda at, n: at + n + 1))
+    starts = [0, *[e + 1 for e in ends]]
+    digest = xxhash.xxh64_intdigest
+    return [digest(line[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])]
+
+
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """64-bit SimHash over the shingles of ``size`` lower-cased words, repeats included."""
+    hashes = shingle_hashes(text, size)
+    if not hashes:
+        return 0
     total, counts = len(hashes), np.zeros(64, np.int64)
     values = np.array(hashes, dtype=">u8")
     for at in range(0, total, 1 << 16):

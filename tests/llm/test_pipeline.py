@@ -1,5 +1,7 @@
+import random
+
 import corpus_pipeline as p
-from codecorpus.llm import bpe, secret_scan
+from codecorpus.llm import bpe, near_copies, secret_scan
 
 
 def test_stages_do_what_they_say(spark, tmp_path):
@@ -32,3 +34,38 @@ def test_rows_without_ids_and_repeated_rows(spark):
     kept = p.near_duplicates(spark, docs, "").collect()
     assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 3]
     assert p.quality(spark, docs.where("false"), "").count() == 0
+
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def test_near_copies_against_brute_force(spark):
+    """Copies with a few words changed, above and below the limit, and families of copies of copies."""
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(4000)]
+    texts = []
+    for _ in range(60):
+        base = r.choices(words, k=r.randint(20, 300))
+        texts.append(base)
+        for _ in range(r.randint(0, 6)):
+            base = list(base if r.random() < 0.5 else texts[-1])
+            for at in r.sample(range(len(base)), r.randint(1, 1 + len(base) // 30)):
+                base[at] = r.choice(words)
+            texts.append(base)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    assert 60 < len(set(root)) < len(texts) - 60
+    docs = spark.createDataFrame([(k, " ".join(t), "en", "s", 1) for k, t in enumerate(texts)], DOCS)
+    assert {x.doc_id for x in p.near_duplicates(spark, docs, "").collect()} == set(root)
+
+
+def test_pairs_across_groups_of_a_band(spark, monkeypatch):
+    """With one wide band all texts meet in it, and links that do not touch its first member are found too."""
+    monkeypatch.setattr(near_copies, "bands", lambda values: [7] * near_copies.BANDS)
+    texts = [" ".join(f"{g}{k}" for k in range(60)) + f" {g}{end}" for g in "abcd" for end in ("x", "y")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOCS)
+    assert {x.doc_id for x in p.near_duplicates(spark, docs, "").collect()} == {0, 2, 4, 6}

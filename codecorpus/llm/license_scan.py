@@ -1,10 +1,14 @@
 """License scans with a trained paragraph classifier.
 
-Paragraphs (lines) are described by their words and word pairs. Multinomial logistic regression tells licence families and an
+Lines and runs of words are described by their words and word pairs. Multinomial logistic regression tells licence families and an
 unknown class apart. It is trained on a bounded sample: notice sentences of each family, paragraphs that carry the licence
 vocabulary (labelled by the template they resemble, else unknown), and paragraphs with the smallest hashes. A third of the
 sample is kept back to calibrate: a temperature for the scores, and the least probability a family needs, above that of every
-unknown paragraph kept back. A prediction is confirmed if the paragraph also holds most words of one of the family's templates in order.
+unknown paragraph kept back. A prediction is confirmed if the line or run also holds most words of one of the family's templates in order.
+
+Besides all lines, runs of words are judged that may lie anywhere in a paragraph (lines up to one without words), so that wrapped
+notices and notices inside long paragraphs are found. A template of which most words are in a run has one of its ``KEYS`` there,
+so only runs around these are compared with it; the compared run is then cut to the words that match.
 
 Defined results: null and empty texts have no findings; a null id is reported as null; repeated rows are reported each. An empty table
 gives no rows; only the named columns are read.
@@ -115,6 +119,12 @@ class Classifier:
         lens = np.array([len(p) for p in paragraphs], np.int64)
         return ids, np.repeat(np.arange(len(lens)), lens), lens
 
+    def judge(self, paragraphs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The likeliest class of each paragraph, and its probability."""
+        ids, owner, lens = self.encode(paragraphs)
+        p = self.probabilities(self.logits(*self.features(ids, owner), lens))
+        return p.argmax(axis=1), p.max(axis=1)
+
 
 def covered(template: list[bytes], paragraph: list[bytes]) -> float:
     """Share of the template's words found in order in the paragraph (longest common subsequence)."""
@@ -129,6 +139,72 @@ def covered(template: list[bytes], paragraph: list[bytes]) -> float:
 TEMPLATE_WORDS = {f: [tokens(t.encode()) for t in ts] for f, ts in TEMPLATES.items()}
 
 
+def least_words(template: list[bytes]) -> int:
+    """Least words of a template that confirm it."""
+    return int(np.ceil(CONFIRMED * len(template) - 1e-9))
+
+
+#: Frequent words, taken as keys last.
+FREQUENT = {b"under", b"this", b"that", b"with", b"following", b"person", b"version", b"public", b"general", b"source", b"either", b"later", b"work", b"free", b"file"}
+
+
+def keys() -> dict[bytes, list[tuple[str, int]]]:
+    """Templates by key word: of each template so many words that one of them is among any ``least_words``."""
+    out: dict[bytes, list[tuple[str, int]]] = {}
+    for f, templates in TEMPLATE_WORDS.items():
+        for n, t in enumerate(templates):
+            for w in set(sorted(t, key=lambda w: (w in FREQUENT, -len(w), w))[: len(t) - least_words(t) + 1]):
+                out.setdefault(w, []).append((f, n))
+    return out
+
+
+KEYS = keys()
+
+
+def reached(template: list[bytes], words: list[bytes]) -> list[int]:
+    """Length of the longest common subsequence of the template and each beginning of ``words``."""
+    row, out = [0] * (len(template) + 1), []
+    for w in words:
+        before = 0
+        for k, t in enumerate(template, 1):
+            before, row[k] = row[k], before + 1 if t == w else max(row[k], row[k - 1])
+        out.append(row[-1])
+    return out
+
+
+def runs(paragraph: list[bytes]) -> list[tuple[str, int, int]]:
+    """(family, start, end) of runs of words that hold most words of a template in order: any stretch of one and a half times the
+    template's length lies in one of the stretches compared. Of each there are the run of all the words that match and the
+    shortest first one that is enough."""
+    near: dict[tuple[str, int], set[int]] = {}
+    for p, w in enumerate(paragraph):
+        for f, n in KEYS.get(w, ()):
+            span = -(-3 * len(TEMPLATE_WORDS[f][n]) // 2)
+            near.setdefault((f, n), set()).update((p // span - 1, p // span))
+    out = set()
+    for (f, n), places in near.items():
+        t = TEMPLATE_WORDS[f][n]
+        span, least = -(-3 * len(t) // 2), least_words(t)
+        for k in places:
+            low = max(0, k * span)
+            part = paragraph[low : (k + 2) * span]
+            have = set(part)
+            if sum(w in have for w in t) < least:
+                continue
+            lengths = reached(t, part)
+            for want in {lengths[-1], least} if lengths[-1] >= least else ():
+                end = next(e for e, m in enumerate(lengths, 1) if m >= want)
+                back = reached(t[::-1], part[:end][::-1])
+                start = end - next(e for e, m in enumerate(back, 1) if m >= want)
+                out.add((f, low + start, low + end))
+    return sorted(out)
+
+
+def fragment(line: list[bytes]) -> bool:
+    """Whether a line is a piece of a notice: most of its words are in a template in order, but not most words of the template."""
+    return len(line) > 3 and any(w in KEYS for w in line) and any(covered(line, t) >= CONFIRMED > covered(t, line) for ts in TEMPLATE_WORDS.values() for t in ts)
+
+
 def closest(paragraph: list[bytes], families: list[str]) -> tuple[float, str, int]:
     """Best covered template: (share, family, number); of equal shares the longer template."""
     return max(((covered(t, paragraph), f, n) for f in families for n, t in enumerate(TEMPLATE_WORDS[f])), key=lambda x: (x[0], len(TEMPLATE_WORDS[x[1]][x[2]])))
@@ -147,7 +223,8 @@ def examples(like: list[str], other: list[str]) -> list[tuple[list[bytes], int]]
     """(words, class) of the training sample."""
     pick = np.random.default_rng(11)
     out = []
-    filler = [tokens(p.encode()) for p in other] or [[b"text"]]
+    # Pieces of wrapped notices are neither a notice nor unknown.
+    filler = [ws for ws in (tokens(p.encode()) for p in other) if not fragment(ws)] or [[b"text"]]
     for f, templates in TEMPLATE_WORDS.items():
         for t in templates:
             for k in range(COPIES):
@@ -157,6 +234,8 @@ def examples(like: list[str], other: list[str]) -> list[tuple[list[bytes], int]]
                 out.append((around + kept if k % 2 else kept + around, FAMILIES.index(f)))
     for p in like:
         ws = tokens(p.encode())
+        if fragment(ws):
+            continue
         share, family, _ = closest(ws, list(TEMPLATES)) if ws else (0.0, "", 0)
         out.append((ws, FAMILIES.index(family) if share >= 0.9 else 0))
     out += [(ws, 0) for ws in filler]
@@ -210,29 +289,44 @@ FOUND_NAMES = [c.split()[0] for c in FOUND.split(", ")]
 
 
 def scan(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, paragraph, family, probability, template, covered, confirmed) of every paragraph that is not unknown."""
+    """(doc_id, paragraph, family, probability, template, covered, confirmed) of every line that is not unknown and of every
+    confirmed run of words; ``paragraph`` is the number of the (first) line."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Classifier = shared.value
-        get, other = own.vocab.get, len(own.vocab)
         for batch in batches:
-            rows, paragraphs, place = [], [], []
-            for key, value in zip(batch.column(0), batch.column(1)):
-                for n, line in enumerate((value.as_py() or "").encode("utf-8").split(b"\n")):
-                    ws = tokens(line)
-                    if ws:
-                        paragraphs.append(ws)
-                        place.append((key.as_py(), n))
-            if paragraphs:
-                ids = np.fromiter((get(w, other) for p in paragraphs for w in p), np.int64)
-                lens = np.array([len(p) for p in paragraphs], np.int64)
-                p = own.probabilities(own.logits(*own.features(ids, np.repeat(np.arange(len(lens)), lens)), lens))
-                best = p.argmax(axis=1)
-                for at in np.flatnonzero((best > 0) & (p.max(axis=1) > own.least)):
-                    family = FAMILIES[best[at]]
-                    share, _, template = closest(paragraphs[at], [family])
-                    rows.append((*place[at], family, float(p[at, best[at]]), template, share, share >= CONFIRMED))
+            # Of each line (row, number, words); of each run (row, first line, last line, family, words).
+            lines, parts = [], []
+            for row, value in enumerate(batch.column(1)):
+                ws, at = [], []
+                for n, line in enumerate([*(value.as_py() or "").encode("utf-8").split(b"\n"), b""]):
+                    here = tokens(line)
+                    if here:
+                        lines.append((row, n, here))
+                        ws += here
+                        at += [n] * len(here)
+                    elif ws:
+                        parts += [(row, at[a], at[b - 1], f, ws[a:b]) for f, a, b in runs(ws)]
+                        ws, at = [], []
+            found: dict[tuple[int, int, str], tuple] = {}
+            if lines:
+                best, p = own.judge([x[2] for x in lines])
+                for k in np.flatnonzero((best > 0) & (p > own.least)):
+                    row, n, ws = lines[k]
+                    family = FAMILIES[best[k]]
+                    share, _, template = closest(ws, [family])
+                    found[row, n, family] = (float(p[k]), template, share, share >= CONFIRMED)
+            if parts:
+                best, p = own.judge([x[4] for x in parts])
+                # Of runs that share lines the one with the most words of its template stays.
+                judged = [(*closest(parts[k][4], [parts[k][3]]), k) for k in np.flatnonzero(p > own.least) if FAMILIES[best[k]] == parts[k][3]]
+                for share, family, template, k in sorted(judged, key=lambda x: (-x[0], x[3])):
+                    row, first, last = parts[k][:3]
+                    if share >= CONFIRMED and not any(found.get((row, n, family), (0, 0, 0, False))[3] for n in range(first, last + 1)):
+                        found[row, first, family] = (float(p[k]), template, share, True)
+            ids = batch.column(0).to_pylist()
+            rows = [(ids[row], n, family, *rest) for (row, n, family), rest in found.items()]
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], FOUND_NAMES)
 

@@ -40,3 +40,30 @@ def test_template_share():
 
 def test_empty_table(docs):
     assert l.scan(docs([]), l.train(l.examples(*l.sample(docs([]))))).count() == 0
+
+
+def test_wrapped_notices_and_notices_in_long_paragraphs(docs, prose):
+    """Every template, wrapped at different widths, in comments, and amid a paragraph of some hundred words."""
+    texts, want = [], set()
+    for f, templates in l.TEMPLATES.items():
+        for t in templates:
+            for k in range(3):
+                ws = t.split()
+                lines = [" ".join(ws[i : i + 4 + k]) for i in range(0, len(ws), 4 + k)]
+                around = [" ".join(prose[len(texts) + i] for i in range(8)) for _ in range(2)]
+                want.add((len(texts), f))
+                texts.append(["\n".join(lines), f"{prose[k]}\n\n" + "\n".join(f" * {x}" for x in lines), f"{around[0]} {t} {around[1]}"][k])
+    table = docs(texts + prose[300:])
+    rows = l.scan(table, l.train(l.examples(*l.sample(table)))).where("confirmed").collect()
+    assert {(r.doc_id, r.family) for r in rows} == want
+
+
+def test_runs_against_brute_force(prose):
+    for k, t in enumerate(t for ts in l.TEMPLATE_WORDS.values() for t in ts):
+        span = -(-3 * len(t) // 2)
+        for drop in (0, 1, 2, 5):
+            kept = [w for i, w in enumerate(t) if not drop or i % (drop + 3)]
+            ws = l.tokens(prose[k].encode()) * 9 + kept + l.tokens(prose[k + 50].encode()) * 9
+            some = any(l.covered(t, ws[i : i + span]) >= l.CONFIRMED for i in range(len(ws)))
+            got = any(l.covered(t, ws[a:b]) >= l.CONFIRMED for _, a, b in l.runs(ws))
+            assert got >= some

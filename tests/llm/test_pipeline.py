@@ -69,3 +69,15 @@ def test_pairs_across_groups_of_a_band(spark, monkeypatch):
     texts = [" ".join(f"{g}{k}" for k in range(60)) + f" {g}{end}" for g in "abcd" for end in ("x", "y")]
     docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOCS)
     assert {x.doc_id for x in p.near_duplicates(spark, docs, "").collect()} == {0, 2, 4, 6}
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
+    first, second, leak = (" ".join(f"{c}{k}" for k in range(80)) for c in "xyz")
+    rows = [(1, first), (1, second), (1, f"{leak} {item}"), (None, f"{leak} {item}"), (2, leak)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    assert {(r.doc_id, r.text) for r in p.decontaminated(spark, docs, sf_dir).collect()} == {(1, first), (1, second), (2, leak)}
+    rows = [(1, first), (1, second), (2, first + " end"), (2, leak), (3, second + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    assert {(r.doc_id, r.text) for r in p.near_duplicates(spark, docs, "").collect()} == {(1, first), (1, second), (2, leak)}

@@ -1,6 +1,6 @@
 """The registered queries of this package and their oracles."""
 
-from codecorpus.llm import bpe, decontaminate, license_scan, lm_scoring, quality_rules, secret_scan, simhash, substring_dedup, token_counts, url_filters
+from codecorpus.llm import bpe, decontaminate, license_scan, lm_scoring, quality_rules, secret_scan, simhash, substring_dedup, token_counts, url_filters, vector_codes
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -13,7 +13,9 @@ QUERIES = {
     "op8_bpe": bpe.query,
     "op9_license_scan": license_scan.query,
     "op10_quality_rules": quality_rules.query,
+    "op13_vector_codes": vector_codes.query,
 }
 ORACLES = {
     "op4_url_filters": url_filters.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }

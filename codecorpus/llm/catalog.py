@@ -1,6 +1,6 @@
 """The registered queries of this package and their oracles."""
 
-from codecorpus.llm import bpe, conversation_repair, decontaminate, license_scan, lm_scoring, quality_rules, secret_scan, simhash, substring_dedup, token_counts, url_filters, vector_codes
+from codecorpus.llm import bottom_k, bpe, conversation_repair, decontaminate, license_scan, lm_scoring, quality_rules, secret_scan, simhash, substring_dedup, token_counts, url_filters, vector_codes
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_bpe": bpe.query,
     "op9_license_scan": license_scan.query,
     "op10_quality_rules": quality_rules.query,
+    "op11_bottom_k": bottom_k.query,
     "op12_conversation_repair": conversation_repair.query,
     "op13_vector_codes": vector_codes.query,
 }

@@ -43,10 +43,19 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-#: Most ids that are broadcast; beyond that rows and ids meet in a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Most bytes of ids that are broadcast, and what a row and each of its columns take in a worker's hash table about.
+BROADCAST_BYTES, ROW_BYTES, COLUMN_BYTES = 64 << 20, 48, 16
 
 
 def without(docs: DataFrame, ids: DataFrame, key: str | list[str] = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose key is in ``ids`` (a written table). Texts stay where they are unless the ids are many."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_anti")
+    """``docs`` without the rows whose key is in ``ids`` (a written table). Texts stay where they are unless the ids outgrow a broadcast."""
+    size = ids.count() * (ROW_BYTES + COLUMN_BYTES * len(ids.columns))
+    return docs.join(F.broadcast(ids) if size <= BROADCAST_BYTES else ids, key, "left_anti")
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

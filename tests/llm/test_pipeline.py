@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline as p
-from codecorpus.llm import bpe, near_copies, secret_scan
+from codecorpus.llm import bottom_k, bpe, secret_scan
 
 
 def test_stages_do_what_they_say(spark, tmp_path):
@@ -63,14 +63,20 @@ def test_near_copies_against_brute_force(spark):
     assert {x.doc_id for x in p.near_duplicates(spark, docs, "").collect()} == set(root)
 
 
-def test_pairs_across_groups_of_a_band(spark, monkeypatch):
-    """With one wide band all texts meet in it, and links that do not touch its first member are found too."""
-    monkeypatch.setattr(near_copies, "bands", lambda values: [7] * near_copies.BANDS)
+def test_links_that_miss_the_first_of_a_list(spark, monkeypatch):
+    """All texts meet in one list, and links that do not touch its first member are found too."""
+    monkeypatch.setattr(bottom_k, "lists", lambda nodes: nodes.selectExpr("0L AS v", "node", "n"))
     texts = [" ".join(f"{g}{k}" for k in range(60)) + f" {g}{end}" for g in "abcd" for end in ("x", "y")]
     docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOCS)
     assert {x.doc_id for x in p.near_duplicates(spark, docs, "").collect()} == {0, 2, 4, 6}
 
 
+def test_a_column_with_the_name_of_the_hash_stays(spark):
+    text = "the story of a river and of the stones in it " * 2
+    docs = spark.createDataFrame([(1, text, 777, "x"), (2, text, 778, "y"), (3, "another text of six words", 779, "z")], "doc_id bigint, text string, h int, H_ string")
+    assert sorted((r.doc_id, r.h, r.H_) for r in p.near_duplicates(spark, docs, "").collect()) == [(1, 777, "x"), (3, 779, "z")]
+
+
 def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
     sf_dir = "/root/testdata/sf0.001"
     item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text

@@ -82,7 +82,7 @@ LOG_EVENTS = """
 SELECT event_id, ts, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warning' WHEN 'purchase' THEN 'info' ELSE 'debug' END AS level,
   CASE event_type WHEN 'error' THEN 'validation' WHEN 'signup' THEN 'file_scan' WHEN 'purchase' THEN 'llm_request' WHEN 'click' THEN 'rename' ELSE 'transformation' END AS operation_type,
   CAST(user_id AS STRING) AS session_id, concat('src/f', user_id, '.py') AS file_path, value AS duration, props,
-  CAST(floor(event_id / 2) AS BIGINT) AS operation_id, CASE WHEN event_id % 2 = 0 THEN 'start' WHEN event_id % 10 = 9 THEN 'lost' ELSE 'end' END AS phase
+  CAST(floor(event_id / 2) AS BIGINT) AS operation_id, CASE WHEN event_id % 14 = 0 OR event_id % 10 = 9 THEN 'lost' WHEN event_id % 2 = 0 THEN 'start' ELSE 'end' END AS phase
 FROM events
 """
 

@@ -13,6 +13,7 @@ from codecorpus.functions.language import detect_language
 from codecorpus.functions.responses import error_pattern
 from codecorpus.operators.metrics import overall, score
 from codecorpus.sources.corpus import BINARY_FILE, decoded, describe
+from codecorpus.streaming.upsert import UpsertTable
 
 
 def error_counts(errors: DataFrame) -> DataFrame:
@@ -93,11 +94,34 @@ def pair_operations(starts: DataFrame, ends: DataFrame, within: str = "1 day") -
     )
 
 
-def unknown_ends(starts: DataFrame, ends: DataFrame) -> DataFrame:
-    """Warnings for ends without a start (batch)."""
-    lost = ends.join(starts.select("operation_id"), "operation_id", "left_anti")
-    return lost.select(
-        "operation_id", "ts", F.lit("warning").alias("level"),
+def all_operations(starts: DataFrame, ends: DataFrame, within: str = "1 day") -> DataFrame:
+    """Every start and every end once: ``completed`` with the duration, ``open`` (no end within the bound) or ``unknown`` (an end without a
+    start in the bound before it).
+
+    A full outer join. Streaming: what finds no partner is given out once the watermark of the other side has passed its bound, and
+    leaves the state then, so the state holds the operations of one bound only. :func:`beats` lets both sides run to their end.
+    """
+    if starts.isStreaming:
+        starts, ends = starts.withWatermark("ts", "0 seconds"), ends.withWatermark("ts", "0 seconds")
+    s = starts.select("operation_id", F.col("ts").alias("start_ts"), "operation_type")
+    e = ends.select(F.col("operation_id").alias("end_id"), F.col("ts").alias("end_ts"))
+    out = s.join(e, F.expr(f"operation_id = end_id AND end_ts >= start_ts AND end_ts <= start_ts + INTERVAL {within}"), "full_outer")
+    seconds = (F.unix_micros("end_ts") - F.unix_micros("start_ts")) / F.lit(1e6)
+    state = F.when(F.col("end_ts").isNull(), "open").when(F.col("start_ts").isNull(), "unknown").otherwise("completed")
+    return out.select(F.coalesce("operation_id", "end_id").alias("operation_id"), "operation_type", "start_ts", "end_ts", seconds.alias("duration"), state.alias("state")).where("operation_id IS NOT NULL")
+
+
+def beats(log: DataFrame, after: str = "2 days") -> DataFrame:
+    """Two rows without an operation, a start and an end ``after`` the last of ``log``: sent behind it, they move both watermarks past every bound."""
+    last = log.agg((F.max("ts") + F.expr(f"INTERVAL {after}")).alias("ts")).where("ts IS NOT NULL")
+    rows = last.select("ts", F.explode(F.array(F.lit("start"), F.lit("end"))).alias("phase"))
+    return rows.select(*[F.col(f.name) if f.name in ("ts", "phase") else F.lit(None).cast(f.dataType).alias(f.name) for f in log.schema.fields])
+
+
+def unknown_ends(starts: DataFrame, ends: DataFrame, within: str = "1 day") -> DataFrame:
+    """Warnings for ends without a start in the bound before them."""
+    return all_operations(starts, ends, within).where("state = 'unknown'").select(
+        "operation_id", F.col("end_ts").alias("ts"), F.lit("warning").alias("level"),
         F.concat(F.lit("Attempted to end unknown operation: "), F.col("operation_id").cast("string")).alias("message"),
     )
 
@@ -110,6 +134,35 @@ def progress(files: DataFrame) -> DataFrame:
     )
 
 
+#: How the counts of :func:`progress` of two batches of a session become one, and what is kept of each.
+PROGRESS = {"seen_files": F.sum, "finished_files": F.sum, "failed_files": F.sum, "first_batch": F.min, "last_batch": F.max}
+
+
+def progress_table(spark: SparkSession, files: DataFrame, folder: str, idle_batches: int | None = None, compact_every: int = 10) -> UpsertTable:
+    """The keyed table of progress by session for a stream of ``files``. Nothing is held as streaming state: a batch's counts are added to
+    the table. Sessions without news for ``idle_batches`` batches leave it when it is compacted."""
+    key = files.schema["session_id"]
+    schema = T.StructType([key, *[T.StructField(c, T.LongType()) for c in PROGRESS]])
+
+    def live(rows: DataFrame) -> DataFrame:
+        last = rows.agg(F.max("last_batch")).first()[0]
+        return rows if last is None else rows.where(F.col("last_batch") > last - idle_batches)
+
+    return UpsertTable(spark, folder, schema, ["session_id"], totals=PROGRESS, keep=live if idle_batches else None, compact_every=compact_every)
+
+
+def run_progress(files: DataFrame, table: UpsertTable, folder: str) -> StreamingQuery:
+    """Applies everything available of a stream of files to the table; safe to run again after any failure."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        at = F.lit(batch_id).cast("long")
+        table.apply(progress(batch).withColumns({"first_batch": at, "last_batch": at}), batch_id)
+
+    query = files.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(save).start()
+    query.awaitTermination()
+    return query
+
+
 def stream_corpus(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """New files of a folder: decoded, language detected, scored."""
     raw = (

@@ -81,3 +81,76 @@ def test_commit_lines(spark):
 def test_bound_view_reads_the_given_stream(spark, sf_dir):
     t = Tables(spark, sf_dir)
     assert bound(t, t.events, "requests").count() == t.requests.count()
+
+
+def errors(spark, rows):
+    return spark.createDataFrame([(i, t, "k", "m", who) for i, t, who in rows], "event_id long, ts string, error_type string, message string, session_id string").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def test_rolling_lists_at_every_batch_end(spark, tmp_path):
+    """Errors on both sides of midnight: each leaves the list 24 hours after it came, whatever batch brings the later ones; state shrinks with it."""
+    from codecorpus.streaming.rolling import rolling_lists
+
+    batches = [
+        [(1, "2024-01-01 23:59:00", "a"), (2, "2024-01-01 12:00:00", "a"), (3, "2024-01-01 23:59:59", "b"), (9, "2024-01-01 10:00:00", None)],
+        [(4, "2024-01-02 00:01:00", "a"), (5, "2024-01-02 23:58:59", "c")],
+        [(6, "2024-01-02 23:59:00", "c")],
+        [(7, "2024-01-03 00:00:30", "b")],
+        [(8, "2024-01-20 00:00:00", "b")],
+    ]
+    for k, rows in enumerate(batches):
+        errors(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(errors(spark, batches[0]).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    lists, held = rolling_lists(source, str(tmp_path / "run"))
+    got = {}
+    for r in lists.collect():
+        got.setdefault(r.batch_id, set()).add((r.session_id, r.event_id))
+    want = [{("a", 1), ("a", 2), ("b", 3)}, {("a", 1), ("b", 3), ("a", 4), ("c", 5)}, {("b", 3), ("a", 4), ("c", 5), ("c", 6)}, {("a", 4), ("c", 5), ("c", 6), ("b", 7)}, {("b", 8)}]
+    assert [got[k] for k in range(5)] == want
+    assert max(h["entries"] for h in held) > held[-1]["entries"]
+
+
+def test_keyed_table_of_batches(spark, tmp_path):
+    """Repeated and killed batches change nothing, deleted keys leave, and a read opens few folders however many batches there were."""
+    from codecorpus.streaming.upsert import UpsertTable
+
+    frame = lambda *rows: spark.createDataFrame(rows, "k int, v int, gone boolean")
+    make = lambda: UpsertTable(spark, str(tmp_path / "t"), frame().schema, ["k"], order=["v"], deleted="gone", compact_every=3)
+    table, want = make(), {}
+    for batch in range(8):
+        rows = [(batch % 3, batch, False), (batch % 3, batch - 100, False), (10 + batch, 1, False), (9 + batch, 1, True)]
+        want[batch % 3] = batch
+        want[10 + batch] = 1
+        want.pop(9 + batch, None)
+        if batch == 4:  # killed after the delta, before the pointer
+            frame((77, 7, False)).withColumn("__batch", F.lit(4).cast("long")).write.parquet(str(tmp_path / "t/delta/4"))
+        table.apply(frame(*rows), batch)
+        if batch in (2, 5):
+            make().apply(frame((55, 5, False)), batch)  # repeated: the table knows it
+        assert table.files() <= 4
+    assert {r.k: r.v for r in make().read().collect()} == want
+
+
+def test_progress_table_survives_restarts(spark, tmp_path):
+    files = spark.createDataFrame([(i, f"s{i % 3}", ["completed", "failed", "processing"][i % 3 if i < 30 else 0]) for i in range(60)], "file_id long, session_id string, status string")
+    make = lambda **more: s.progress_table(spark, files, str(tmp_path / "t"), **more)
+    for part in range(3):
+        files.filter(F.col("file_id") % 3 == part).write.mode("append").parquet(str(tmp_path / "in"))
+        s.run_progress(spark.readStream.schema(files.schema).parquet(str(tmp_path / "in")), make(), str(tmp_path / "run"))
+    want = s.progress(files).collect()
+    assert sorted((r.session_id, r.seen_files, r.finished_files, r.failed_files) for r in make().read().collect()) == sorted(tuple(r) for r in want)
+    idle = make(idle_batches=2)
+    idle.compact()
+    assert {r.session_id for r in idle.read().collect()} == {"s1", "s2"}
+
+
+def test_late_rows_are_kept_as_rows(spark, tmp_path):
+    from codecorpus.streaming.upsert import LateSplit
+
+    frame = lambda *rows: spark.createDataFrame(rows, "id int, at string").select("id", F.col("at").cast("timestamp").alias("ts"))
+    got = None
+    for rows in ([(1, "2024-01-01 10:00:00"), (2, "2024-01-01 08:00:00")], [(3, "2024-01-01 09:49:59"), (4, "2024-01-01 09:50:00"), (5, None)], [(6, "2024-01-01 09:00:00"), (7, "2024-01-01 12:00:00")]):
+        frame(*rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(frame().schema).parquet(str(tmp_path / "in"))
+        got = LateSplit(source, str(tmp_path / "run")).run()
+    assert sorted((r.id, r.late) for r in got.collect()) == [(1, False), (2, False), (3, True), (4, False), (5, False), (6, True), (7, False)]

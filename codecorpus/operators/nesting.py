@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codecorpus.functions import dims
@@ -74,31 +73,48 @@ def brace_findings(text: Column) -> Column:
         ),
     )
     marked = F.filter(numbered, lambda x: x["open"] | x["close"] | x["head"])
+    # Entries of one depth are one: depth, how many they are, and the first one's line. Depths ascend, so the stack is as long as the text nests deep.
+    level = "array<struct<depth:int,n:int,line:int>>"
     zero = F.struct(
         F.lit(0).alias("depth"),
-        _empty("array<struct<line:int,depth:int>>").alias("stack"),
+        _empty(level).alias("stack"),
+        F.lit(0).alias("held"),
         _empty(f"array<{STRETCHES}>").alias("out"),
         _empty(STRETCHES).alias("buf"),
         F.lit(0).alias("last"),
     )
 
-    def stretch(acc_stack: Column, begin: Column, end: Column) -> Column:
-        return F.struct(begin.alias("line"), end.alias("upto"), acc_stack[0]["line"].alias("first"), F.size(acc_stack).alias("depth"))
+    def stretch(first: Column, held: Column, begin: Column, end: Column) -> Column:
+        return F.struct(begin.alias("line"), end.alias("upto"), first.alias("first"), held.alias("depth"))
+
+    def entry(depth: Column, n: Column, line: Column) -> Column:
+        return F.array(F.struct(depth.alias("depth"), n.alias("n"), line.alias("line")))
+
+    def pushed(stack: Column, depth: Column, line: Column) -> Column:
+        top = F.try_element_at(stack, F.lit(-1))
+        more = F.concat(F.slice(stack, F.lit(1), F.size(stack) - 1), entry(depth, top["n"] + 1, top["line"]))
+        return F.when(top["depth"] == depth, more).otherwise(F.concat(stack, entry(depth, F.lit(1), line)))
 
     def step(acc: Column, x: Column) -> Column:
         # Lines between the previous marked line and this one keep the previous stack.
-        gap = (F.size(acc["stack"]) >= 3) & (x["line"] - acc["last"] > 1)
-        before = F.when(gap, F.array(stretch(acc["stack"], acc["last"] + 1, x["line"] - 1))).otherwise(_empty(STRETCHES))
+        first = acc["stack"][0]["line"]
+        gap = (acc["held"] >= 3) & (x["line"] - acc["last"] > 1)
+        before = F.when(gap, F.array(stretch(first, acc["held"], acc["last"] + 1, x["line"] - 1))).otherwise(_empty(STRETCHES))
         depth = acc["depth"] + x["delta"]
-        stack = F.when(x["head"], F.concat(acc["stack"], F.array(F.struct(x["line"].alias("line"), depth.alias("depth"))))).otherwise(acc["stack"])
-        own = F.when(F.size(stack) >= 3, F.array(stretch(stack, x["line"], x["line"]))).otherwise(_empty(STRETCHES))
+        held = acc["held"] + x["head"].cast("int")
+        own = F.when(held >= 3, F.array(stretch(first, held, x["line"], x["line"]))).otherwise(_empty(STRETCHES))
         new = _gathered(acc, F.concat(before, own))
-        kept = F.when(x["close"], F.filter(stack, lambda s: s["depth"] <= depth)).otherwise(stack)
-        return F.struct(depth.alias("depth"), kept.alias("stack"), *[c.alias(k) for k, c in new.items()], x["line"].alias("last"))
+        deep = F.exists(acc["stack"], lambda s: s["depth"] > depth) & x["close"]
+        kept = F.when(deep, F.filter(acc["stack"], lambda s: s["depth"] <= depth)).otherwise(acc["stack"])
+        gone = F.when(deep, F.aggregate(acc["stack"], F.lit(0), lambda n, s: n + F.when(s["depth"] > depth, s["n"]).otherwise(0))).otherwise(0)
+        return F.struct(
+            depth.alias("depth"), F.when(x["head"], pushed(kept, depth, x["line"])).otherwise(kept).alias("stack"), (held - gone).alias("held"),
+            *[c.alias(k) for k, c in new.items()], x["line"].alias("last"),
+        )
 
     def finish(acc: Column) -> Column:
-        tail = (F.size(acc["stack"]) >= 3) & (line_total(text) > acc["last"])
-        rest = F.when(tail, F.array(stretch(acc["stack"], acc["last"] + 1, line_total(text)))).otherwise(_empty(STRETCHES))
+        tail = (acc["held"] >= 3) & (line_total(text) > acc["last"])
+        rest = F.when(tail, F.array(stretch(acc["stack"][0]["line"], acc["held"], acc["last"] + 1, line_total(text)))).otherwise(_empty(STRETCHES))
         return _all_gathered(acc, rest)
 
     stretches = F.aggregate(marked, zero, step, finish)
@@ -206,73 +222,112 @@ def dedent_ends(numbered: Column, total: Column) -> Column:
     )
 
 
-def enclosing_function(
-    findings: DataFrame, files: DataFrame, content: str = "content", language: str = "language", key: str = "file_id"
-) -> DataFrame:
-    """Add ``function_start`` and ``function_end`` (1-based): nearest header at or above ``line_start``; the end by dedent
-    (Python) or where the braces opened since the header balance again. NULL when there is no header.
+SPANS = "array<struct<line:int,stop:int>>"
+
 
-    Braces: the running depth D of a file makes the end of a header at line h the first later ``}`` line whose D equals the
-    depth before h, found by one window per (file, depth). Only line facts are shuffled, never text.
+def brace_spans(text: Column, language: Column) -> Column:
+    """(line, stop) of each Java or JavaScript header in the order of lines: the first line from there on with a ``}`` after which as many braces
+    are open as before the header, else the last line.
+
+    Headers and closing lines are sorted by their level and then from the last line to the first, so one fold meets a level's closing line
+    before the headers it closes.
     """
-    lang = F.lower(F.col(language))
-    python_head = lambda s: strip(s).startswith("def ")
     java_head = lambda s: search(strip(s), r"(public|private|protected).*\w+\s*\([^)]*\)\s*\{?", "(?s)")
     js_head = lambda s: (
         strip(s).startswith("function ") | s.contains("=>") | search(strip(s), r"\w+\s*\([^)]*\)\s*\{")
     )
-    text = F.col(content)
-
-    # Python: arrays inside the row.
     numbered = F.transform(
         split_lines(text),
-        lambda s, i: F.struct(i.alias("i"), indent_of(s).alias("indent"), is_blank(s).alias("blank"), python_head(s).alias("head")),
-    )
-    py = files.filter(lang == "python").select(key, F.inline(dedent_ends(numbered, line_total(text)))).select(
-        key, (F.col("i") + 1).alias("line"), F.col("stop").alias("function_end")
+        lambda s, i: F.struct(
+            (i + 1).alias("line"), (count_of(s, "{") - count_of(s, "}")).alias("delta"), s.contains("}").alias("close"),
+            F.when(F.lower(language) == "java", java_head(s)).otherwise(js_head(s)).alias("head"),
+        ),
     )
+    marked = F.filter(numbered, lambda x: x["head"] | x["close"] | (x["delta"] != 0))
+    event = "array<struct<level:int,back:int,head:boolean>>"
+    zero = F.struct(F.lit(0).alias("depth"), _empty(f"array<{event}>").alias("out"), _empty(event).alias("buf"))
+
+    def number(acc: Column, x: Column) -> Column:
+        after = acc["depth"] + x["delta"]
+        one = lambda level, head: F.struct(level.alias("level"), (-x["line"]).alias("back"), F.lit(head).alias("head"))
+        items = F.array_compact(F.array(F.when(x["head"], one(acc["depth"], True)), F.when(x["close"], one(after, False))))
+        return F.struct(after.alias("depth"), *[c.alias(k) for k, c in _gathered(acc, items).items()])
+
+    events = F.array_sort(F.aggregate(marked, zero, number, lambda acc: _all_gathered(acc)))
+    none = F.lit(None).cast("int")
+    begin = F.struct(none.alias("level"), none.alias("next"), _empty(f"array<{SPANS}>").alias("out"), _empty(SPANS).alias("buf"))
+
+    def close(acc: Column, x: Column) -> Column:
+        line = -x["back"]
+        after = F.when(acc["level"] == x["level"], acc["next"])
+        new = _gathered(acc, F.array(F.struct(line.alias("line"), F.coalesce(after, line_total(text)).alias("stop"))))
+        return F.struct(
+            x["level"].alias("level"), F.when(x["head"], after).otherwise(line).alias("next"), *[F.when(x["head"], c).otherwise(acc[k]).alias(k) for k, c in new.items()]
+        )
 
-    # Java / JavaScript: line facts and windows.
-    rows = files.filter(lang.isin("java", "javascript")).select(
-        key,
-        F.inline(
-            F.filter(
-                F.transform(
-                    split_lines(text),
-                    lambda s, i: F.struct(
-                        (i + 1).alias("line"), (count_of(s, "{") - count_of(s, "}")).alias("delta"), s.contains("}").alias("close"),
-                        F.when(lang == "java", java_head(s)).otherwise(js_head(s)).alias("head"),
-                    ),
-                ),
-                lambda x: x["head"] | x["close"] | (x["delta"] != 0),
-            )
-        ),
-        line_total(text).alias("total"),
+    return F.array_sort(F.aggregate(events, begin, close, lambda acc: _all_gathered(acc)))
+
+
+def function_spans(text: Column, language: Column) -> Column:
+    """(line, stop) of each function header, in the order of lines; none for languages without a rule."""
+    lang = F.lower(language)
+    numbered = F.transform(
+        split_lines(text),
+        lambda s, i: F.struct(i.alias("i"), indent_of(s).alias("indent"), is_blank(s).alias("blank"), strip(s).startswith("def ").alias("head")),
     )
-    running = W.partitionBy(key).orderBy("line")
-    rows = rows.withColumn("after", F.sum("delta").over(running)).withColumn("before", F.col("after") - F.col("delta"))
-    events = rows.select(
-        key, "line", "total",
-        F.inline(
-            F.array_compact(
-                F.array(
-                    F.when(F.col("head"), F.struct(F.col("before").alias("level"), F.lit(True).alias("is_head"))),
-                    F.when(F.col("close"), F.struct(F.col("after").alias("level"), F.lit(False).alias("is_head"))),
-                )
-            )
-        ),
+    python = F.array_sort(F.transform(dedent_ends(numbered, line_total(text)), lambda e: F.struct((e["i"] + 1).cast("int").alias("line"), e["stop"].cast("int").alias("stop"))))
+    return F.when(lang == "python", python).when(lang.isin("java", "javascript"), brace_spans(text, language)).otherwise(_empty(SPANS))
+
+
+def nearest(spans: Column, lines: Column) -> Column:
+    """For each of an array of lines the place (from 0) of the last span that begins at or above it, null if none does; one fold over both, sorted."""
+    both = F.array_sort(
+        F.concat(
+            F.transform(spans, lambda s, i: F.struct(s["line"].alias("line"), F.lit(0).alias("kind"), i.alias("place"))),
+            F.transform(lines, lambda n, i: F.struct(n.alias("line"), F.lit(1).alias("kind"), i.alias("place"))),
+        )
     )
-    # Backwards, so the frame only grows; a closing row counts for a header on its own line (one-line bodies).
-    level = W.partitionBy(key, "level").orderBy(F.col("line").desc(), "is_head").rowsBetween(W.unboundedPreceding, 0)
-    ends = events.withColumn("next", F.min(F.when(~F.col("is_head"), F.col("line"))).over(level))
-    brace = ends.filter("is_head").select(key, "line", F.coalesce("next", "total").alias("function_end"))
-
-    # Nearest header at or above each finding: one pass over headers and findings in line order.
-    heads = py.unionByName(brace).select(key, "line", F.lit(0).alias("is_finding"), F.struct(F.col("line").alias("s"), F.col("function_end").alias("e")).alias("h"))
-    marks = findings.select(key, F.col("line_start").alias("line"), F.lit(1).alias("is_finding"), F.lit(None).cast("struct<s:int,e:int>").alias("h"), F.struct(*findings.columns).alias("row"))
-    upto = W.partitionBy(key).orderBy("line", "is_finding").rowsBetween(W.unboundedPreceding, 0)
-    both = heads.unionByName(marks, allowMissingColumns=True).withColumn("near", F.last("h", ignorenulls=True).over(upto))
-    return both.filter("is_finding = 1").select("row.*", F.col("near.s").alias("function_start"), F.col("near.e").alias("function_end"))
+    pair = "array<struct<place:int,near:int>>"
+    zero = F.struct(F.lit(None).cast("int").alias("near"), _empty(f"array<{pair}>").alias("out"), _empty(pair).alias("buf"))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = _gathered(acc, F.array(F.struct(x["place"].alias("place"), acc["near"].alias("near"))))
+        asks = x["kind"] == 1
+        return F.struct(F.when(asks, acc["near"]).otherwise(x["place"]).alias("near"), *[F.when(asks, c).otherwise(acc[k]).alias(k) for k, c in new.items()])
+
+    found = F.aggregate(both, zero, step, lambda acc: _all_gathered(acc))
+    return F.transform(F.array_sort(found), lambda f: f["near"])
+
+
+def _enclosed(rows: DataFrame, fields: list[str], *keep: str) -> DataFrame:
+    """One row for each of the findings in ``__n``, with the span among ``__s`` that ``__near`` names."""
+    rows = rows.withColumn("__near", nearest(F.col("__s"), F.transform("__n", lambda f: f["line_start"])))
+    near = lambda i: F.get(F.col("__s"), F.get(F.col("__near"), i))
+    found = F.transform("__n", lambda f, i: F.struct(*[f[c].alias(c) for c in fields], near(i)["line"].alias("function_start"), near(i)["stop"].alias("function_end")))
+    return rows.select(*keep, F.inline(found))
+
+
+def nested_ifs_in_functions(df: DataFrame, content: str = "content", language: str = "language", key: str = "file_id") -> DataFrame:
+    """Findings of every file with ``function_start`` and ``function_end``, all within the file's row: nothing is shuffled."""
+    text, lang = F.col(content), F.col(language)
+    df = df.withColumn("__f", facts_column(F.when(F.lower(lang) == "python", text)))
+    df = df.withColumns({"__n": findings_column(text, lang, F.col("__f")), "__s": function_spans(text, lang)})
+    return _enclosed(df, ["line_start", "line_end", "depth", "severity"], key, language)
+
+
+def enclosing_function(
+    findings: DataFrame, files: DataFrame, content: str = "content", language: str = "language", key: str = "file_id"
+) -> DataFrame:
+    """Add ``function_start`` and ``function_end`` (1-based) to a table of findings: nearest header at or above ``line_start``; the end by dedent
+    (Python) or where the braces opened since the header balance again. NULL when there is no header.
+
+    The spans of a file, never its text, meet its findings; both are compared within the row.
+    """
+    spans = files.select(key, function_spans(F.col(content), F.col(language)).alias("__s"))
+    fields = [c for c in findings.columns if c != key]
+    listed = findings.groupBy(key).agg(F.collect_list(F.struct(*fields)).alias("__n"))
+    met = listed.join(spans, key, "left").withColumn("__s", F.coalesce("__s", _empty(SPANS)))
+    return _enclosed(met, fields, key)
 
 
 def nested_if_delta(

@@ -84,6 +84,26 @@ def _n6(t):
     return n.enclosing_function(findings, files)
 
 
+_BRACE_FINDINGS = _WALK.format(
+    lines=FOLDED, keep="language IN ('java', 'javascript')", kept="CASE WHEN contains(s, '}') THEN list_filter(stack, lambda e: e.d <= depth) ELSE stack END",
+    depth=f"r.depth + {_OPENED}", stack=rf"CASE WHEN regexp_matches(x.w, '\bif\s*\(') THEN list_append(r.kept, {{'i': x.i, 'd': r.depth + {_OPENED}}}) ELSE r.kept END", severity="''")
+_WALKED = _BRACE_FINDINGS[: _BRACE_FINDINGS.rindex("SELECT file_id, stack[1].i")]
+
+
+@query("n6_functions_of_findings", "code_files", oracle=rf"""{_WALKED},
+n AS (SELECT file_id, stack[1].i AS line_start, line AS line_end, CAST(len(stack) AS INT) AS depth FROM r WHERE len(stack) >= 3),
+t AS (SELECT file_id, i, {count_of('s', '{')} - {count_of('s', '}')} AS delta, contains(s, '}}') AS close,
+  CASE WHEN language = 'java' THEN regexp_matches(w, '(?s)(public|private|protected).*\w+\s*\([^)]*\)\s*\{{?') ELSE regexp_matches(s, '^\s*function ') OR contains(s, '=>') OR regexp_matches(w, '\w+\s*\([^)]*\)\s*\{{') END AS head
+  FROM l WHERE language IN ('java', 'javascript')),
+a AS (SELECT *, CAST(sum(delta) OVER (PARTITION BY file_id ORDER BY i) AS INT) AS after FROM t),
+h AS (SELECT p.file_id, p.i, coalesce((SELECT min(c.i) FROM a c WHERE c.file_id = p.file_id AND c.close AND c.after = p.after - p.delta AND c.i >= p.i), (SELECT max(c.i) FROM a c WHERE c.file_id = p.file_id)) AS stop FROM a p WHERE head)
+SELECT n.*, (SELECT max(h.i) FROM h WHERE h.file_id = n.file_id AND h.i <= n.line_start) AS function_start,
+  (SELECT arg_max(h.stop, h.i) FROM h WHERE h.file_id = n.file_id AND h.i <= n.line_start) AS function_end FROM n""")
+def _n6b(t):
+    files = t.code_files.filter("language in ('java', 'javascript')")
+    return n.nested_ifs_in_functions(files).select("file_id", "line_start", "line_end", "depth", "function_start", "function_end")
+
+
 # --- symbols -------------------------------------------------------------------------------------------------------
 
 _EMPTY = "CAST(NULL AS VARCHAR) AS visibility, false AS is_static, {arrow} AS is_arrow, {ret} AS return_type"

@@ -127,3 +127,12 @@ def test_long_files_cost_in_proportion(spark):
     seconds(500)
     small, large = min(seconds(4000) for _ in range(2)), seconds(16000)
     assert large < 10 * small
+
+
+def test_findings_meet_their_functions_in_the_row(spark, sf_dir):
+    from codecorpus.operators import nesting
+
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id AS file_id", "text AS content", "'java' AS language")
+    assert "Exchange" not in plan(nesting.nested_ifs_in_functions(files))
+    found = nesting.nested_ifs_brace(files)
+    assert "Window" not in plan(nesting.enclosing_function(found, files))

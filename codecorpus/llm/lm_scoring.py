@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -147,19 +148,46 @@ def segments(asked: DataFrame) -> DataFrame:
     return asked.groupBy("grp").applyInArrow(build, "grp bigint, segment binary")
 
 
+@dataclass
+class Filter:
+    """Segments of the filter one after another: groups in order, first bit and bits of each, and the bits of all."""
+
+    groups: np.ndarray
+    first: np.ndarray
+    bits: np.ndarray
+    field: np.ndarray
+
+    def levels(self, h: np.ndarray, groups: int) -> np.ndarray:
+        """Levels of n-grams by repeated membership probes, for all segments at once; zero for those of other segments. The n-grams should be
+        sorted: then the segments are read one after another."""
+        group = group_of(h, groups).astype(np.int64)
+        place = np.minimum(np.searchsorted(self.groups, group), len(self.groups) - 1)
+        at = np.flatnonzero(self.groups[place] == group)
+        first, bits = self.first[place[at]], self.bits[place[at]]
+        level, step = np.zeros(len(h), np.uint8), 1
+        while len(at) and step < len(STEPS):
+            a = mix(h[at] + np.uint64(step * 0x9E3779B97F4A7C15 % 2**64))
+            b = mix(a) | np.uint64(1)
+            here = np.arange(len(at))
+            for k in range(PROBES):  # most n-grams that are missing leave at the first probe
+                bit = first[here] + (((a[here] + np.uint64(k) * b[here]) & np.uint64(0xFFFFFFFF)) * bits[here] >> np.uint64(32))
+                here = here[(self.field[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+            at, first, bits = at[here], first[here], bits[here]
+            level[at] = step
+            step += 1
+        return level
+
+
+def filter_of(rows: list) -> Filter:
+    """The filter of some (grp, segment) rows."""
+    rows = sorted(rows, key=lambda r: r["grp"])
+    sizes = np.array([len(r["segment"]) for r in rows], np.uint64) * np.uint64(8)
+    return Filter(np.array([r["grp"] for r in rows], np.int64), np.cumsum(sizes, dtype=np.uint64) - sizes, sizes, np.frombuffer(b"".join(bytes(r["segment"]) for r in rows), np.uint8))
+
+
 def probe(h: np.ndarray, segment: bytes) -> np.ndarray:
-    """Levels of n-grams by repeated membership probes of their segment."""
-    field = np.frombuffer(segment, np.uint8)
-    level = np.zeros(len(h), np.uint8)
-    at, step = np.arange(len(h)), 1
-    while len(at) and step < len(STEPS):
-        here = np.ones(len(at), bool)
-        for place in places(h[at], step, 8 * len(field)):
-            here &= (field[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        at = at[here]
-        level[at] = step
-        step += 1
-    return level
+    """Levels of n-grams in a filter of one segment."""
+    return filter_of([{"grp": 0, "segment": segment}]).levels(h, 1)
 
 
 COUNTED = "block string, ids array<bigint>, lens binary, codes binary, vocab binary, counts binary, levels array<binary>"
@@ -252,11 +280,11 @@ def model(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
         sets += [(k, built, part) for part in sets_of(built, broadcast_bytes)]
     for at, (k, built, part) in enumerate(sets):
         rows = built.where(F.col("grp").between(*part)).collect()
-        shared = blocks.sparkSession.sparkContext.broadcast({r["grp"]: bytes(r["segment"]) for r in rows})
+        shared = blocks.sparkSession.sparkContext.broadcast(filter_of(rows))
         counted = counted.mapInArrow(read_levels(shared, k, groups), COUNTED)
-        if at + 1 < len(sets):
-            counted = stored(counted)
-    return stored(counted.drop("vocab")), (n + ends, v + (ends > 0), ends)
+        counted = stored(counted if at + 1 < len(sets) else counted.drop("vocab"))
+        shared.destroy()  # what it gave is written
+    return counted if sets else stored(counted.drop("vocab")), (n + ends, v + (ends > 0), ends)
 
 
 def sets_of(built: DataFrame, most: int) -> list[tuple[int, int]]:
@@ -277,11 +305,7 @@ def read_levels(shared, order: int, groups: int):
             for row in batch.to_pylist():
                 block = Block(row)
                 h, back = np.unique(Tokens(block).ngrams(token_hashes(block), order), return_inverse=True)
-                names, spans = runs(group_of(h, groups))
-                level = np.zeros(len(h), np.uint8)
-                for name, (a, b) in zip(names.tolist(), spans):
-                    if name in held:
-                        level[a:b] = probe(h[a:b], held[name])
+                level = held.levels(h, groups)
                 row["levels"][order - 2] = np.maximum(level[back], np.frombuffer(row["levels"][order - 2], np.uint8)).tobytes()
                 yield pa.RecordBatch.from_pylist([row], schema=batch.schema)
 

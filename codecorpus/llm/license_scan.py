@@ -16,6 +16,8 @@ gives no rows; only the named columns are read.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -65,7 +67,7 @@ FAMILIES = ["unknown", *TEMPLATES]
 #: Words of which a paragraph must have one to be sampled as licence-like.
 LICENCE_WORDS = r"(?i)licen[sc]|copyright|permission|redistribut|spdx|warrant"
 #: The sample: licence-like distinct paragraphs and other paragraphs, those with the smallest hashes of each.
-SAMPLE_LIKE, SAMPLE_OTHER = 1_000, 2_000
+SAMPLE_LIKE, SAMPLE_OTHER, SAMPLE_CHARS = 1_000, 2_000, 4_000
 #: Shuffled and shortened copies of a template in the sample, training rounds, step and weight decay.
 COPIES, ROUNDS, RATE, DECAY = 12, 300, 1.0, 1e-4
 #: Share of a template's words that must be in the paragraph in order.
@@ -211,12 +213,32 @@ def closest(paragraph: list[bytes], families: list[str]) -> tuple[float, str, in
 
 
 def sample(docs: DataFrame, text: str = "text") -> tuple[list[str], list[str]]:
-    """Licence-like paragraphs and other ones from all texts, each those with the smallest hashes."""
+    """Licence-like paragraphs and other ones from all texts, of each those with the smallest hashes; of a long one ``SAMPLE_CHARS`` characters
+    from a place that its hash names.
+
+    The paragraphs are counted first. Then only those with a hash below a cut are looked at, so that about twice as many as are wanted are
+    moved at all, however many paragraphs and tasks there are."""
     lines = docs.select(F.explode(F.split(text, "\n")).alias("p")).where("length(p) > 0")
-    hashed = lines.withColumn("h", F.xxhash64("p"))
-    like = hashed.where(F.col("p").rlike(LICENCE_WORDS)).distinct().orderBy("h", "p").limit(SAMPLE_LIKE)
-    other = hashed.where(~F.col("p").rlike(LICENCE_WORDS)).distinct().orderBy("h", "p").limit(SAMPLE_OTHER)
-    return [r["p"] for r in like.collect()], [r["p"] for r in other.collect()]
+    hashed = lines.select("p", F.xxhash64("p").alias("h"), F.col("p").rlike(LICENCE_WORDS).alias("like"))
+    counts = {r["like"]: r["n"] for r in hashed.groupBy("like").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    at = F.pmod("h", F.greatest(F.length("p") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    short = F.substring("p", at, F.lit(SAMPLE_CHARS)).alias("p")
+    share, out = 2.0, {}
+    while True:
+        wanted = {like: most for like, most in ((True, SAMPLE_LIKE), (False, SAMPLE_OTHER)) if len(out.get(like, [])) < min(most, 0.8 * counts.get(like, 0))}
+        cuts = {like: min(1.0, share * most / counts[like]) for like, most in wanted.items()}
+        if not cuts:
+            break
+        below = [(F.col("like") == like) & (F.col("h") <= int(cut * 2**64) - 2**63 - 1) for like, cut in cuts.items()]
+        near = hashed.where(functools.reduce(operator.or_, below)).groupBy("like", "h").agg(F.min(short).alias("p"))
+        found: dict[bool, list] = {}
+        for r in near.collect():  # about twice the sample
+            found.setdefault(r["like"], []).append((r["h"], r["p"]))
+        out |= {like: [p for _, p in sorted(rows)[: SAMPLE_LIKE if like else SAMPLE_OTHER]] for like, rows in found.items()}
+        if all(cut >= 1.0 for cut in cuts.values()):
+            break
+        share *= 4
+    return out.get(True, []), out.get(False, [])
 
 
 def examples(like: list[str], other: list[str]) -> list[tuple[list[bytes], int]]:

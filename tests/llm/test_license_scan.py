@@ -67,3 +67,19 @@ def test_runs_against_brute_force(prose):
             some = any(l.covered(t, ws[i : i + span]) >= l.CONFIRMED for i in range(len(ws)))
             got = any(l.covered(t, ws[a:b]) >= l.CONFIRMED for _, a, b in l.runs(ws))
             assert got >= some
+
+
+def test_the_sample_has_the_smallest_hashes(docs, monkeypatch):
+    """Few paragraphs reach the driver, and they are those a sort of all would give; long ones are cut."""
+    monkeypatch.setattr(l, "SAMPLE_LIKE", 5)
+    monkeypatch.setattr(l, "SAMPLE_OTHER", 7)
+    monkeypatch.setattr(l, "SAMPLE_CHARS", 30)
+    lines = [f"a licence line {k}" for k in range(60)] + [f"other line {k}" for k in range(300)] + ["licence " + "x" * 500]
+    table = docs(["\n".join(lines[k::9]) for k in range(9)] * 2 + [None, ""])
+    by = table.selectExpr("explode(split(text, '\n')) AS p").where("p <> ''").selectExpr("p", "xxhash64(p) AS h").distinct().orderBy("h").collect()
+    like, other = l.sample(table)
+    cut = lambda ps, n: [p if len(p) <= 30 else None for p in ps][:n]
+    assert [p if len(p) < 30 else None for p in like] == cut([r.p for r in by if "licence" in r.p], 5)
+    assert other == [r.p for r in by if "licence" not in r.p][:7]
+    assert l.sample(docs([])) == ([], [])
+    assert l.sample(docs(["only one line"])) == ([], ["only one line"])

@@ -34,8 +34,8 @@ KINDS = ["assign", "access", "hex"]
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 FOUND = "inferred"
 
-#: Strings of at least so many credential characters, with a digit among them, are candidates.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}", re.A)
+#: Strings of at least as many credential characters as the shortest labelled credential has are candidates.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}", re.A)
 DIGIT = re.compile(r"[0-9]")
 _ASSIGN = re.compile(ASSIGN, re.A | re.I)
 _ACCESS, _HEX = re.compile(ACCESS, re.A), re.compile(HEX, re.A)
@@ -47,6 +47,8 @@ SAMPLE = 400
 #: Confidence of the merge test, and how much likelier (in natural log per character) a secret must be than an ordinary string.
 ALPHA, MARGIN = 0.05, 0.5
 END = "$"
+#: Groups in which the strings with the smallest hashes are found first, and strings whose verdict a task remembers.
+SHARES, KNOWN = 64, 200_000
 
 
 def base_spans(text: str, found: list[tuple[int, int, str]] | None = None) -> list[tuple[str, int, int, str]]:
@@ -63,7 +65,7 @@ def base_spans(text: str, found: list[tuple[int, int, str]] | None = None) -> li
 
 
 def runs_of(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, string) of the long runs of credential characters."""
+    """(start, end, string) of the runs of credential characters."""
     return [(m.start(), m.end(), m.group()) for m in CANDIDATE.finditer(text)]
 
 
@@ -156,11 +158,11 @@ Model = dict[str, Automaton]
 
 
 def candidates(found: list[tuple[int, int, str]], spans: list[tuple[str, int, int, str]]) -> list[tuple[int, int, str]]:
-    """The long runs with a digit that touch no base span."""
+    """The runs that touch no base span."""
+    if not spans:
+        return found
     out, at, n = [], 0, len(spans)
     for start, end, run in found:
-        if not DIGIT.search(run):
-            continue
         while at < n and spans[at][2] <= start:
             at += 1
         if not any(a < end and start < b for _, a, b, _ in itertools.takewhile(lambda x: x[1] < end, itertools.islice(spans, at, None))):
@@ -168,20 +170,14 @@ def candidates(found: list[tuple[int, int, str]], spans: list[tuple[str, int, in
     return out
 
 
-WORDS = re.compile(r"[A-Za-z]{8,}", re.A)
-
-
 def examples(text: str) -> Iterator[tuple[str, str]]:
-    """(format, string) of everything in a text that the automata learn from; the first long word stands for the words."""
+    """(format, string) of everything in a text that the automata learn from; ordinary strings are those with a digit and words."""
     found = runs_of(text)
     spans = base_spans(text, found)
     for kind, _, _, s in spans:
         yield kind, s
-    for _, _, s in candidates(found, spans):
-        yield "other", s
-    word = WORDS.search(text)
-    if word:
-        yield "word", word.group()
+    for s in {s for _, _, s in candidates(found, spans)}:
+        yield "other" if DIGIT.search(s) else "word", s
 
 
 def labelled(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict[str, list[str]]:
@@ -204,6 +200,10 @@ def labelled(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict[
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string()) for c in range(3)], ["kind", "s", "h"])
 
     found = docs.select(text).mapInArrow(run, "kind string, s string, h string").distinct()
+    # First within shares of a format, so that what meets for one format does not grow with the number of tasks.
+    share = F.pmod(F.xxhash64("s"), F.lit(SHARES))
+    near = F.row_number().over(Window.partitionBy("kind", "share").orderBy("h", "s"))
+    found = found.withColumn("share", share).withColumn("n", near).where(F.col("n") <= sample)
     first = F.row_number().over(Window.partitionBy("kind").orderBy("h", "s"))
     out: dict[str, list[str]] = {}
     for row in found.withColumn("n", first).where(F.col("n") <= sample).orderBy("kind", "n").collect():
@@ -218,22 +218,35 @@ def learn(strings: dict[str, list[str]]) -> Model:
     return model
 
 
-def inferred_spans(found: list[tuple[int, int, str]], spans: list[tuple[str, int, int, str]], model: Model, margin: float = MARGIN) -> list[tuple[str, int, int]]:
-    out = []
+def likely(s: str, model: Model, margin: float = MARGIN) -> bool:
+    """Whether a string is likelier as a credential than as an ordinary string."""
+    symbols = classes(s)
+    best = max((a.score(symbols) for k, a in model.items() if k != "ordinary"), default=-math.inf)
+    return best > max(model["ordinary"].score(symbols), -50.0) + margin
+
+
+def inferred_spans(found: list[tuple[int, int, str]], spans: list[tuple[str, int, int, str]], model: Model, known: dict[str, bool] | None = None) -> list[tuple[str, int, int]]:
+    """Every candidate is scored; ``known`` remembers verdicts, since most are words that come again."""
+    out, known = [], {} if known is None else known
     for start, end, s in candidates(found, spans):
-        symbols = classes(s)
-        best = max((a.score(symbols) for k, a in model.items() if k != "ordinary"), default=-math.inf)
-        if best > max(model["ordinary"].score(symbols), -50.0) + margin:
+        secret = known.get(s)
+        if secret is None:
+            secret = likely(s, model)
+            if len(known) >= KNOWN:
+                known.clear()
+            if len(s) <= 64:
+                known[s] = secret
+        if secret:
             out.append((FOUND, start, end))
     return out
 
 
-def all_spans(text: str, model: Model) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+def all_spans(text: str, model: Model, known: dict[str, bool] | None = None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base, all) spans (kind, start, end) of a text by start, base kinds first."""
     found = runs_of(text)
     base = base_spans(text, found)
     plain = [s[:3] for s in base]
-    more = inferred_spans(found, base, model)
+    more = inferred_spans(found, base, model, known)
     order = [*KINDS, FOUND]
     return plain, sorted(plain + more, key=lambda s: (s[1], order.index(s[0])))
 
@@ -250,8 +263,9 @@ def scan(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     schema = schema.add("base_sha256", "string").add("spans", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
         for batch in batches:
-            found = [all_spans(t.as_py() or "", model) for t in batch.column(text)]
+            found = [all_spans(t.as_py() or "", model, known) for t in batch.column(text)]
             cols = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
             cols.append(pa.array([hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in found], pa.string()))
             cols.append(pa.array([listed(every) for _, every in found], pa.string()))
@@ -264,19 +278,20 @@ def redact(docs: DataFrame, model: Model, text: str = "text", mask: str = "[secr
     """``docs`` with every span of a text replaced by ``mask``; spans that overlap are replaced together."""
     names = docs.columns
 
-    def clean(value: str | None) -> str | None:
+    def clean(value: str | None, known: dict[str, bool]) -> str | None:
         if not value:
             return value
         out, at, open_until = [], 0, 0
-        for _, start, end in all_spans(value, model)[1]:
+        for _, start, end in all_spans(value, model, known)[1]:
             if start >= open_until:
                 out += [value[at:start], mask]
             at = open_until = max(open_until, end)
         return "".join([*out, value[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
         for batch in batches:
-            cols = [pa.array([clean(t.as_py()) for t in batch.column(c)], pa.string()) if c == text else batch.column(c) for c in names]
+            cols = [pa.array([clean(t.as_py(), known) for t in batch.column(c)], pa.string()) if c == text else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.mapInArrow(run, docs.schema)

@@ -62,3 +62,25 @@ def test_rows_and_redaction(docs):
     assert [clean[i] for i in range(len(AWKWARD))] == AWKWARD
     assert clean[len(AWKWARD)] == f'see [secret] and [secret]" or {cards[0]}.'
     assert s.scan(docs([]), s.learn(s.labelled(docs([]))), ["doc_id"]).count() == 0
+
+
+def test_every_candidate_is_scored(docs):
+    """Each run of eight or more credential characters that no base span touches is judged, digits or not, and ordinary words stay."""
+    r = random.Random(8)
+    hexes, keys, _ = credentials(r, 200)
+    words = ["".join(r.choices("etaoinshrdlu", k=r.randint(8, 20))) for _ in range(400)]
+    model = s.learn({"hex": [h[:12] for h in hexes], "access": keys, "other": ["2024-01-31", "10.0.0.1:8080"], "word": words})
+    texts = [" ".join(r.choice([r.choice(words), "ASIA" + r.choice(keys)[4:], "short", "a1b2c3d4e5f6", f"token={r.choice(hexes)}", "ABCDEFGHIJKL"]) for _ in range(30)) for _ in range(40)]
+    for t in texts:
+        base = [x[:3] for x in s.base_spans(t)]
+        want = [(s.FOUND, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", t) if len(m[0]) >= 8 and not any(a < m.end() and m.start() < b for _, a, b in base) and s.likely(m[0], model)]
+        assert [x for x in s.all_spans(t, model)[1] if x[0] == s.FOUND] == want
+    assert s.likely("a1b2c3d4e5f6", model) and not any(s.likely(w, model) for w in words)
+
+
+def test_samples_have_the_smallest_hashes(docs):
+    import hashlib
+
+    words = [f"{a}{b}wording" for a in "abcdefghij" for b in "klmnopqrst"]
+    got = s.labelled(docs([" ".join(words[i::7]) for i in range(7)] * 3), sample=20)
+    assert got == {"word": sorted(words, key=lambda w: hashlib.md5(w.encode()).hexdigest())[:20]}

@@ -7,8 +7,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codecorpus.functions.language import naming_style
-from codecorpus.operators.ranking import file_history, hot_files
+from codecorpus.functions.patterns import file_extension
+from codecorpus.operators.ranking import file_history, hot_files, top_per_group
 from codecorpus.operators.symbols import extract_functions
+from codecorpus.sources.workdir import new_folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again."""
+    folder = new_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+#: Most bytes of winning commits that are sent to every worker, and what one takes in a hash table about.
+SENT_BYTES, WINNER_BYTES = 64 << 20, 200
 
 
 def version_functions(
@@ -16,11 +29,15 @@ def version_functions(
 ) -> DataFrame:
     """Function headers of the last ``last`` commits of every path (``history``: these commits, where they are known already).
 
-    Versions are reduced to headers where they are read, so that no text is ever shuffled or broadcast; the ranking of commits is
-    on keys and meets the narrow headers only.
+    Commits are ranked on keys alone, and what wins is written. If the winners fit into ``SENT_BYTES`` they go to where the versions are read, so that
+    only winning texts are cut into headers; else all versions are reduced to headers where they are read and these meet the winners.
+    Either way no text is shuffled.
     """
     history = file_history(commits, changes, last) if history is None else history
-    return extract_functions(versions).join(history.select("path", "hash", "committed_at"), ["path", "hash"])
+    winners = written(history.select("path", "hash", "committed_at", "rank"))
+    if winners.count() * WINNER_BYTES <= SENT_BYTES:
+        return extract_functions(versions.join(F.broadcast(winners), ["path", "hash"]))
+    return extract_functions(versions).join(winners, ["path", "hash"])
 
 
 def function_evolution(functions: DataFrame) -> DataFrame:
@@ -39,12 +56,12 @@ def function_evolution(functions: DataFrame) -> DataFrame:
     )
 
 
-def naming_convention(functions: DataFrame, by: str = "language", examples: int = 5) -> DataFrame:
+def naming_convention(functions: DataFrame, by: str = "language", examples: int = 5, weight: str | None = None) -> DataFrame:
     """Dominant naming style per language: more than five names and one style more than twice the other.
 
-    Names are counted first; examples are the most used names of the style, cut before the shuffle.
+    Names are counted first (``weight``: a column of counts they have already); examples are the most used names of the style, cut before the shuffle.
     """
-    names = functions.groupBy(by, "name").agg(F.count("*").alias("n")).withColumn("style", naming_style(F.col("name")))
+    names = functions.groupBy(by, "name").agg((F.sum(weight) if weight else F.count("*")).alias("n")).withColumn("style", naming_style(F.col("name")))
     totals = names.groupBy(by).agg(
         F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("style") == "snake", F.col("n"))), F.lit(0)).alias("snake"),
         F.coalesce(F.sum(F.when(F.col("style") == "camel", F.col("n"))), F.lit(0)).alias("camel"),
@@ -64,23 +81,40 @@ def naming_convention(functions: DataFrame, by: str = "language", examples: int
     )
 
 
+def related_naming(paths: DataFrame, functions: DataFrame, related: int = 20, commits: int = 5) -> DataFrame:
+    """(path, naming, naming_confidence): the convention of the last ``commits`` versions of a file's related files, the first
+    ``related`` others of its extension.
+
+    All files of an extension behind the first ones have the same related files, and each of the first ones has those but itself: so there are
+    ``related + 1`` lists for an extension, made from one file more than a list has.
+    """
+    numbered = paths.select("path", file_extension(F.col("path")).alias("ext"))
+    first = top_per_group(numbered, ["ext"], [F.col("path")], related + 1).select("path", "ext", "rank")
+    recent = functions.where(F.col("rank") <= commits).select("path", "name")
+    names = recent.join(first, "path").groupBy("ext", "rank", "name").agg(F.count("*").alias("n"))
+    lists = F.filter(F.sequence(F.lit(0), F.lit(related)), lambda k: F.when(k == 0, F.col("rank") <= related).otherwise(k != F.col("rank")))
+    listed = names.select("n", "name", "ext", F.explode(lists).alias("k")).withColumn("related", F.concat_ws(":", "ext", "k"))
+    naming = naming_convention(listed, "related", weight="n").select("related", F.col("suggestion").alias("naming"), F.col("confidence").alias("naming_confidence"))
+    own = F.concat_ws(":", "ext", F.coalesce(F.when(F.col("rank") <= related, F.col("rank")), F.lit(0)))
+    return numbered.join(first.select("path", "rank"), "path", "left").select("path", own.alias("related")).join(naming, "related").drop("related")
+
+
 def file_context(commits: DataFrame, changes: DataFrame, versions: DataFrame) -> DataFrame:
     """Per path: last 10 commits, evolved functions, recent change count, and the suggestions that follow."""
-    history = file_history(commits, changes, 10)
+    history = written(file_history(commits, changes, 10))
     per_path = history.groupBy("path").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "hash", "author", "committed_at", "message"))),
             lambda h: F.struct(h["hash"].alias("hash"), h["author"].alias("author"), h["committed_at"].alias("committed_at"), h["message"].alias("message")),
         ).alias("history")
     )
-    functions = version_functions(commits, changes, versions, history=history)
+    functions = written(version_functions(commits, changes, versions, history=history).select("path", "language", "hash", "committed_at", "rank", "start_line", "name", "signature"))
     evolved = function_evolution(functions).groupBy("path").agg(F.array_sort(F.collect_list("name")).alias("evolved_functions"))
-    recent = functions.filter(F.col("committed_at").isNotNull())
-    naming = naming_convention(recent).select("language", F.col("suggestion").alias("naming"), F.col("confidence").alias("naming_confidence"))
+    naming = related_naming(history.select("path").distinct(), functions)
     languages = versions.select("path", "language").distinct()
     hot = hot_files(commits, changes).select("path", "recent_changes")
     joined = (
-        per_path.join(languages, "path", "left").join(evolved, "path", "left").join(naming, "language", "left").join(hot, "path", "left")
+        per_path.join(languages, "path", "left").join(evolved, "path", "left").join(naming, "path", "left").join(hot, "path", "left")
     )
     none = F.expr("cast(array() as array<string>)")
     notes = F.concat(

@@ -237,6 +237,10 @@ _V_JS = """function load@cap@(path@arg@) {
 }
 const saveItem = (path) => path;
 """
+_V_TEXT = """Notes on load (@v@@arg@)
+
+Call save (item) after load (path).
+"""
 _V_JAVA = """class Part {
     public static int loadItem(int a@arg@) {
         return a;
@@ -255,9 +259,9 @@ def file_versions() -> str:
     return f"""
 SELECT md5(CAST(l_orderkey AS STRING)) AS hash, l_linenumber AS change_no,
   concat('src/p', l_partkey, CASE l_partkey % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.java' ELSE '.md' END) AS path,
-  CASE l_partkey % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' ELSE 'java' END AS language,
-  CASE l_partkey % 4 WHEN 0 THEN {_fill(_V_PY, more)} WHEN 1 THEN {_fill(_V_JS, more)} ELSE {_fill(_V_JAVA, typed)} END AS content
-FROM lineitem WHERE l_partkey % 4 <> 3
+  CASE l_partkey % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' WHEN 2 THEN 'java' ELSE 'text' END AS language,
+  CASE l_partkey % 4 WHEN 0 THEN {_fill(_V_PY, more)} WHEN 1 THEN {_fill(_V_JS, more)} WHEN 2 THEN {_fill(_V_JAVA, typed)} ELSE {_fill(_V_TEXT, more)} END AS content
+FROM lineitem
 """
 
 

@@ -21,7 +21,7 @@ def _s4(t):
 
 
 _RECENT = """
-r AS (SELECT path, hash, committed_at FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY committed_at DESC, hash) AS rn
+r AS (SELECT path, hash, committed_at, rn FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY committed_at DESC, hash) AS rn
   FROM (SELECT DISTINCT path, hash FROM changes) JOIN commits USING (hash)) WHERE rn <= 10),
 v AS (SELECT path, hash, language, content, committed_at FROM file_versions JOIN r USING (path, hash)),
 l AS (SELECT path, hash, language, committed_at, unnest(string_split(content, chr(10))) AS s, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM v)
@@ -61,7 +61,24 @@ def _h2(t):
     return h.naming_convention(functions).select("language", "style", "total", "confidence", F.array_join("examples", ",").alias("examples"))
 
 
-@query("h3_file_context")
+_STYLE = "CASE WHEN contains(name, '_') AND name = lower(name) THEN 'snake' WHEN NOT contains(name, '_') AND substr(name, 2) <> lower(substr(name, 2)) THEN 'camel' ELSE 'other' END"
+
+
+@query("h3_file_context", "commits", "changes", "file_versions", oracle=rf"""
+WITH {_RECENT}, {_FUNCTIONS},
+ev AS (SELECT path, name FROM f GROUP BY 1, 2 HAVING count(*) > 1 AND count(DISTINCT signature) > 1),
+el AS (SELECT path, string_agg(name, ',' ORDER BY name) AS evolved, string_agg(concat('Consider reviewing function evolution: Function ', chr(39), name, chr(39), ' has evolved across commits'), '; ' ORDER BY name) AS notes FROM ev GROUP BY 1),
+hot AS (SELECT path, count(*) AS recent_changes FROM r WHERE rn <= 5 GROUP BY 1 HAVING count(*) > 3),
+p AS (SELECT path, lower(regexp_extract(path, '\.[^./]*$')) AS ext, count(*) AS n_history FROM r GROUP BY 1, 2),
+t AS (SELECT *, row_number() OVER (PARTITION BY ext ORDER BY path) AS rk FROM p),
+five AS (SELECT f.path, f.name FROM f JOIN r ON r.path = f.path AND r.hash = f.hash WHERE rn <= 5),
+m AS (SELECT t.ext, k, name, {_STYLE} AS style FROM t JOIN five ON five.path = t.path, range(0, 21) g(k) WHERE rk <= 21 AND CASE WHEN k = 0 THEN rk <= 20 ELSE rk <> k END),
+c AS (SELECT ext, k, count(*) AS total, count(*) FILTER (style = 'snake') AS snake, count(*) FILTER (style = 'camel') AS camel FROM m GROUP BY 1, 2),
+nm AS (SELECT ext, k, CASE WHEN snake > camel * 2 THEN 'snake_case' WHEN camel > snake * 2 THEN 'camelCase' END AS label, greatest(snake, camel) * 1e0 / total AS share FROM c WHERE total > 5),
+lg AS (SELECT DISTINCT path, language FROM file_versions)
+SELECT t.path, lg.language, n_history, coalesce(evolved, '') AS evolved, recent_changes, concat_ws('; ', notes, CASE WHEN label IS NOT NULL AND share > 7e-1 THEN 'Follow naming convention: Use ' || label || ' for consistency' END,
+  CASE WHEN recent_changes IS NOT NULL THEN 'File has been frequently modified - consider refactoring for stability' END) AS suggestions
+FROM t LEFT JOIN lg ON lg.path = t.path LEFT JOIN el ON el.path = t.path LEFT JOIN hot ON hot.path = t.path LEFT JOIN nm ON nm.ext = t.ext AND nm.k = CASE WHEN rk <= 20 THEN rk ELSE 0 END""")
 def _h3(t):
     out = h.file_context(t.commits, t.changes, t.file_versions)
-    return out.select("path", "language", F.size("history").alias("n_history"), F.array_join("evolved_functions", ",").alias("evolved"), "recent_changes", F.array_join("suggestions", "; ").alias("suggestions"))
+    return out.select("path", "language", F.size("history").cast("bigint").alias("n_history"), F.array_join("evolved_functions", ",").alias("evolved"), "recent_changes", F.array_join("suggestions", "; ").alias("suggestions"))

@@ -158,11 +158,13 @@ def collect_renames(suggestions: DataFrame, threshold: float = 0.7, key: str = "
     dropped before the per-file list is built: the list is bounded by the distinct names, not by the number of suggestions.
     """
     accepted = suggestions.filter((F.col("kind") == "rename") & (F.col("confidence") >= threshold) & (F.col("old_name") != F.col("new_name")))
-    # NULL pos marks the use of a name as a target.
+    # No step marks a word that some new name brings in; a name of several words may come up anywhere, so it counts as brought in too.
     step = F.struct(F.col("position").alias("pos"), F.col("old_name").alias("old"), F.col("new_name").alias("new"))
+    none = F.lit(None).cast("struct<pos:int,old:string,new:string>")
+    brought = F.concat(F.regexp_extract_all("new_name", F.lit(f"{WORD}+"), F.lit(0)), F.when(~F.col("old_name").rlike(f"^{WORD}+$"), F.array("old_name")).otherwise(F.array()))
     uses = accepted.select(
         key,
-        F.inline(F.array(F.struct(F.col("old_name").alias("name"), step.alias("step")), F.struct(F.col("new_name").alias("name"), F.lit(None).cast("struct<pos:int,old:string,new:string>").alias("step")))),
+        F.inline(F.concat(F.array(F.struct(F.col("old_name").alias("name"), step.alias("step"))), F.transform(brought, lambda w: F.struct(w.alias("name"), none.alias("step"))))),
     )
     created = uses.groupBy(key, "name").agg(F.min("step").alias("first"), F.bool_or(F.col("step").isNull()).alias("is_target"))
     plain = created.filter(~F.col("is_target")).select(key, F.col("first").alias("step"))
@@ -175,14 +177,47 @@ def collect_renames(suggestions: DataFrame, threshold: float = 0.7, key: str = "
     return plain.unionByName(again).groupBy(key).agg(F.array_sort(F.collect_list("step")).alias("renames"))
 
 
-def rename_text(text: Column, renames: Column) -> Column:
-    """Apply whole-word renames in order. Names are identifiers, so they need no escaping beyond a literal quote."""
+def _in_turn(text: Column, renames: Column) -> Column:
+    """One replacement of the whole text after another, for names that are not single words."""
     return F.aggregate(
         renames, text,
         lambda acc, r: F.regexp_replace(acc, F.concat(F.lit(f"(?<!{WORD})\\Q"), r["old"], F.lit(f"\\E(?!{WORD})")), F.regexp_replace(r["new"], r"([\\$])", r"\\$1")),
     )
 
 
+def _runs(text: Column) -> Column:
+    """A text as runs of word characters and runs of others."""
+    return F.regexp_extract_all(text, F.lit(f"{WORD}+|(?:(?!{WORD})(?s:.))+"), F.lit(0))
+
+
+def _looked_up(runs: Column, names: Column) -> Column:
+    return F.array_join(F.transform(runs, lambda w: F.coalesce(F.try_element_at(names, w), w)), "")
+
+
+def final_names(renames: Column) -> Column:
+    """What each renamed word is in the end, as a map. From the last rename to the first: a new name is itself renamed by those after it, so a to b and b to c
+    make c of a, and of several renames of a name the first counts."""
+    none = F.expr("cast(map() as map<string,string>)")
+    return F.aggregate(
+        F.reverse(renames), none,
+        lambda names, r: F.map_concat(F.map_filter(names, lambda k, _: k != r["old"]), F.create_map(r["old"], _looked_up(_runs(r["new"]), names))),
+    )
+
+
+def rename_text(text: Column, renames: Column) -> Column:
+    """Apply whole-word renames in order. The text is cut into words once, and of the renames only those of words in it are looked up, so the time
+    follows the text and not the number of renames. Names are literal; files with a name that is more than one word are renamed in turn."""
+    words = F.forall(renames, lambda r: r["old"].rlike(f"^{WORD}+$"))
+
+    def once(x: Column) -> Column:
+        here = F.array_intersect(x["runs"], F.map_keys(x["names"]))
+        used = F.transform(F.array(here), lambda h: F.map_filter(x["names"], lambda k, _: F.array_contains(h, k)))
+        return F.when(F.size(here) == 0, x["text"]).otherwise(F.get(F.transform(used, lambda names: _looked_up(x["runs"], names)), F.lit(0)))
+
+    cut = F.array(F.struct(text.alias("text"), _runs(text).alias("runs"), final_names(renames).alias("names")))
+    return F.when(words, F.get(F.transform(cut, once), F.lit(0))).otherwise(_in_turn(text, renames))
+
+
 def apply_renames(files: DataFrame, suggestions: DataFrame, content: str = "content", threshold: float = 0.7, key: str = "file_id") -> DataFrame:
     """Add ``renamed_content`` and ``renames``; files without accepted suggestions keep their text."""
     joined = files.join(collect_renames(suggestions, threshold, key), key, "left")

@@ -157,7 +157,8 @@ def structure_struct(facts: Column) -> Column:
         ).alias("classes"),
         F.transform(functions, lambda f: F.struct(f["name"].alias("name"), f["line"].alias("line"), f["n_args"].alias("args"))).alias("functions"),
         F.flatten(F.transform(_names(facts, "Import", "ImportFrom"), lambda n: n["args"])).alias("imports"),
-        F.exists(facts, lambda n: ((n["kind"] == "FunctionDef") & (n["name"] == "main")) | ((n["kind"] == "If") & (n["name"] == "__name__"))).alias("has_main"),
+        # Most nodes have no name; a comparison with none must not make the answer unknown.
+        F.exists(facts, lambda n: ((n["kind"] == "FunctionDef") & n["name"].eqNullSafe("main")) | ((n["kind"] == "If") & n["name"].eqNullSafe("__name__"))).alias("has_main"),
         F.transform(_names(facts, "Text"), lambda n: F.substring(n["doc"], 1, 100)).alias("docstrings"),
         complexity_of(facts).alias("complexity_score"),
         F.get(F.transform(_names(facts, "error"), lambda n: n["message"]), F.lit(0)).alias("error"),

@@ -75,3 +75,13 @@ SCORE_COLUMNS = {
     "complexity": "complexity_score", "readability": "readability_score", "maintainability": "maintainability_score",
     "overall": "overall_quality_score",
 }
+
+
+def python_skeletons(names: list[str]) -> str:
+    """The derived Python files that parse, known by their making: depth ``d`` of the nested conditionals, which begin on line 8, and the filled-in name ``v``."""
+    cases = " ".join(f"WHEN {i} THEN {q(n)}" for i, n in enumerate(names))
+    return f"(SELECT doc_id AS file_id, CAST(3 + doc_id % 6 AS INT) AS d, CASE doc_id % 16 {cases} END AS v FROM documents WHERE doc_id % 4 = 0 AND doc_id % 28 <> 0)"
+
+
+#: Those that do not parse: a broken header follows the last function.
+BROKEN_SKELETONS = "(SELECT doc_id AS file_id, CAST(3 + doc_id % 6 AS INT) AS d FROM documents WHERE doc_id % 28 = 0)"

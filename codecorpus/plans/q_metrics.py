@@ -8,6 +8,7 @@ from codecorpus.functions import dims
 from codecorpus.operators import metrics as m
 from codecorpus.operators import pyfacts
 from codecorpus.plans.duck import (
+    BROKEN_SKELETONS, python_skeletons,
     ascii_words, clamp, count_any, count_of, count_re, line_total, lines, lines_where, nonblank, q,
 )
 from codecorpus.plans.registry import query
@@ -99,7 +100,15 @@ def _m6(t):
     return m.score_generic(_texts(t)).drop("content")
 
 
-@query("m7_score_python")
+_PYTHON = python_skeletons(dims.PAIR_NAMES)
+_HASH_SHARE = f"CAST({lines_where('content', chr(39).join(['regexp_matches(s, ', '^[ ]*#', ')']))} AS DOUBLE) / {nonblank('content')}"
+
+
+@query("m7_score_python", "code_files", oracle=f"""
+SELECT file_id, CAST(greatest(65, 100 - 2 * (d + 6)) AS INT) AS complexity,
+  CAST(greatest(0, least(100, 97 - 2 * {lines_where('content', 'length(s) > 100')} + CASE WHEN {_HASH_SHARE} < 1e-1 THEN -15 WHEN {_HASH_SHARE} > 3e-1 THEN 10 ELSE 0 END)) AS INT) AS readability, 85 AS maintainability
+FROM {_PYTHON} p JOIN code_files USING (file_id)
+UNION ALL SELECT file_id, 65, 20, 25 FROM {BROKEN_SKELETONS} b""")
 def _m7(t):
     return m.score_python(t.code_files.filter("language = 'python'").select("file_id", "content")).drop("content")
 
@@ -159,7 +168,10 @@ def _m12(t):
     return m.counts_cpp(_texts(t)).drop("content")
 
 
-@query("m13_counts_python")
+@query("m13_counts_python", "code_files", oracle=f"""
+SELECT file_id, CAST(d + 6 AS INT) AS cyclomatic_complexity, CAST({line_total('content')} AS INT) AS lines_of_code, 3 AS function_count, 1 AS class_count, CAST(d + 2 AS INT) AS max_nesting_depth
+FROM {_PYTHON} p JOIN code_files USING (file_id)
+UNION ALL SELECT file_id, NULL, NULL, NULL, NULL, NULL FROM {BROKEN_SKELETONS} b""")
 def _m13(t):
     return m.counts_python(t.code_files.filter("language = 'python'").select("file_id", "content")).drop("content")
 
@@ -276,7 +288,9 @@ def _p1(t):
     return pyfacts.python_facts(t.code_files).drop("args")
 
 
-@query("p2_structure_info")
+@query("p2_structure_info", oracle=f"""
+SELECT file_id, 1 AS n_classes, 3 AS n_functions, 'os,typing.List' AS imports, FALSE AS has_main, 1 AS n_docstrings, CAST(d + 9 AS INT) AS complexity_score, CAST(NULL AS VARCHAR) AS error FROM {_PYTHON} p
+UNION ALL SELECT file_id, 0, 0, '', FALSE, 0, 0, 'Syntax error at line ' || (32 + d) || ': invalid syntax' FROM {BROKEN_SKELETONS} b""")
 def _p2(t):
     return pyfacts.structure_info(t.code_files).select(
         "file_id", F.size("classes").alias("n_classes"), F.size("functions").alias("n_functions"), F.array_join("imports", ",").alias("imports"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from codecorpus.functions import dims
 from codecorpus.operators import nesting as n
 from codecorpus.operators import symbols as y
-from codecorpus.plans.duck import ascii_words, count_of, q
+from codecorpus.plans.duck import ascii_words, count_of, python_skeletons, q
 from codecorpus.plans.registry import query
 
 # Lines of the derived sources, numbered from 1; w: non-ASCII letters folded so that \b and \w see Unicode words.
@@ -44,7 +44,12 @@ def _n2(t):
     return n.nested_ifs_brace(t.code_files.filter("language in ('java', 'javascript')"))
 
 
-@query("n3_nested_ifs_python")
+_PYTHON = python_skeletons(dims.PAIR_NAMES)
+
+
+@query("n3_nested_ifs_python", oracle=f"""
+SELECT file_id, CAST(8 + i AS INT) AS line_start, CAST(8 + d AS INT) AS line_end, CAST(d - i AS INT) AS depth, CASE WHEN d - i >= 4 THEN 'high' ELSE 'medium' END AS severity
+FROM {_PYTHON} p, range(0, 8) r(i) WHERE d - i >= 3""")
 def _n3(t):
     return n.nested_ifs_python(t.code_files.filter("language = 'python'"))
 
@@ -149,7 +154,19 @@ def _y3(t):
     return y.symbols_cpp(t.code_files.filter("language = 'cpp'"))
 
 
-@query("y4_symbols_python")
+def _py_symbol(name: str, kind: str, start: str, end: str, columns: tuple[int, int], parent: str, parameters: str, doc: str) -> str:
+    return (f"SELECT file_id, {name} AS name, '{kind}' AS type, CAST({start} AS INT) AS line_start, CAST({end} AS INT) AS line_end, {columns[0]} AS col_start, {columns[1]} AS col_end, "
+            f"{parent} AS parent, {parameters} AS parameters, {doc} AS docstring, CAST(NULL AS VARCHAR) AS return_type FROM {_PYTHON} p")
+
+
+_HANDLER = "'Handler' || file_id"
+
+
+@query("y4_symbols_python", oracle=" UNION ALL ".join([
+    _py_symbol(_HANDLER, "class", "5", "13 + d", (0, 19), "NULL", "NULL", "NULL"),
+    _py_symbol("'process_' || v", "function", "6", "9 + d", (4, 24), _HANDLER, "'self,' || v || ',limit'", "NULL"),
+    _py_symbol("'Describe'", "function", "11 + d", "13 + d", (4, 19), _HANDLER, "'self'", "'Describe it.'"),
+    _py_symbol("'load_' || v", "function", "16 + d", "30 + d", (0, 16), "NULL", "'path,mode'", "NULL")]))
 def _y4(t):
     return y.symbols_python(t.code_files.filter("language = 'python'")).withColumn("parameters", F.array_join("parameters", ","))
 

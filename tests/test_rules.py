@@ -168,3 +168,41 @@ def test_analysis_messages(texts):
         "Long function detected: long (52 lines)", "Function long could benefit from type hints",
     ]
     assert got[1].improvements == []
+
+
+def test_renames_are_looked_up_once(spark):
+    """Chains, swaps, names with special characters and words that only look alike: as one replacement after another."""
+    import random
+    import re
+
+    from codecorpus.operators import compare as c
+
+    r = random.Random(4)
+    names = ["a", "b", "c", "ab", "x1", "é", "total", "c$", "d.e", "a b", ""]
+    rows, texts = [], []
+    for k in range(60):
+        texts.append("".join(r.choice(["a", "b", "c", "ab", "x1", "é", "total", " ", ".", "$", "(", "\n", "+", "🙂"]) for _ in range(60)))
+        for p in range(r.randint(1, 8)):
+            rows.append((k, p, "rename", r.choice(names[:7] if k % 5 else names[:10]), r.choice(names), 0.9))
+    files = spark.createDataFrame(list(enumerate(texts)), "file_id int, content string")
+    got = {x.file_id: x.renamed_content for x in c.apply_renames(files, spark.createDataFrame(rows, "file_id int, position int, kind string, old_name string, new_name string, confidence double")).collect()}
+    for k, text in enumerate(texts):
+        for _, _, _, old, new, _ in sorted(x for x in rows if x[0] == k and x[3] != x[4]):
+            text = re.sub(rf"(?<!\w){re.escape(old)}(?!\w)", lambda m: new, text)
+        assert got[k] == text, (k, [x[3:5] for x in rows if x[0] == k])
+
+
+def test_many_renames_cost_little(spark):
+    import time
+
+    from codecorpus.operators import compare as c
+
+    def seconds(n):
+        files = spark.createDataFrame([(1, "alpha beta gamma " * 4000)], "file_id int, content string")
+        s = spark.createDataFrame([(1, i, "rename", f"name{i}", f"other{i}", 0.9) for i in range(n)] + [(1, n, "rename", "beta", "delta", 0.9)], "file_id int, position int, kind string, old_name string, new_name string, confidence double")
+        start = time.perf_counter()
+        assert c.apply_renames(files, s).first().renamed_content == "alpha delta gamma " * 4000
+        return time.perf_counter() - start
+
+    seconds(5)
+    assert seconds(400) < 4 * max(seconds(20), 1.0)

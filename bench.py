@@ -1,8 +1,8 @@
 """Time the headline queries (``BENCH_ALL=1``: every registered query) with a no-op sink and print one JSON line.
 
 ``queries`` holds warm times (second run); ``cold`` the first run of each query including planning; ``shuffle_mb`` what the warm
-run wrote to shuffles. The tables are first laid out as folders of several files, as a cluster would hold them: the given ones are
-one file with one row group each, which only one task can read.
+run wrote to shuffles, read from Spark's event log. The tables are first laid out as folders of several files, as a cluster would hold
+them: the given ones are one file with one row group each, which only one task can read.
 """
 
 from __future__ import annotations
@@ -23,22 +23,28 @@ HEADLINE = [
     "m19_magic_number_totals", "n1_nested_ifs_indent", "n2_nested_ifs_brace", "n3_nested_ifs_python", "p1_python_facts", "q2_health",
     "r_rule_totals", "t3_clean_response", "w6_file_history", "w7_hot_files", "y2_symbols_java", "y5_extract_functions",
 ]
-SMALL_ROWS = 1000
 
 
 def laid_out(spark, sf_dir: str, files: int) -> str:
-    """A copy of the tables, each larger one in ``files`` files."""
+    """A copy of the tables, each in ``files`` files."""
     out = tempfile.mkdtemp(prefix="codecorpus-bench-")
     for path in sorted(glob.glob(f"{sf_dir}/*.parquet")):
-        df = spark.read.parquet(path)
-        (df.repartition(files) if df.count() > SMALL_ROWS else df).write.parquet(f"{out}/{os.path.basename(path)}")
+        spark.read.parquet(path).repartition(files).write.parquet(f"{out}/{os.path.basename(path)}")
     return out
 
 
-def shuffled(spark) -> int:
-    """Shuffle bytes written by all finished stages so far."""
-    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None)
-    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+def shuffle_mb(folder: str, spans: dict[str, tuple[float, float]]) -> dict[str, float]:
+    """MB that tasks launched within each span (seconds) wrote to shuffles, by the event log in ``folder``."""
+    out = dict.fromkeys(spans, 0.0)
+    for path in glob.glob(f"{folder}/*"):
+        with open(path) as log:
+            for event in (json.loads(line) for line in log if '"SparkListenerTaskEnd"' in line):
+                launched = event["Task Info"]["Launch Time"] / 1000
+                written = (event.get("Task Metrics") or {}).get("Shuffle Write Metrics", {}).get("Shuffle Bytes Written", 0)
+                for name, (start, end) in spans.items():
+                    if start <= launched <= end:
+                        out[name] += written / 1e6
+    return {name: round(mb, 2) for name, mb in out.items()}
 
 
 def timed(spark, name: str, sf_dir: str) -> float:
@@ -50,22 +56,21 @@ def timed(spark, name: str, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session("codecorpus-bench", cpus)
+    events = tempfile.mkdtemp(prefix="codecorpus-events-")
+    log = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": f"file://{events}", "spark.eventLog.rolling.enabled": "false", "spark.eventLog.compress": "false"}
+    spark = local_session("codecorpus-bench", cpus, **log)
     names = list(QUERIES) if os.environ.get("BENCH_ALL") else HEADLINE
     tables = laid_out(spark, sf_dir, int(cpus))
-    cold, warm, moved = {}, {}, {}
+    cold, warm, spans = {}, {}, {}
     for name in names:
         cold[name] = timed(spark, name, tables)
-        try:
-            before = shuffled(spark)
-        except Exception:  # the status store is no public interface
-            before = None
+        start = time.time()
         warm[name] = timed(spark, name, tables)
-        if before is not None:
-            moved[name] = round((shuffled(spark) - before) / 1e6, 2)
+        spans[name] = (start, time.time())
+    spark.stop()
+    moved = shuffle_mb(events, spans)
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "headline_total", "value": round(sum(warm.values()), 3), "unit": "sec", "queries": warm, "cold": cold, "shuffle_mb": moved, "sf": sf}))
-    spark.stop()
 
 
 if __name__ == "__main__":

@@ -379,8 +379,8 @@ def missing_semicolon(df: DataFrame, content: str = "content", key: str = "file_
     return df.select(key, F.inline(F.slice(F.filter(numbered, bad), 1, 1)))
 
 
-def long_functions(df: DataFrame, content: str = "content", key: str = "file_id", limit: int = 20) -> DataFrame:
-    """Python functions followed by more than ``limit`` lines before a dedent, found by indentation.
+def _long_functions(df: DataFrame, content: str, limit: int) -> DataFrame:
+    """``df`` with ``__l``, its numbered lines, and ``__long``: (name, line_no, indent, following_lines) of the long Python functions.
 
     The scan of a header ends at the next header, so the slices are disjoint and the work is linear in the file.
     """
@@ -388,39 +388,100 @@ def long_functions(df: DataFrame, content: str = "content", key: str = "file_id"
         split_lines(F.col(content)),
         lambda s, i: F.struct(
             i.alias("i"), indent_of(s).alias("indent"), is_blank(s).alias("blank"), strip(s).startswith("def ").alias("head"),
-            strip(s).alias("text"),
+            strip(s).alias("text"), s.alias("line"),
         ),
     )
-    df = df.select(key, numbered.alias("__l")).withColumn("__h", F.filter("__l", lambda x: x["head"]))
+    df = df.withColumn("__l", numbered).withColumn("__h", F.filter("__l", lambda x: x["head"]))
 
     def ended(h: Column, n: Column) -> Column:
         stop = F.coalesce(F.get(F.col("__h"), n + 1)["i"], F.size("__l"))
         body = F.slice(F.col("__l"), h["i"] + 2, stop - h["i"] - 1)
         end = F.get(F.filter(body, lambda x: ~x["blank"] & (x["indent"] <= h["indent"])), F.lit(0))["i"]
         return F.struct(
-            F.regexp_extract(h["text"], rx(r"def\s+(\w+)"), 1).alias("name"), (h["i"] + 1).alias("line_no"),
+            F.regexp_extract(h["text"], rx(r"def\s+(\w+)"), 1).alias("name"), (h["i"] + 1).alias("line_no"), h["indent"].alias("indent"),
             (end - h["i"]).alias("following_lines"),
         )
 
-    return df.select(key, F.inline(F.transform("__h", ended))).filter(F.col("following_lines") > limit)
+    return df.withColumn("__long", F.filter(F.transform("__h", ended), lambda f: f["following_lines"] > limit)).drop("__h")
+
+
+def long_functions(df: DataFrame, content: str = "content", key: str = "file_id", limit: int = 20) -> DataFrame:
+    """Python functions followed by more than ``limit`` lines before a dedent, found by indentation."""
+    found = _long_functions(df.select(key, content), content, limit).select(key, F.inline("__long"))
+    return found.select(key, "name", "line_no", "following_lines")
+
+
+def note_long_functions(df: DataFrame, content: str = "content", limit: int = 20, out: str = "new_content") -> DataFrame:
+    """Add the text with a note above the header of every long Python function, indented as its body."""
+    found = _long_functions(df, content, limit).withColumn("__at", F.map_from_entries(F.transform("__long", lambda f: F.struct(f["line_no"], f["indent"]))))
+
+    def noted(x: Column) -> Column:
+        indent = F.try_element_at(F.col("__at"), x["i"] + 1)
+        note = F.concat(F.repeat(F.lit(" "), indent + 4), F.lit(LONG_NOTE))
+        return F.when(indent.isNull(), F.array(x["line"])).otherwise(F.array(note, x["line"]))
+
+    return found.withColumn(out, F.array_join(F.flatten(F.transform("__l", noted)), "\n")).drop("__l", "__long", "__at")
 
 
+LONG_NOTE = "# TODO: Consider breaking this function into smaller functions"
 MAGIC_NUMBER = r"\b(?<![a-zA-Z_])(?:[2-9]|[1-9]\d+)(?:\.\d+)?(?![a-zA-Z_])\b"
 
 
+#: The same, without the values that are no magic numbers: the whole part, and the part behind the point.
+_LARGE = r"\b(?<![a-zA-Z_])(?!(?:10|100)(?![\d.]))(?!(?:10|100)\.(?!\d))([6-9]|[1-9]\d+)"
+_ENDS = r"(?![a-zA-Z_])\b"
+
+
+def _may_hold_numbers(line: Column) -> Column:
+    """Code lines with an operator and a digit."""
+    return (
+        ~strip(line).startswith("#") & ~line.contains('"""') & ~line.contains("'''") & ~line.contains("import ")
+        & line.rlike(r"[=+\-*/%<>]") & line.rlike("[0-9]")
+    )
+
+
+def _is_magic(literal: Column) -> Column:
+    return ~literal.isin("2", "3", "4", "5", "10", "100") & (F.floor(literal.cast("double")) > 5)
+
+
+def _constant(literal: Column) -> Column:
+    return F.concat(F.lit("CONSTANT_"), F.replace(literal, F.lit("."), F.lit("_")))
+
+
 def magic_numbers(df: DataFrame, content: str = "content", key: str = "file_id") -> DataFrame:
     """Numeric literals above 5 on code lines with an operator: (file, line_no, literal, constant)."""
     rows = df.select(key, F.posexplode(split_lines(F.col(content))).alias("pos", "line"))
     line = F.col("line")
-    code = (
-        ~strip(line).startswith("#") & ~line.contains('"""') & ~line.contains("'''") & ~line.contains("import ")
-        & line.rlike(r"[=+\-*/%<>]") & line.rlike("[0-9]")
-    )
     literal = F.explode(F.regexp_extract_all(line, F.lit(rx(MAGIC_NUMBER)), F.lit(0))).alias("literal")
-    found = rows.filter(code).select(key, (F.col("pos") + 1).alias("line_no"), literal)
-    return found.filter(
-        ~F.col("literal").isin("2", "3", "4", "5", "10", "100") & (F.floor(F.col("literal").cast("double")) > 5)
-    ).withColumn("constant", F.concat(F.lit("CONSTANT_"), F.replace(F.col("literal"), F.lit("."), F.lit("_"))))
+    found = rows.filter(_may_hold_numbers(line)).select(key, (F.col("pos") + 1).alias("line_no"), literal)
+    return found.filter(_is_magic(F.col("literal"))).withColumn("constant", _constant(F.col("literal")))
+
+
+def extract_constants(df: DataFrame, content: str = "content", out: str = "new_content") -> DataFrame:
+    """Add the Python text with magic numbers replaced by named constants, defined in order of first use before the first line that
+    is neither an import nor blank, and ``constants``, how many there are. All within the row.
+
+    A literal is replaced where it stands alone; a whole number that is also the whole part of a longer literal on the line leaves that alone.
+    """
+    lines = split_lines(F.col(content))
+    taken = F.transform("__l", lambda s: F.when(_may_hold_numbers(s), F.regexp_extract_all(s, F.lit(rx(MAGIC_NUMBER)), F.lit(0))))
+    names = F.array_distinct(F.filter(F.flatten(F.filter(taken, lambda x: x.isNotNull())), _is_magic))
+
+    def renamed(s: Column) -> Column:
+        points = F.regexp_replace(s, _LARGE + r"\.(\d+)" + _ENDS, "CONSTANT_$1_$2")
+        return F.when(_may_hold_numbers(s), F.regexp_replace(points, _LARGE + _ENDS, "CONSTANT_$1")).otherwise(s)
+
+    df = df.withColumn("__l", lines).withColumn("__c", names)
+    head = F.filter(
+        F.transform("__l", lambda s, i: F.when(~(s.startswith("import ") | s.startswith("from ") | is_blank(s)), i)), lambda i: i.isNotNull()
+    )
+    first = F.coalesce(F.get(head, F.lit(0)), F.size("__l"))
+    defined = F.concat(F.array(F.lit("")), F.transform("__c", lambda c: F.concat(_constant(c), F.lit(" = "), c)), F.array(F.lit("")))
+    df = df.withColumn("__r", F.transform("__l", renamed)).withColumn("__at", first)
+    begin, rest = F.slice("__r", F.lit(1), F.col("__at")), F.slice(F.col("__r"), F.col("__at") + 1, F.size("__r"))
+    whole = F.concat(begin, F.when(F.col("__at") < F.size("__l"), defined).otherwise(F.expr("cast(array() as array<string>)")), rest)
+    text = F.when(F.size("__c") > 0, F.array_join(whole, "\n")).otherwise(F.col(content))
+    return df.withColumn(out, text).withColumn("constants", F.size("__c")).drop("__l", "__c", "__r", "__at")
 
 
 def magic_number_totals(found: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codecorpus.functions.dims import PAIR_NAMES
+from codecorpus.operators import metrics
 from codecorpus.operators import rules as r
 from codecorpus.plans.duck import q
 from codecorpus.plans.registry import query
@@ -218,3 +219,15 @@ def _j11(t):
         F.lit(0).alias("readability_score"), F.lit(0).alias("maintainability_score"), F.lit(0).alias("overall_quality_score"),
     )
     return r.reprocess(stored).select("file_id", "status", "error_message", "updated", "complexity_score", "overall_quality_score", F.md5("refactored_content").alias("content_hash"))
+
+
+@query("r21_extract_constants")
+def _r21(t):
+    out = metrics.extract_constants(t.code_files.filter("language = 'python'"))
+    return out.select("file_id", "constants", F.md5("new_content").alias("content_hash"))
+
+
+@query("r22_long_function_notes")
+def _r22(t):
+    out = metrics.note_long_functions(t.code_files.filter("language = 'python'"))
+    return out.select("file_id", F.md5("new_content").alias("content_hash"), (F.length("new_content") - F.length("content")).alias("added_chars"))

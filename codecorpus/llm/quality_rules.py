@@ -146,9 +146,13 @@ def judge(voted: DataFrame, model: Model) -> DataFrame:
     return voted.withColumn("p_good", 1 / (1 + F.exp(-score)))
 
 
+RESULTS = {"facts", "votes", "p_good", "base_failed", "kept"}
+
+
 def quality(docs: DataFrame, keep: list[str], threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """Columns ``keep`` of ``docs`` with facts, votes, ``p_good``, ``base_failed`` and ``kept``. Facts are written once, since
-    both the counts and the verdict read them."""
+    """Columns ``keep`` of ``docs`` with facts, votes, ``p_good``, ``base_failed`` and ``kept``, which replace kept columns of these names.
+    Facts are written once, since both the counts and the verdict read them."""
+    keep = [c for c in keep if c.lower() not in RESULTS]
     voted = stored(votes(facts(docs, text)).select(*keep, "facts", "votes"))
     patterns = [(r["votes"], r["n"]) for r in voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy("votes").collect()]
     f = F.col("facts")

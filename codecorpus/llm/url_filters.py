@@ -9,7 +9,7 @@ Only column expressions and windows are used. Distinct (host, path) pairs are ju
 are dealt to sweeps by a hash, and each sweep gets the (few) rules too, so no range of keys becomes one large task.
 
 Defined results: a null url or one without ``://`` has an empty host and path; an empty host fits no rule, nor does an empty
-path, as rule paths begin with ``/``. Rules with a null part are ignored; of equal rules, a block wins. With no rules every
+path, even if a rule of its host has an empty path too: a rule for all of a host should have the path ``/``. Rules with a null part are ignored; of equal rules, a block wins. With no rules every
 url gets the default verdict. Repeated rows stay; an empty table gives no rows; columns of the input named ``host``,
 ``path``, ``rule`` or ``verdict`` are replaced.
 """
@@ -30,8 +30,8 @@ QUERY_RULES = [
     ("net", "/fr/", "block"),
 ]
 RULE_SCHEMA = "host string, path string, verdict string"
-#: Sweeps that the urls are dealt to; each gets all rules.
-SWEEPS = 64
+#: Least number of sweeps that the urls are dealt to, and urls of a sweep; each sweep gets all rules.
+SWEEPS, SWEEP_URLS = 64, 1_000_000
 
 
 def host_of(url: Column) -> Column:
@@ -61,8 +61,9 @@ def nested(rules: DataFrame) -> DataFrame:
     return events.withColumn("level", height - 1).where("e.step = 1").select("host", "path", "verdict", "depth", "key", "level")
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", sweeps: int = SWEEPS) -> DataFrame:
-    """``pages`` with ``host``, ``path``, ``rule`` (null if none fits) and ``verdict``."""
+def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", sweeps: int | None = None) -> DataFrame:
+    """``pages`` with ``host``, ``path``, ``rule`` (null if none fits) and ``verdict``. The number of sweeps follows that of the pages."""
+    sweeps = sweeps or max(SWEEPS, -(-pages.count() // SWEEP_URLS))
     pages = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))}).drop("rule", "verdict")
     held = stored(nested(rules))
     depth, levels = held.agg(F.coalesce(F.max("depth"), F.lit(0)), F.coalesce(F.max("level"), F.lit(-1))).first()

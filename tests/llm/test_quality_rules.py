@@ -51,3 +51,9 @@ def test_empty_table_and_nulls(docs):
     assert q.quality(docs([]), ["doc_id", "count"]).count() == 0
     out = q.quality(docs(["a", "a"], [None, None]), ["doc_id"]).collect()
     assert len(out) == 2 and not any(x.kept for x in out)
+
+
+def test_kept_columns_with_names_of_results_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "some words " * 60, "x", 5, True)], "doc_id bigint, text string, facts string, Votes int, kept boolean")
+    out = q.quality(docs, ["doc_id", "facts", "Votes", "kept"])
+    assert out.columns == ["doc_id", "facts", "votes", "p_good", "base_failed", "kept"] and out.first().facts.n_words == 120

@@ -12,7 +12,7 @@ from codecorpus.sources import corpus, sinks, tables
 
 def text_tree(t) -> str:
     """Every document as a text file of its own, one folder per language (the writer ends a file with a line feed)."""
-    t.documents.select("lang", F.col("text").alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("lang").text(t.folder)
+    sinks.write_tree(t.documents, "text", "lang", t.folder)
     return t.folder
 
 

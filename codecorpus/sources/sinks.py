@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecorpus.operators import accuracy
@@ -72,3 +78,50 @@ def write_dataset(pairs: DataFrame, path: str) -> None:
     """Examples and a metadata document side by side."""
     pairs.write.mode("overwrite").json(f"{path}/examples")
     dataset_metadata(pairs).write.mode("overwrite").json(f"{path}/metadata")
+
+
+def _reached(spark: SparkSession, folder: str) -> str | None:
+    """The folder's address if pyarrow reaches it too, else None."""
+    if not re.match("[a-z0-9]+:", folder):
+        folder = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS").rstrip("/") + folder
+    address = re.sub("^file:/+", "file:///", folder)
+    try:
+        FileSystem.from_uri(address)
+    except (OSError, ValueError, NotImplementedError):
+        return None
+    return address
+
+
+def _folder_name(column: str, value: str | None) -> str:
+    """The name Spark's partitioned writers give the folder of a value."""
+    plain = re.sub(r"[\x01-\x1f\"#%'*/:=?\\\x7f{\[\]^]", lambda m: f"%{ord(m[0]):02X}", value or "")
+    return f"{column}={plain or '__HIVE_DEFAULT_PARTITION__'}"
+
+
+def write_tree(df: DataFrame, value: str, by: str, folder: str) -> None:
+    """Every row's text, and a line feed, as a text file of its own, one folder for each value of ``by``.
+
+    Tasks create the files themselves: the partitioned text writer sets the rights of every file by a process of its own on a local file system, and its
+    driver then moves all files one after the other. It is used where pyarrow does not reach the folder. A task that is run again writes the same names.
+    """
+    address = _reached(df.sparkSession, folder)
+    if address is None:
+        df.select(by, F.col(value).alias("value")).write.option("maxRecordsPerFile", 1).partitionBy(by).text(folder)
+        return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = FileSystem.from_uri(address)
+        task, made, n = TaskContext.get().partitionId(), set(), 0
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                name = _folder_name(by, key)
+                if name not in made:
+                    fs.create_dir(f"{root}/{name}")
+                    made.add(name)
+                with fs.open_output_stream(f"{root}/{name}/part-{task:05d}-{n:09d}.txt") as out:
+                    out.write(f"{text or ''}\n".encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["files"])
+
+    FileSystem.from_uri(address)[0].create_dir(FileSystem.from_uri(address)[1])
+    df.select(F.col(by).cast("string"), value).mapInArrow(run, "files bigint").agg(F.sum("files")).collect()

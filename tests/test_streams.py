@@ -154,3 +154,16 @@ def test_late_rows_are_kept_as_rows(spark, tmp_path):
         source = spark.readStream.schema(frame().schema).parquet(str(tmp_path / "in"))
         got = LateSplit(source, str(tmp_path / "run")).run()
     assert sorted((r.id, r.late) for r in got.collect()) == [(1, False), (2, False), (3, True), (4, False), (5, False), (6, True), (7, False)]
+
+
+def test_tree_has_a_file_for_each_row(spark, tmp_path):
+    """The same folders and contents as Spark's writer, and nothing beside the rows' files: no checksums, no moved part files."""
+    from codecorpus.sources.sinks import write_tree
+
+    rows = [("a", "x\ny"), ("a", "é"), ("a", "é"), ("b/c=1", ""), (None, None), ("", "n")]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    write_tree(df, "text", "lang", str(tmp_path / "ours"))
+    df.selectExpr("lang", "text AS value").write.option("maxRecordsPerFile", 1).partitionBy("lang").text(str(tmp_path / "theirs"))
+    read = lambda k: sorted((p.parent.name, p.read_bytes()) for p in (tmp_path / k).rglob("*.txt"))
+    assert read("ours") == read("theirs") and len(read("ours")) == len(rows)
+    assert sum(p.is_file() for p in (tmp_path / "ours").rglob("*")) == len(rows)

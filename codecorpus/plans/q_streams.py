@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codecorpus.plans.bindings import BINDINGS
 from codecorpus.plans.q_responses import PATTERN
 from codecorpus.plans.registry import query
+from codecorpus.sources.sinks import write_tree
 from codecorpus.streaming import monitor as s
 from codecorpus.streaming.rolling import rolling_lists
 from codecorpus.streaming.upsert import LateSplit
@@ -228,7 +229,7 @@ def _q6b(t):
 
 @query("q7_stream_corpus")
 def _q7(t):
-    t.code_files.select("language", F.col("content").alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("language").text(f"{t.folder}/in")
+    write_tree(t.code_files, "content", "language", f"{t.folder}/in")
     out, _ = s.run_available(s.stream_corpus(t.spark, f"{t.folder}/in", 5000), f"{t.folder}/run")
     return out.select(F.regexp_extract("relative_path", "^([^/]*)", 1).alias("folder"), "language", "complexity", "overall")
 

@@ -17,39 +17,43 @@ from codecorpus.streaming.upsert import LateSplit
 
 
 def stream(t, name: str):
-    """A binding over ``events`` as a stream of files in time order, one to a batch, so that watermarks move and state is carried."""
+    """A binding over ``events`` as a stream of ranges of time in order, one to a batch, so that watermarks move and state is carried."""
     folder = f"{t.folder}/events"
-    in_order(t.events, folder)
-    source = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    files = in_order(t.events, folder)
+    source = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", files).parquet(folder)
     return bound(t, source, name)
 
 
-FILES = 8
+#: Ranges of time, and rows of one file of an arriving part.
+RANGES, FILE_ROWS = 8, 1_000_000
 
 
-def in_order(events, folder: str) -> None:
-    """Writes events as a folder of files, range of time after range of time: a stream reads files in the order they were written.
-    Each range is written by as many tasks as hold rows of it. A folder that is there already stays as it is."""
-    if has_files(events.sparkSession, folder):
-        return
+def in_order(events, folder: str, files: int | None = None) -> int:
+    """Writes events range of time after range of time: a stream reads files in the order they were written. Every range has the same number of files,
+    which is returned, so that a batch of so many is one range: the number of batches does not follow the input's, and no row of a range comes behind
+    a watermark of its own range. A folder that is there already stays as it is."""
     timed = events.withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp")))
-    cuts = timed.approxQuantile("__us", [k / FILES for k in range(1, FILES)], 0.01)
+    cuts = timed.approxQuantile("__us", [k / RANGES for k in range(1, RANGES)], 0.01)
+    ranges = []
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = timed if low is None else timed.filter(F.col("__us") >= low)
-        part = part if high is None else part.filter(F.col("__us") < high)
-        part.drop("__us").write.mode("append").parquet(folder)
+        ranges.append((part if high is None else part.filter(F.col("__us") < high)).drop("__us"))
+    if files is None:
+        place = sum(((F.col("__us") >= cut).cast("int") for cut in cuts), F.lit(0))
+        counts = {r.p: r.n for r in timed.groupBy(place.alias("p")).agg(F.count("*").alias("n")).collect()}  # one row for each range
+        files = max(1, min(counts.get(k, 0) for k in range(len(ranges))) // FILE_ROWS)
+    if not has_files(events.sparkSession, folder):
+        for part in ranges:
+            part.repartition(files).write.mode("append").parquet(folder)
+    return files
 
 
 def closed(t, name: str, beat):
-    """A binding as a stream of files in time order, and behind them a file with ``beat``, rows that only move the watermark."""
+    """A binding as a stream of ranges of time in order, and behind them a file with ``beat``, rows that only move the watermark."""
     table, folder = getattr(t, name), f"{t.folder}/{name}"
-    in_order(table, folder)
-    beat.write.mode("append").parquet(folder)
-    return t.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-
-
-#: Rows of one file of an arriving part.
-FILE_ROWS = 1_000_000
+    files = in_order(table, folder)
+    beat.coalesce(1).write.mode("append").parquet(folder)
+    return t.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def arriving(t, rows, part, folder: str):
@@ -237,10 +241,10 @@ def _q7(t):
 @query("q8_late_events")
 def _q8(t):
     """Every 50th event arrives in a third batch: what lies behind the watermark of the first is dropped and counted."""
-    late = F.col("event_id") % 50 == 0
+    late, files = F.col("event_id") % 50 == 0, None
     for part, cond in enumerate((~late & (F.col("event_id") % 2 == 1), ~late & (F.col("event_id") % 2 == 0), late)):
-        in_order(t.events.filter(cond), f"{t.folder}/in/part={part}")
-    source = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", FILES).option("recursiveFileLookup", "true").parquet(f"{t.folder}/in")
+        files = in_order(t.events.filter(cond), f"{t.folder}/in/part={part}", files)
+    source = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", RANGES * files).option("recursiveFileLookup", "true").parquet(f"{t.folder}/in")
     out, late = s.run_counting_late(s.health(bound(t, source, "error_events"), 3), f"{t.folder}/run")
     return out.agg(F.count("*").alias("windows"), F.sum("recent_errors").alias("counted_errors")).withColumn("dropped_late", F.lit(late))
 

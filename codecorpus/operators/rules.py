@@ -318,10 +318,22 @@ def _quoted(name: Column) -> Column:
 
 def _insert(text: Column, pattern: Column, what) -> Column:
     """Insert text in front of the first match of ``pattern``; ``what`` gets the indent (group 1 of the match)."""
-    hit = F.call_function("regexp_extract", text, pattern, F.lit(0))
-    pad = F.call_function("regexp_extract", text, pattern, F.lit(1))
-    at = F.when(F.length(hit) > 0, F.instr(text, hit)).otherwise(0)
-    return F.when(at > 0, F.concat(F.substr(text, F.lit(1), at - 1), what(pad), F.substr(text, at))).otherwise(text)
+
+    def group(k: int, p: Column) -> Column:
+        return F.call_function("regexp_extract", text, p, F.lit(k))
+
+    def placed(p: Column, at: Column) -> Column:
+        return F.when(at > 0, F.concat(F.substr(text, F.lit(1), at - 1), _let(group(1, p), what), F.substr(text, at))).otherwise(text)
+
+    def found(p: Column, hit: Column) -> Column:
+        return _let(F.when(F.length(hit) > 0, F.instr(text, hit)).otherwise(0), lambda at: placed(p, at))
+
+    return _let(pattern, lambda p: _let(group(0, p), lambda hit: found(p, hit)))
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once: inside a fold each mention would run its patterns again."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _doc_patterns(language: Column, name: Column) -> list[Column]:
@@ -355,7 +367,7 @@ def add_comments(
 
     def step(text: Column, item: Column) -> Column:
         first, second = _doc_patterns(lang, item["function_name"])
-        pattern = F.when(F.regexp_count(text, first) > 0, first).otherwise(second)
+        pattern = F.when(F.call_function("rlike", text, first), first).otherwise(second)
 
         def block(pad: Column) -> Column:
             return F.concat(pad, F.lit("/**\n"), pad, F.lit(" * "), item["comment"], F.lit("\n"), pad, F.lit(" */\n"))

@@ -136,3 +136,32 @@ def test_findings_meet_their_functions_in_the_row(spark, sf_dir):
     assert "Exchange" not in plan(nesting.nested_ifs_in_functions(files))
     found = nesting.nested_ifs_brace(files)
     assert "Window" not in plan(nesting.enclosing_function(found, files))
+
+
+def test_inserted_comments_match_once(texts):
+    """Inside the fold each mention of a match would run its pattern again."""
+    files = texts(("java", "class A {\n  int load(int a) { return load(a); }\n}"), ("cpp", "int run() {}"), ("javascript", "function go() {}"))
+    names = files.selectExpr("file_id", "1 AS position", "element_at(array('load', 'run', 'none'), int(file_id) + 1) AS function_name", "'c' AS comment", "'v' AS variable")
+    out = rules.add_comments(files, names).select("file_id", "new_content")
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("regexp_extract(") == 2 and "regexp_count" not in text
+    got = [r.new_content for r in out.orderBy("file_id").collect()]
+    assert got[0].count(" * c") == 1 and got[1:] == ["/**\n * c\n */\nint run() {}", "function go() {}"]
+
+
+def test_headers_match_once(texts):
+    """A header's parts come from one match; a line that begins with the mark between parts is no header, parameters may hold it."""
+    from codecorpus.operators.symbols import extract_functions
+
+    files = texts(("python", "def a(x\x01, y):\n  pass\n\x01b\x01c\x01d(e)"), ("java", "  int f(int a)"), ("cpp", "if (x)\n// g(y)\nh(z)"), ("javascript", "const k = (q) => 1\nasync function m(r) {}"))
+    out = extract_functions(files.drop("path")).select("file_id", "name", "kind", "params", "signature", "start_line")
+    assert "regexp_extract(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in out.orderBy("file_id", "start_line").collect()] == [
+        (0, "a", "def", "x\x01, y", "def a(x\x01, y)", 1), (1, "f", "method", "int a", "package  int f(int a)", 1), (2, "h", "function", "z", "voidh(z)", 3),
+        (3, "k", "function", "q", "function k(q)", 1), (3, "m", "function", "r", "function m(r)", 2)]
+
+
+def test_hot_files_of_a_known_history(t):
+    history = ranking.file_history(t.commits, t.changes, 10)
+    own, known = ranking.hot_files(t.commits, t.changes), ranking.hot_files(t.commits, t.changes, history=history)
+    assert own.exceptAll(known).count() == 0 and own.count() == known.count() > 0

@@ -167,3 +167,24 @@ def test_tree_has_a_file_for_each_row(spark, tmp_path):
     read = lambda k: sorted((p.parent.name, p.read_bytes()) for p in (tmp_path / k).rglob("*.txt"))
     assert read("ours") == read("theirs") and len(read("ours")) == len(rows)
     assert sum(p.is_file() for p in (tmp_path / "ours").rglob("*")) == len(rows)
+
+
+def test_batches_do_not_follow_the_files_of_the_input(spark, tmp_path):
+    """Eight ranges of time are eight files, in however many parts the rows come."""
+    from codecorpus.plans.q_streams import in_order
+
+    events = spark.range(800).selectExpr("id AS event_id", "timestamp_seconds(id * 60) AS ts").repartition(6)
+    assert in_order(events, str(tmp_path / "in")) == 1
+    assert len(list((tmp_path / "in").glob("*.parquet"))) == 8 and spark.read.parquet(str(tmp_path / "in")).count() == 800
+
+
+def test_rolling_lists_of_sessions_that_share_a_bucket(spark, tmp_path):
+    """Sessions of one bucket keep lists of their own, and all that is due leaves with one timer."""
+    from codecorpus.streaming.rolling import rolling_lists
+
+    for rows in ([(1, "2024-01-01 01:00:00", "a"), (2, "2024-01-01 09:00:00", "b"), (3, "2024-01-01 20:00:00", "c")], [(4, "2024-01-02 18:00:00", "a")], [(5, "2024-01-02 18:00:01", "c")]):
+        errors(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(errors(spark, rows).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    lists, _ = rolling_lists(source, str(tmp_path / "run"), buckets=1)
+    got = sorted((r.batch_id, r.session_id, r.event_id) for r in lists.collect() if r.batch_id < 3)
+    assert got == [(0, "a", 1), (0, "b", 2), (0, "c", 3), (1, "a", 4), (1, "c", 3), (2, "a", 4), (2, "c", 3), (2, "c", 5)]

@@ -19,13 +19,14 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from codecorpus.llm.common import table
 
-#: Entries of the tables that a worker keeps: white-space separated strings, pieces, and compatible pairs.
+#: Entries of the tables that a worker keeps during a task: white-space separated strings, pieces, and compatible pairs.
 KEPT = 400_000
 #: Stands for the word-end mark inside a piece; no byte maps to it.
 END = "\0"
@@ -41,7 +42,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         model = json.load(open(path, encoding="utf-8"))
-        self.library = Tokenizer.from_file(path)
+        # The library normalises and cuts only; without entries and merges it holds no second copy of the vocabulary.
+        self.library = Tokenizer.from_str(json.dumps(model | {"model": model["model"] | {"vocab": {}, "merges": []}, "added_tokens": []}))
         suffix = model["model"]["end_of_word_suffix"]
         ids = model["model"]["vocab"]
 
@@ -81,6 +83,11 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
+    def forget(self) -> None:
+        """Empties the tables, which hold what the texts brought."""
+        for kept in (self.units, self.pieces, self.pairs):
+            kept.clear()
+
     def byte_letters(self) -> dict[str, str]:
         """Byte (as a Latin-1 character) to byte-level letter, for the bytes of two-byte characters."""
         out = {}
@@ -196,6 +203,16 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+@contextmanager
+def tables(path: str) -> Iterator[Encoder]:
+    """The worker's encoder for one task. Its tables go at the end: Spark gives the worker to other stages, which need the memory."""
+    own = encoder(path)
+    try:
+        yield own
+    finally:
+        own.forget()
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -208,10 +225,10 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: str = "ids
     schema = docs.select(*rest).schema.add(ids, "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
-        for batch in batches:
-            done = pa.array([encode(t.as_py()) for t in batch.column(text)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], done], [*rest, ids])
+        with tables(path) as own:
+            for batch in batches:
+                done = pa.array([own.encode(t.as_py()) for t in batch.column(text)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], done], [*rest, ids])
 
     return docs.select(*rest, text).mapInArrow(run, schema)
 
@@ -236,15 +253,15 @@ def digests(docs: DataFrame, path: str, keep: list[str], text: str = "text") ->
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        for batch in batches:
-            ids = [own.encode(t.as_py()) for t in batch.column(text)]
-            cols = [
-                pa.array([len(x) // 4 for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                pa.array([hashlib.sha256(own.decode(x).encode()).hexdigest() for x in ids], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *cols], schema.names)
+        with tables(path) as own:
+            for batch in batches:
+                ids = [own.encode(t.as_py()) for t in batch.column(text)]
+                cols = [
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                    pa.array([hashlib.sha256(own.decode(x).encode()).hexdigest() for x in ids], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *cols], schema.names)
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 

@@ -54,3 +54,26 @@ def test_columns(docs, library):
     back = bpe.decode_ids(encoded, bpe.vocabulary()).where("doc_id = 3").first()
     assert back.decoded == "one</w>" and back["row"] == "x"
     assert bpe.encode_texts(docs([]), bpe.vocabulary()).count() == 0
+
+
+def test_a_worker_keeps_no_tables_for_other_stages(spark, docs):
+    """Workers are used again by later stages: tables stay empty there, and results are those of one encoder."""
+    texts = [f"word{k} other{k}, {k}" for k in range(500)]
+
+    def kept(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(t) for e in bpe._ENCODERS.values() for t in (e.units, e.pieces, e.pairs))], pa.int64())], ["n"])
+
+    for job in (lambda: bpe.digests(docs(texts), bpe.vocabulary(), ["doc_id"]), lambda: bpe.encode_texts(docs(texts), bpe.vocabulary())):
+        assert job().count() == len(texts) and len(job().collect()) == len(texts)
+        assert sum(r.n for r in spark.range(0, 64, 1, 16).mapInArrow(kept, "n long").collect()) == 0
+
+
+def test_the_library_normalises_and_cuts_as_with_its_entries(library):
+    own = bpe.Encoder(bpe.vocabulary()).library
+    assert own.get_vocab_size() == 0
+    for t in ["Ünïcode ΑΣ İ 日本語 👍🏽", "don't<|endoftext|> 12 3½²", "ſK ﷺ ΐ \u0308a"]:
+        assert own.normalizer.normalize_str(t) == library.normalizer.normalize_str(t)
+        assert own.pre_tokenizer.pre_tokenize_str(t) == library.pre_tokenizer.pre_tokenize_str(t)

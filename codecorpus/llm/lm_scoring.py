@@ -3,8 +3,8 @@
 Counts of word pairs (or longer n-grams) of the training documents are quantised to a logarithmic scale, and the filter holds the
 n-gram once for each step up to its level. A count is read back by probing step after step until one is missing, so an error of
 the filter can only raise a level, and rarely by more than one. The filter is cut into segments by the n-gram's hash; each is built
-where all counts of its n-grams meet. Segments are broadcast in sets of at most ``BROADCAST_BYTES``; more than that takes more
-passes over the encoded blocks, with the same result.
+where all counts of its n-grams meet, and read there for all blocks that ask for them. A segment holds a bounded number of n-grams and
+lives as long as its group's task: no worker holds the filter, whatever the size of the corpus, and the blocks are read once.
 
 Probability of a word: an interpolation that starts with the smoothed word distribution (the base) and adds, for each order, the
 n-gram's relative frequency with a weight that depends on how often its context was seen. Weights are fitted by leaving out each
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codecorpus.llm.blocks import Block, ask, encode_blocks, from_planes, group_of, mix, planes, question, runs, with_answers
+from codecorpus.llm.blocks import Block, ask, encode_blocks, from_planes, group_of, mix, planes, runs, with_answers
 from codecorpus.llm.common import stored, table
 
 ORDER, SMOOTHING, FOLDS = 2, 0.1, 10
@@ -35,8 +35,6 @@ ORDER, SMOOTHING, FOLDS = 2, 0.1, 10
 BITS, PROBES = 10, 5
 #: Distinct words or n-grams in a group on average.
 GROUP_WORDS, GROUP_NGRAMS = 300_000, 700_000
-#: Most bytes of the filter that are broadcast at once.
-BROADCAST_BYTES = 256 << 20
 #: Level l stands for counts from STEPS[l - 1] to below STEPS[l]: every count up to four, then two steps for each doubling.
 STEPS = np.unique(np.ceil(2.0 ** (np.arange(0, 96) / 2)))
 VALUES = np.r_[0.0, np.where(STEPS[:-1] < 4, STEPS[:-1], np.sqrt(STEPS[:-1] * (STEPS[1:] - 1))), STEPS[-1]]
@@ -107,9 +105,13 @@ def count_words(keys: list[bytes], counts: list[bytes]) -> list[bytes]:
 
 
 def send_ngrams(order: int, groups: int):
+    """Distinct n-grams of a block with their counts in its training documents, by group."""
+
     def send(block: Block) -> Iterator[tuple[int, bytes, bytes]]:
         t = Tokens(block)
-        h, n = np.unique(t.ngrams(token_hashes(block), order)[t.train], return_counts=True)
+        marked = np.sort(t.ngrams(token_hashes(block), order) | t.train.astype(np.uint64))  # the lower bits are free
+        at = np.flatnonzero(np.r_[True, marked[1:] >> CUT != marked[:-1] >> CUT])
+        h, n = marked[at] & KEPT_BITS, np.add.reduceat(marked & np.uint64(1), at)
         names, spans = runs(group_of(h, groups))
         for name, (a, b) in zip(names.tolist(), spans):
             yield name, planes(np.diff(h[a:b] >> CUT, prepend=np.uint64(0))), planes(n[a:b].astype(np.uint32))
@@ -128,71 +130,52 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(STEPS, counts, side="right")
 
 
-def segments(asked: DataFrame) -> DataFrame:
-    """(grp, segment): the filter's segment of every group of n-grams, from their counts in all blocks."""
-
-    def build(group: pa.Table) -> pa.Table:
-        h = np.concatenate([np.cumsum(from_planes(x, np.uint64), dtype=np.uint64) for x in group.column("keys").to_pylist()]) << CUT
-        n = np.concatenate([from_planes(x, np.uint32) for x in group.column("more").to_pylist()]).astype(np.int64)
-        order = np.argsort(h)
-        h, n = h[order], n[order]
-        cuts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        h, level = h[cuts], level_of(np.add.reduceat(n, cuts))
-        bits = -(-int(level.sum()) * BITS // 8) * 8
-        field = np.zeros(bits, bool)
-        for step in range(1, int(level.max()) + 1):
-            for place in places(h[level >= step], step, bits):
-                field[place] = True
-        return pa.table({"grp": group.column("grp")[:1].combine_chunks(), "segment": pa.array([np.packbits(field, bitorder="little").tobytes()], pa.binary())})
-
-    return asked.groupBy("grp").applyInArrow(build, "grp bigint, segment binary")
-
-
-@dataclass
-class Filter:
-    """Segments of the filter one after another: groups in order, first bit and bits of each, and the bits of all."""
-
-    groups: np.ndarray
-    first: np.ndarray
-    bits: np.ndarray
-    field: np.ndarray
-
-    def levels(self, h: np.ndarray, groups: int) -> np.ndarray:
-        """Levels of n-grams by repeated membership probes, for all segments at once; zero for those of other segments. The n-grams should be
-        sorted: then the segments are read one after another."""
-        group = group_of(h, groups).astype(np.int64)
-        place = np.minimum(np.searchsorted(self.groups, group), len(self.groups) - 1)
-        at = np.flatnonzero(self.groups[place] == group)
-        first, bits = self.first[place[at]], self.bits[place[at]]
-        level, step = np.zeros(len(h), np.uint8), 1
-        while len(at) and step < len(STEPS):
-            a = mix(h[at] + np.uint64(step * 0x9E3779B97F4A7C15 % 2**64))
-            b = mix(a) | np.uint64(1)
-            here = np.arange(len(at))
-            for k in range(PROBES):  # most n-grams that are missing leave at the first probe
-                bit = first[here] + (((a[here] + np.uint64(k) * b[here]) & np.uint64(0xFFFFFFFF)) * bits[here] >> np.uint64(32))
-                here = here[(self.field[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
-            at, first, bits = at[here], first[here], bits[here]
-            level[at] = step
-            step += 1
-        return level
-
-
-def filter_of(rows: list) -> Filter:
-    """The filter of some (grp, segment) rows."""
-    rows = sorted(rows, key=lambda r: r["grp"])
-    sizes = np.array([len(r["segment"]) for r in rows], np.uint64) * np.uint64(8)
-    return Filter(np.array([r["grp"] for r in rows], np.int64), np.cumsum(sizes, dtype=np.uint64) - sizes, sizes, np.frombuffer(b"".join(bytes(r["segment"]) for r in rows), np.uint8))
+def segment(h: np.ndarray, counts: np.ndarray) -> bytes:
+    """The filter's segment of distinct n-grams with their counts."""
+    level = level_of(counts)
+    bits = -(-int(level.sum()) * BITS // 8) * 8
+    field = np.zeros(bits, bool)
+    for step in range(1, int(level.max(initial=0)) + 1):
+        for place in places(h[level >= step], step, bits):
+            field[place] = True
+    return np.packbits(field, bitorder="little").tobytes()
 
 
 def probe(h: np.ndarray, segment: bytes) -> np.ndarray:
-    """Levels of n-grams in a filter of one segment."""
-    return filter_of([{"grp": 0, "segment": segment}]).levels(h, 1)
-
-
-COUNTED = "block string, ids array<bigint>, lens binary, codes binary, vocab binary, counts binary, levels array<binary>"
+    """Levels of n-grams by repeated membership probes in their segment."""
+    level, field, step = np.zeros(len(h), np.uint8), np.frombuffer(segment, np.uint8), 1
+    bits, at = np.uint64(8 * len(field)), np.arange(len(h) if len(field) else 0)
+    while len(at) and step < len(STEPS):
+        a = mix(h[at] + np.uint64(step * 0x9E3779B97F4A7C15 % 2**64))
+        b = mix(a) | np.uint64(1)
+        here = np.arange(len(at))
+        for k in range(PROBES):  # most n-grams that are missing leave at the first probe
+            bit = ((a[here] + np.uint64(k) * b[here]) & np.uint64(0xFFFFFFFF)) * bits >> np.uint64(32)
+            here = here[(field[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+        at = at[here]
+        level[at] = step
+        step += 1
+    return level
+
+
+def read_levels(keys: list[bytes], counts: list[bytes]) -> list[bytes]:
+    """Levels of the n-grams of each block in a group, from the segment that their counts in all blocks make."""
+    each = [np.cumsum(from_planes(x, np.uint64), dtype=np.uint64) for x in keys]
+    h = np.concatenate(each) << CUT
+    n = np.concatenate([from_planes(x, np.uint32) for x in counts]).astype(np.int64)
+    order = np.argsort(h)
+    ascending = h[order]
+    new = np.r_[True, ascending[1:] != ascending[:-1]]
+    cuts = np.flatnonzero(new)
+    h, n = ascending[cuts], np.add.reduceat(n[order], cuts)
+    level = np.empty(len(order), np.uint8)
+    level[order] = probe(h, segment(h[n > 0], n[n > 0]))[np.cumsum(new) - 1]
+    return [x.tobytes() for x in np.split(level, np.cumsum([len(x) for x in each])[:-1])]
+
+
+COUNTED = "block string, ids array<bigint>, lens binary, codes binary, counts binary, levels array<binary>"
 COUNTED_ARROW = pa.schema({
-    "block": pa.string(), "ids": pa.list_(pa.int64()), "lens": pa.binary(), "codes": pa.binary(), "vocab": pa.binary(),
+    "block": pa.string(), "ids": pa.list_(pa.int64()), "lens": pa.binary(), "codes": pa.binary(),
     "counts": pa.binary(), "levels": pa.list_(pa.binary()),
 })
 
@@ -250,7 +233,7 @@ def fit(histogram: np.ndarray) -> np.ndarray:
     return out
 
 
-def model(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, tuple[int, int, int]]:
+def model(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER) -> tuple[DataFrame, tuple[int, int, int]]:
     """Blocks with counts and levels (:data:`COUNTED`); training tokens, distinct training tokens and training documents."""
     blocks = stored(encode_blocks(docs, doc_id, text, lower=True))
     total, distinct = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0))).first()
@@ -260,6 +243,8 @@ def model(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
     n, v = (int(x) for x in sum((np.frombuffer(r["head"], np.int64) for r in heads), np.zeros(2, np.int64)))
     trained = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % FOLDS != 0
     ends = blocks.select(F.explode("ids").alias("id")).where(trained).count()
+    for k in range(2, order + 1):
+        answers = answers.unionAll(stored(ask(blocks, send_ngrams(k, groups), read_levels, f"levels {k}")))
 
     def start(block: Block, got: dict) -> pa.Table:
         counts = np.zeros(len(block.vocab), np.int64)
@@ -268,53 +253,21 @@ def model(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
         names, spans = runs(where[by])
         for name, (a, b) in zip(names.tolist(), spans):
             counts[by[a:b]] = from_planes(got["words"][name][16:], np.int64)
-        none = [bytes(len(block.codes) + len(block.lens))] * (order - 1)
-        values = [block.name, block.ids, block.lens.astype(np.int32).tobytes(), planes(block.codes), b"\n".join(block.vocab), planes(counts), none]
+        tokens, hashes, levels = Tokens(block), token_hashes(block), []
+        for k in range(2, order + 1):
+            h, back = np.unique(tokens.ngrams(hashes, k), return_inverse=True)
+            read = b"".join(got[f"levels {k}"][name] for name in runs(group_of(h, groups))[0].tolist())
+            levels.append(np.frombuffer(read, np.uint8)[back].tobytes())
+        values = [block.name, block.ids, block.lens.astype(np.int32).tobytes(), planes(block.codes), planes(counts), levels]
         return pa.Table.from_pylist([dict(zip(COUNTED_ARROW.names, values))], schema=COUNTED_ARROW)
 
-    # Written before the filter is read, so that no task runs two kinds of Python workers at once.
-    counted = stored(with_answers(blocks, answers, start, COUNTED))
-    sets = []
-    for k in range(2, order + 1):
-        built = stored(segments(question(blocks, send_ngrams(k, groups))))
-        sets += [(k, built, part) for part in sets_of(built, broadcast_bytes)]
-    for at, (k, built, part) in enumerate(sets):
-        rows = built.where(F.col("grp").between(*part)).collect()
-        shared = blocks.sparkSession.sparkContext.broadcast(filter_of(rows))
-        counted = counted.mapInArrow(read_levels(shared, k, groups), COUNTED)
-        counted = stored(counted if at + 1 < len(sets) else counted.drop("vocab"))
-        shared.destroy()  # what it gave is written
-    return counted if sets else stored(counted.drop("vocab")), (n + ends, v + (ends > 0), ends)
-
-
-def sets_of(built: DataFrame, most: int) -> list[tuple[int, int]]:
-    """Ranges (first, last) of groups whose segments together have ``most`` bytes or less (or are one segment)."""
-    out, full = [], 0
-    for grp, n in sorted((r["grp"], r["n"]) for r in built.select("grp", F.length("segment").alias("n")).collect()):
-        if out and full + n <= most:
-            out[-1], full = (out[-1][0], grp), full + n
-        else:
-            out, full = [*out, (grp, grp)], n
-    return out
-
-
-def read_levels(shared, order: int, groups: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = Block(row)
-                h, back = np.unique(Tokens(block).ngrams(token_hashes(block), order), return_inverse=True)
-                level = held.levels(h, groups)
-                row["levels"][order - 2] = np.maximum(level[back], np.frombuffer(row["levels"][order - 2], np.uint8)).tobytes()
-                yield pa.RecordBatch.from_pylist([row], schema=batch.schema)
-
-    return run
+    return stored(with_answers(blocks, answers, start, COUNTED)), (n + ends, v + (ends > 0), ends)
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``."""
-    counted, (n, v, ends) = model(docs, doc_id, text, order, broadcast_bytes)
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, broadcast_bytes: int | None = None) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``. Nothing is broadcast any more;
+    ``broadcast_bytes`` is taken for callers that still name it."""
+    counted, (n, v, ends) = model(docs, doc_id, text, order)
     weights: list[np.ndarray] = []
     for k in range(order - 1):
         weights.append(fit(histogram(counted, (n, v, ends), weights, k)))

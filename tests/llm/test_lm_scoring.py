@@ -84,3 +84,30 @@ def test_null_ids_and_empty_table(docs):
     assert lm.score(docs([])).count() == 0
     rows = lm.score(docs(["a b", "a b"], [None, None])).collect()
     assert len(rows) == 2 and all(r.n_tokens == 3 for r in rows)
+
+
+def test_the_filter_is_read_where_it_is_built(spark, docs, monkeypatch):
+    """No worker gets the whole filter, and each block's levels are those of the counts in all blocks."""
+    from codecorpus.llm import blocks
+
+    monkeypatch.setattr(lm, "GROUP_NGRAMS", 500)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: pytest.fail("the filter was broadcast"))
+    texts = corpus(120)
+    monkeypatch.setattr(blocks.encode_blocks, "__defaults__", ("doc_id", "text", 1000, False))
+    counted, facts = lm.model(docs(texts).repartition(3))
+    assert counted.count() > 10
+    pairs = {}
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 10:
+            for pair in zip(["start", *tokens(t)], tokens(t)):
+                pairs[pair] = pairs.get(pair, 0) + 1
+    high = total = 0
+    for row in counted.collect():
+        c, at = lm.Counted(row.asDict(), *facts), 0
+        for i in c.block.ids:
+            ws = tokens(texts[i])
+            want = lm.level_of(np.array([pairs.get(p, 0) for p in zip(["start", *ws], ws)]))
+            got = c.levels[0][at : at + len(ws)]
+            assert (got >= want).all()
+            high, total, at = high + (got > want).sum(), total + len(ws), at + len(ws)
+    assert total == sum(len(tokens(t)) for t in texts) and high < 0.03 * total

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from codecorpus.functions.language import binary_flag, scan_language
 from codecorpus.functions.patterns import file_extension, line_total
+from codecorpus.sources import listing
 
 BINARY_FILE = T.StructType(
     [
@@ -18,7 +19,11 @@ BINARY_FILE = T.StructType(
 
 
 def scan_corpus(spark: SparkSession, root: str, recursive: bool = True, pattern: str | None = None) -> DataFrame:
-    """One row per file: path, relative path, extension, size, modification time and raw content (read only if used)."""
+    """One row per file: path, relative path, extension, size, modification time and raw content. Tasks list and read a tree; Spark's own source is
+    used without recursion and for what is no folder that pyarrow reaches. :func:`codecorpus.sources.listing.listed` gives the files without content."""
+    files = listing.listed(spark, root, pattern) if recursive else None
+    if files is not None:
+        return describe(listing.with_content(listing.spread(files), listing.reached(spark, root)), root)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)

@@ -8,11 +8,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow.fs import FileSystem
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codecorpus.operators import accuracy
 from codecorpus.operators.routing import in_window
+from codecorpus.sources.listing import reached
 
 
 def report(sessions: DataFrame, files: DataFrame, start, end) -> DataFrame:
@@ -80,18 +81,6 @@ def write_dataset(pairs: DataFrame, path: str) -> None:
     dataset_metadata(pairs).write.mode("overwrite").json(f"{path}/metadata")
 
 
-def _reached(spark: SparkSession, folder: str) -> str | None:
-    """The folder's address if pyarrow reaches it too, else None."""
-    if not re.match("[a-z0-9]+:", folder):
-        folder = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS").rstrip("/") + folder
-    address = re.sub("^file:/+", "file:///", folder)
-    try:
-        FileSystem.from_uri(address)
-    except (OSError, ValueError, NotImplementedError):
-        return None
-    return address
-
-
 def _folder_name(column: str, value: str | None) -> str:
     """The name Spark's partitioned writers give the folder of a value."""
     plain = re.sub(r"[\x01-\x1f\"#%'*/:=?\\\x7f{\[\]^]", lambda m: f"%{ord(m[0]):02X}", value or "")
@@ -104,7 +93,7 @@ def write_tree(df: DataFrame, value: str, by: str, folder: str) -> None:
     Tasks create the files themselves: the partitioned text writer sets the rights of every file by a process of its own on a local file system, and its
     driver then moves all files one after the other. It is used where pyarrow does not reach the folder. A task that is run again writes the same names.
     """
-    address = _reached(df.sparkSession, folder)
+    address = reached(df.sparkSession, folder)
     if address is None:
         df.select(by, F.col(value).alias("value")).write.option("maxRecordsPerFile", 1).partitionBy(by).text(folder)
         return

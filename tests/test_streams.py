@@ -188,3 +188,30 @@ def test_rolling_lists_of_sessions_that_share_a_bucket(spark, tmp_path):
     lists, _ = rolling_lists(source, str(tmp_path / "run"), buckets=1)
     got = sorted((r.batch_id, r.session_id, r.event_id) for r in lists.collect() if r.batch_id < 3)
     assert got == [(0, "a", 1), (0, "b", 2), (0, "c", 3), (1, "a", 4), (1, "c", 3), (2, "a", 4), (2, "c", 3), (2, "c", 5)]
+
+
+def test_trees_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The rows of Spark's own source, without the driver listing a file, for odd names too; contents come in batches of bounded size."""
+    from codecorpus.sources import listing
+
+    root = tmp_path / "tree"
+    for name in ("a.txt", "lang=x y/b.txt", "lang=x y/c.md", "lang=%3A/é.txt", "d/e/f/g.txt", "d/_h.txt", "d/.i/j.txt", "_k/l.txt", "_m=1/n.txt", "d/o[1].txt", "d/p"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(name.encode() * 7)
+    (root / "empty").mkdir()
+    (root / "d/gone.txt").symlink_to(root / "nothing")
+    (root / "link").symlink_to(root / "d")
+
+    def theirs(pattern=None):
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        return sorted(corpus.describe((reader.option("pathGlobFilter", pattern) if pattern else reader).load(str(root)), str(root)).collect())
+
+    want = {p: theirs(p) for p in (None, "*.txt", "?.{txt,md}", "[a-c].*", "none")}
+    assert len(want[None]) == 11 and len(want["*.txt"]) == 8
+    monkeypatch.setattr(listing, "ROWS", 2)
+    for p, rows in want.items():
+        ours = corpus.scan_corpus(spark, str(root), pattern=p)
+        assert not ours.inputFiles() or not any(str(root) in f for f in ours.inputFiles())
+        assert sorted(ours.collect()) == rows
+    assert corpus.scan_corpus(spark, f"file://{root}/").count() == 11 and corpus.scan_corpus(spark, str(root / "empty")).count() == 0
+    assert {r.relative_path for r in corpus.scan_corpus(spark, str(root / "d" / "p")).collect()} == {str(root / "d" / "p")}

@@ -151,3 +151,42 @@ def test_counting_holds_a_bounded_part_of_a_batch(monkeypatch):
     monkeypatch.setattr(d, "TOGETHER", 2000)
     assert d.survey(Docs(), Shared, 100)() == whole
     assert len(seen) > 10 and max(seen) < 2000 + max(len(t or "") for t in texts)
+
+
+def test_the_space_is_fitted_on_all_passages(spark, docs):
+    """The pass over the documents gives every passage, repeated ones too, and the space holds as much of them as the exact one."""
+    r, words = random.Random(5), vocabulary()
+    texts = [" ".join(r.choices(words, k=r.randint(0, 400))) for _ in range(300)] * 2 + AWKWARD
+    items = [" ".join(r.choices(words, k=r.randint(9, 60))) for _ in range(250)]
+    bench = d.benchmark_of([(k, t, None) for k, t in enumerate(items)])
+    v, all_ids = len(bench.vocab), [bench.ids(t) for t in texts]
+    passages = [x[k : k + d.PASSAGE] for x in all_ids for k in range(0, len(x), d.PASSAGE)]
+    seen = d.survey(docs(texts).select("text"), spark.sparkContext.broadcast(bench)).collect()
+    packed = [d.unpacked(bytes(x.ids)) for x in seen if x.kind == "passages"]
+    assert sum(x.n for x in seen if x.kind == "passages") == sum(x.n for x in seen if x.kind == "total") == len(passages)
+    got = sorted((tuple(np.repeat(term[place == k], times[place == k])), int(others[k])) for place, term, times, others in packed for k in range(len(others)))
+    assert got == sorted((tuple(np.sort(x[x < v])), int((x == v).sum())) for x in passages)
+
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    index = d.index_for(docs(texts), benchmark).value
+    rows = d.tfidf(np.concatenate(passages), np.array([len(x) for x in passages]), index.idf, np.eye(v, dtype=np.float32)).astype(float)
+    own = d.tfidf(np.concatenate([i.ids for i in bench.items]), np.array([len(i.ids) for i in bench.items]), index.idf, np.eye(v, dtype=np.float32)).astype(float)
+    whole = rows.T @ rows + len(passages) // len(items) * own.T @ own
+    space = index.space / index.idf[:-1, None]
+    assert np.allclose(space.T @ space, np.eye(d.RANK), atol=1e-3)
+    assert np.trace(space.T @ whole @ space) > 0.95 * np.linalg.eigvalsh(whole)[-d.RANK :].sum()
+
+
+def test_marks_hold_a_bounded_number_of_windows(spark, docs, monkeypatch):
+    """The same matches however many windows are marked at once."""
+    r, words = random.Random(8), vocabulary()
+    items = [" ".join(r.choices(words, k=r.randint(9, 60))) for _ in range(30)]
+    texts = [" ".join(r.choices(words, k=50) + items[k % 30].split() + r.choices(words, k=50)) for k in range(60)]
+    bench = d.benchmark_of([(k, t, None) for k, t in enumerate(items)])
+    idf = np.ones(len(bench.vocab) + 1)
+    index = d.index_of(bench, idf, np.linalg.qr(np.random.default_rng(1).standard_normal((len(bench.vocab), 64)))[0])
+    found = []
+    for marks in (d.MARKS, 1):
+        monkeypatch.setattr(d, "MARKS", marks)
+        found.append([[(i.item_id, a, b, c) for i, a, b, c in x] for x in d.search(bench.ids_of(texts), index)])
+    assert found[0] == found[1] and all(any(i == k % 30 for i, *_ in x) for k, x in enumerate(found[0]))

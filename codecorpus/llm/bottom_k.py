@@ -207,13 +207,19 @@ def links_across(members: DataFrame, sets: DataFrame) -> DataFrame:
     return tiles.groupBy("tile").applyInArrow(compare, "a bigint, b bigint")
 
 
-def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+def lists_of(also: DataFrame, marked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(v, node, n): members of the lists that ``also`` names by the hashes of their texts, of those with several sets."""
+    found = also.join(marked.select("h", "d").distinct(), "h").join(nodes.select("d", "node", "n"), "d").select("v", "node", "n").distinct()
+    return found.join(found.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"), "v").select("v", "node", "n")
+
+
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, also: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, h, d, n) of each row, and (d, root, first_id) of each distinct set that is not empty: sets with the same root are joined by a
-    chain of links; ``first_id`` is the smallest id of the set's rows."""
+    chain of links; ``first_id`` is the smallest id of the set's rows. Texts (hash ``h``) that share a ``v`` in ``also`` are a list too."""
     marked = stored(marks(docs, doc_id, text, size))
     nodes = marked.where("n > 0").groupBy("d", "n").agg(F.min("doc_id").alias("first_id"), F.min("h").alias("h"), F.first("sketch").alias("sketch"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
-    members = stored(lists(nodes))
+    members = stored(lists(nodes) if also is None else lists(nodes).unionAll(lists_of(also, marked, nodes)))
     first = members.groupBy("v").agg(F.min(F.struct("node", "n")).alias("x"))
     stars = members.join(first, "v").where(F.col("node") != F.col("x.node")).where(sizes_fit("n", "x.n")).select(F.col("x.node").alias("a"), F.col("node").alias("b")).distinct()
     sets = stored(sets_of(docs, nodes, members.select("node").distinct(), text, size))

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline as p
-from codecorpus.llm import bottom_k, bpe, secret_scan
+from codecorpus.llm import bottom_k, bpe, secret_scan, simhash
 
 
 def test_stages_do_what_they_say(spark, tmp_path):
@@ -87,3 +87,17 @@ def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
     rows = [(1, first), (1, second), (2, first + " end"), (2, leak), (3, second + " end")]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
     assert {(r.doc_id, r.text) for r in p.near_duplicates(spark, docs, "").collect()} == {(1, first), (1, second), (2, leak)}
+
+
+def test_near_copies_in_no_list_are_found_by_their_fingerprints(spark, monkeypatch):
+    """SimHash gives candidates of its own, and the sets decide about them."""
+    monkeypatch.setattr(bottom_k, "lists", lambda nodes: nodes.selectExpr("0L AS v", "node", "n").where("false"))
+    r = random.Random(6)
+    texts = [" ".join(r.choices([f"{g}{k}" for k in range(500)], k=900)) for g in "abcd"]
+    # Within the bits of SimHash, but few of the words in the one are in the other.
+    apart = ["same " * 1000 + f"{c} " + " ".join(f"{c}{k}" for k in range(40)) for c in "xy"]
+    own = simhash.fingerprint(apart[0]) ^ simhash.fingerprint(apart[1])
+    assert own.bit_count() <= simhash.THRESHOLD
+    rows = [(k, t) for k, t in enumerate([*texts, *(f"{t} end" for t in texts), *apart])]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], DOCS)
+    assert {x.doc_id for x in p.near_duplicates(spark, docs, "").collect()} == {0, 1, 2, 3, 8, 9}
